@@ -25,7 +25,7 @@ from chronofold.llm.common import slices
 PIECE_CHARS = 1 << 16
 RUN_CHARS = 4096
 #: White space as the pattern's \s has it (fixed values of Unicode).
-_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _RUN = re.compile(f"[{_SPACE}]{{{RUN_CHARS},}}")
 _SAFE = re.compile(r"(?<=\S)(?=\s)|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 
