@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import bpe, fingerprints, licenses, packing, simhash, suffix_dedup, topk, toxicity, viterbi
+from chronofold.llm import bpe, fingerprints, licenses, packing, pii, simhash, suffix_dedup, topk, toxicity, viterbi
 from chronofold.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -46,5 +50,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_fingerprints, op4_suffix_dedup, op6_license_scan, op7_exact_top_k, op8_best_fit_packing, op9_byte_bpe, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_fingerprints, op4_suffix_dedup, op5_pii, op6_license_scan, op7_exact_top_k, op8_best_fit_packing, op9_byte_bpe, op10_simhash)}
 ORACLES: dict[str, str] = {}

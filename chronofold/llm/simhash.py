@@ -130,6 +130,14 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     return dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def _groups(rows: DataFrame, least: str, radius: int) -> DataFrame:
+    """rows(fp, <least>) -> (fp, root, least): the component of each distinct fingerprint and its smallest <least>."""
+    nodes = written(rows.groupBy("fp").agg(F.min(least).alias("least")), "nodes")
+    roots = components(links(nodes.select("fp"), radius)).withColumnsRenamed({"node": "fp"})
+    by_fp = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return written(by_fp.drop("least").join(by_fp.groupBy("root").agg(F.min("least").alias("least")), "root").select("fp", "root", "least"), "groups")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, fingerprint, component_id), a row for each row of docs.
 
@@ -138,9 +146,22 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     so copies cost nothing but their rows. A null doc_id stays null and never becomes a component's id unless all are null.
     """
     rows = written(fingerprints(docs), "fingerprints")
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes.select("fp"), radius)).withColumnsRenamed({"node": "fp"})
-    by_fp = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = by_fp.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(by_fp.join(least, "root").select("fp", "component_id"), "named")
+    named = _groups(rows, "doc_id", radius).select("fp", F.col("least").alias("component_id"))
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row of each component, all columns: that of the smallest doc_id (then smallest hash of the text); null ids last."""
+    key, check = F.coalesce(docs["doc_id"].cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    marked = docs.withColumns({"__key": key, "__check": check})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2):
+            found = np.array([fingerprint(x or "") for x in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["key", "check", "fp"])
+
+    rows = written(marked.select("__key", "__check", "text").mapInArrow(run, "key long, check long, fp long"), "fingerprints")
+    groups = _groups(rows, "key", radius)
+    first = rows.join(groups, "fp").where("key = least").groupBy("root", "key").agg(F.min("check").alias("check"))
+    kept = first.select(F.col("key").alias("__key"), F.col("check").alias("__check")).distinct()
+    return marked.join(kept, ["__key", "__check"], "left_semi").dropDuplicates(["__key", "__check"]).select(*docs.columns)

@@ -182,6 +182,23 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING_ROWS) ->
     return fit(np.array([r["x"] for r in rows]), y)
 
 
+def _scores(reader: Grammar, texts: list, weights: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(np.array([reader.features(t or "") for t in texts]) @ weights, -30, 30)))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING_ROWS) -> DataFrame:
+    """The rows of docs, all columns, whose score is below 0.5."""
+    weights = learn(docs, labels, bound)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Grammar()
+        for batch in slices(batches, at):
+            yield batch.filter(pa.array(_scores(reader, batch.column(at).to_pylist(), weights) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING_ROWS) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, held_out, score, predicted), a row for each row.
 
@@ -193,8 +210,7 @@ def score(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING_ROWS) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Grammar()
         for batch in slices(batches):
-            x = np.array([reader.features(t or "") for t in batch.column(1).to_pylist()])
-            p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+            p = _scores(reader, batch.column(1).to_pylist(), weights)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype("i4"))], names=["doc_id", "score", "predicted"])
 
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
