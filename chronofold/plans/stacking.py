@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronofold.functions.expressions import gray
 from chronofold.operators.frames import counters, of_first_shape, skip_failed
 from chronofold.operators.mix import mask_mix, normalised_mask
 from chronofold.operators.sigma import sigma_stack
@@ -37,6 +38,21 @@ class ImageStack:
     bits: int | None
 
 
+def image_mask(spark: SparkSession, path: str, good: DataFrame) -> DataFrame:
+    """(y, x, c, m) of a mask image: gray, 0..1, for every channel, brought to the frames' size by the nearest place."""
+    drawn = images.decoded(spark.read.format("binaryFile").load(path).select("path", "content")).where("valid")
+    size = drawn.select(F.col("height").alias("mh"), F.col("width").alias("mw"), F.col("channels").alias("mc"), F.col("bits").alias("mb"))  # one row
+    value = lambda c: F.max(F.when(F.col("c") == c, F.col("v")))
+    drawn = images.pixels(drawn.withColumn("i", F.lit(0).cast("bigint"))).groupBy("y", "x").agg(value(0).alias("c0"), value(1).alias("c1"), value(2).alias("c2"))
+    shape = good.orderBy("i").limit(1).select("height", "width", "channels").crossJoin(F.broadcast(size))
+    places = shape.withColumn("py", F.explode(F.sequence(F.lit(0), F.col("height") - 1))).withColumn("px", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
+    places = places.withColumn("y", F.floor(F.col("py") * F.col("mh") / F.col("height"))).withColumn("x", F.floor(F.col("px") * F.col("mw") / F.col("width")))
+    tone = F.when(F.col("mc") >= 3, gray(F.col("c0"), F.col("c1"), F.col("c2"))).otherwise(F.col("c0"))
+    level = normalised_mask(tone, None, F.pow(F.lit(2.0), F.col("mb")) - 1)
+    spread = places.join(drawn, ["y", "x"]).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("channels") - 1)))
+    return spread.select(F.col("py").cast("bigint").alias("y"), F.col("px").cast("bigint").alias("x"), F.col("c").cast("bigint").alias("c"), level.alias("m"))
+
+
 def stack_images(spark: SparkSession, folder: str, spec: StackSpec, output: str | None = None, mask_file: str | None = None) -> ImageStack:
     """Stacks the images of a folder; one bad frame never fails a run. With an output path the result is written as PNG."""
     found = images.frames(images.scan(spark, folder))
@@ -51,11 +67,7 @@ def stack_images(spark: SparkSession, folder: str, spec: StackSpec, output: str
     px = images.pixels(good)
     if spec.faded:
         px = px.crossJoin(F.broadcast(found.agg(F.count(F.lit(1)).alias("n"))))  # one row
-    mask = None
-    if mask_file is not None:
-        drawn = images.decoded(spark.read.format("binaryFile").load(mask_file).select("path", "content"))
-        mask = images.pixels(drawn.withColumn("i", F.lit(0).cast("bigint"))).groupBy("y", "x").agg(F.avg("v").alias("g"))
-        mask = good.limit(1).select(F.explode(F.sequence(F.lit(0), F.col("channels") - 1)).cast("bigint").alias("c")).crossJoin(mask).select("y", "x", "c", normalised_mask(F.col("g"), 8).alias("m"))
+    mask = None if mask_file is None else image_mask(spark, mask_file, good)
     result = stack(px, spec, mask)
     if output is not None:
         image = result if "v" in result.columns else result.withColumn("v", F.col("mu"))
