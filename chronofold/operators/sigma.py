@@ -47,17 +47,17 @@ def bounds(stats: DataFrame, spec: StackSpec) -> DataFrame:
 
 
 def counted(px: DataFrame, spec: StackSpec) -> DataFrame:
-    return px.where("v IS NOT NULL").groupBy(*spec.keys, "v").agg(F.count(F.lit(1)).alias("c"))
+    return px.where("v IS NOT NULL").groupBy(*spec.keys, "v").agg(F.count(F.lit(1)).alias("copies"))
 
 
 def sums(counts: DataFrame, spec: StackSpec) -> DataFrame:
-    v, c = F.col("v"), F.col("c")
+    v, c = F.col("v"), F.col("copies")
     return counts.groupBy(*spec.keys).agg(F.sum(c).alias("n"), F.sum(c * v).alias("s"), F.sum(c * square(v, spec.wide)).alias("q"))
 
 
 def clip_once(counts: DataFrame, full: DataFrame, last: DataFrame, spec: StackSpec, keep_rejected: bool = False) -> DataFrame:
     """(keys, n, s, q) of the values within the bounds of ``last`` (or of the others, if ``keep_rejected``)."""
-    keys, v, c = list(spec.keys), F.col("v"), F.col("c")
+    keys, v, c = list(spec.keys), F.col("v"), F.col("copies")
     within = v.between(F.col("lo"), F.col("hi"))
     kept = ~within if keep_rejected else within
     some = counts.join(bounds(last, spec), keys).groupBy(*keys).agg(
