@@ -3,14 +3,16 @@
 Words become symbols (insult, threat, target, negation, reported speech, other) and five small transducers read the
 symbols of a clause side by side: the insult and threat transducers mark a match, the target transducer whether somebody
 is addressed within reach, the negation transducer whether a negator reaches it, the reported-speech transducer whether the
-clause cites somebody. Their composition is one table; each match leaves it with a category, and a document's score comes
-from the categories of its matched clauses, never from words as such. Weights start from those of the grammar and are
-fitted to labelled rows (logistic regression with a Gaussian prior around the grammar's weights).
+clause cites somebody. Their composition is one table; each match leaves it with a category and its insult's weight, and a
+document's score comes from its matched clauses, never from words as such.
+
+Labelled rows teach two things. The insults: beside a general list, words and word beginnings that stand in far more toxic
+texts than clean ones, weighted by their log-odds (of nested beginnings the longest that explains as much stays). And the
+weights of the categories, which start from the grammar's own (logistic regression with a Gaussian prior around them).
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 import re
 from collections import Counter
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import slices
+from chronofold.llm.common import slices, written
 
 #: Labelled rows that the weights are fitted to, at most.
 MAX_TRAINING_ROWS = 20_000
@@ -93,39 +95,60 @@ def grammar() -> Transducer:
     return match(INSULT).beside(match(THREAT)).beside(reach(TARGET, TARGET_REACH)).beside(reach(NEGATOR, NEGATOR_REACH)).beside(reach(REPORTER, REPORTER_REACH))
 
 
-#: Features of a document, and the grammar's own weights; the fit moves them as far as the labels say.
+#: Features of a document, and the grammar's own weights; the fit moves them as far as the labels say. Insults enter by
+#: their weights, up to MOST in all.
 FEATURES = ("bias", "insult", "insult at a target", "negated insult", "reported insult", "threat at a target", "negated or reported threat", "further matched clauses")
-PRIOR = np.array([-2.5, 3.5, 0.7, -2.0, -1.5, 2.5, 0.2, 0.5])
+PRIOR = np.array([-2.5, 1.0, 0.1, -0.5, -0.4, 2.5, 0.2, 0.3])
+MOST, UNSEEN = 12.0, 4.0
+#: Lengths of word beginnings that are looked at, the evidence (nats) and the log-odds that one needs, and how many are kept
+#: at most.
+STEMS, EVIDENCE, LEAST, MAX_STEMS = range(3, 9), 16.0, 3.5, 4000
 _CLAUSE = re.compile(r"[.!?;\n|]")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+class Lexicon:
+    """Weights of insults: of whole words, and of words that begin with a stem (the longest stem counts)."""
+
+    def __init__(self, words: dict[str, float] | None = None, stems: dict[str, float] | None = None) -> None:
+        self.words = dict.fromkeys(INSULTS, UNSEEN) | (words or {})
+        self.stems = stems or {}
+
+    def weight(self, word: str) -> float:
+        found = self.words.get(word)
+        if found is None:
+            found = next((self.stems[word[:n]] for n in range(min(len(word), STEMS.stop - 1), STEMS.start - 1, -1) if word[:n] in self.stems), 0.0)
+        return found
+
+
 class Grammar:
-    def __init__(self) -> None:
-        self.composed = grammar()
+    def __init__(self, lexicon: Lexicon) -> None:
+        self.composed, self.lexicon = grammar(), lexicon
         self.cores = ahocorasick.Automaton()
-        for word in (*INSULTS, *THREATS):
-            self.cores.add_word(word, len(word))
+        for words, whole in ((lexicon.stems, False), (lexicon.words, True), (THREATS, True)):
+            for word in words:
+                self.cores.add_word(word, (len(word), whole and word not in lexicon.stems))
         self.cores.make_automaton()
 
     def clauses(self, text: str) -> list[Counter]:
-        """Categories of the matches of each clause that has any; clauses without an insult or threat are never read."""
+        """Weights by category of the matches of each clause that has any; clauses without an insult or threat are never read."""
         low, found, done = text.lower(), [], -1
-        for end, n in self.cores.iter(low):
+        for end, (n, whole) in self.cores.iter(low):
             a, b = end - n + 1, end + 1
-            if a < done or a and low[a - 1].isalpha() or b < len(low) and low[b].isalpha():
+            if a < done or a and low[a - 1].isalpha() or whole and b < len(low) and low[b].isalpha():
                 continue
             start = max(low.rfind(mark, max(done, 0), a) for mark in ".!?;\n|") + 1
             stop = _CLAUSE.search(low, b)
             stop = stop.start() if stop else len(low)
             start, done = max(start, done), stop
             words = _WORD.findall(low[start:stop].replace("'", ""))
-            symbols = [SYMBOLS.get(w, OTHER) for w in words]
+            weights = [self.lexicon.weight(w) for w in words]
+            symbols = [INSULT if x else SYMBOLS.get(w, OTHER) for w, x in zip(words, weights, strict=True)]
             marks = Counter()
             ahead = reversed([out[2] for out in self.composed.run(symbols[::-1])])
-            for (insult, threat, target, negated, reported), after in zip(self.composed.run(symbols), ahead, strict=True):
+            for (insult, threat, target, negated, reported), after, weight in zip(self.composed.run(symbols), ahead, weights, strict=True):
                 if insult:
-                    marks["negated insult" if negated else "reported insult" if reported else "insult at a target" if target or after else "insult"] += 1
+                    marks["negated insult" if negated else "reported insult" if reported else "insult at a target" if target or after else "insult"] += weight
                 elif threat and (target or after):
                     marks["negated or reported threat" if negated or reported else "threat at a target"] += 1
             if marks:
@@ -134,20 +157,64 @@ class Grammar:
 
     def features(self, text: str) -> list[float]:
         found = self.clauses(text)
-        total = Counter(itertools.chain.from_iterable(m.elements() for m in found))
-        any_insult = sum(total[k] for k in FEATURES[1:5])
-        return [1.0, math.log1p(any_insult), *(math.log1p(total[k]) for k in FEATURES[2:7]), math.log1p(max(0, len(found) - 1))]
+        total = sum(found, Counter())
+        insults = sum(total[k] for k in FEATURES[1:5])
+        return [1.0, min(MOST, insults), *(min(MOST, total[k]) for k in FEATURES[2:5]), *(math.log1p(total[k]) for k in FEATURES[5:7]), math.log1p(max(0, len(found) - 1))]
+
+
+def beginnings(text: str) -> set[str]:
+    """Beginnings of a text's words, and the words themselves, marked as whole."""
+    words = set(_WORD.findall(text.lower().replace("'", "")))
+    return {w[:n] for n in STEMS for w in words if len(w) >= n} | {f"{w}$" for w in words if len(w) >= STEMS.start}
+
+
+def evidence(pos: float, neg: float, share: float) -> float:
+    """Log-likelihood gain of a beginning's own share of toxic texts over the share of all; 0 where it is no larger."""
+    own = (pos + share) / (pos + neg + 1)
+    return pos * math.log(own / share) + neg * math.log((1 - own) / (1 - share)) if own > share else 0.0
+
+
+def lexicon_of(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> Lexicon:
+    """From (beginning, toxic texts, clean texts): those with evidence, without the ones that others explain."""
+    weight = lambda p, n: min(6.0, math.log((p + 0.5) / (toxic + 0.5)) - math.log((n + 0.5) / (clean + 0.5)))
+    seen = {w: (p, n) for w, p, n in counts if weight(p, n) >= LEAST}
+    longest: dict[str, int] = {}
+    for w, (p, _) in seen.items():
+        for k in range(STEMS.start, len(w)):
+            if w[:k] in seen:
+                longest[w[:k]] = max(longest.get(w[:k], 0), p)
+    words, stems = {}, {}
+    for w in sorted(seen, key=len):
+        p, n = seen[w]
+        if longest.get(w, 0) >= 0.9 * p:
+            continue  # a longer beginning stands in as many toxic texts
+        shorter = [seen[w[:k]] for k in range(STEMS.start, len(w)) if w[:k] in stems]
+        if any(a / (a + b) >= p / (p + n) - 0.02 for a, b in shorter):
+            continue  # a shorter one is as good
+        if w.endswith("$"):
+            words[w[:-1]] = weight(p, n)
+        else:
+            stems[w] = weight(p, n)
+    return Lexicon(words, stems)
 
 
 def fit(rows: np.ndarray, labels: np.ndarray, prior: np.ndarray = PRIOR, strength: float = 1.0, steps: int = 50) -> np.ndarray:
-    """Newton's method for the logistic loss plus strength / 2 times the squared distance from the prior."""
+    """Damped Newton steps for the logistic loss plus strength / 2 times the squared distance from the prior."""
+
+    def loss(w: np.ndarray) -> float:
+        z = rows @ w
+        return float((np.logaddexp(0, z) - labels * z).sum() + strength / 2 * ((w - prior) ** 2).sum())
+
     w = prior.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
         gradient = rows.T @ (p - labels) + strength * (w - prior)
         step = np.linalg.solve((rows * (p * (1 - p))[:, None]).T @ rows + strength * np.eye(len(w)), gradient)
-        w = w - step
-        if np.abs(step).max() < 1e-9:
+        scale, now = 1.0, loss(w)
+        while scale > 1e-6 and loss(w - scale * step) > now:
+            scale /= 2
+        w = w - scale * step
+        if np.abs(scale * step).max() < 1e-9:
             break
     return w
 
@@ -156,30 +223,45 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def _featured(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Grammar()
-        for batch in slices(batches):
-            x = [reader.features(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
-
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, "doc_id long, x array<double>")
-
-
-def learn(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING_ROWS) -> np.ndarray:
-    """Weights from labelled rows that are not held out: at most ``bound``, those of the smallest hashed ids.
+def learn(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING_ROWS) -> tuple[Lexicon, np.ndarray]:
+    """Lexicon and weights from labelled rows that are not held out: at most ``bound``, those of the smallest hashed ids.
 
-    Without labels, or with one kind only, the grammar's own weights.
+    Texts whose smallest hash of three words is the same - copies and most near copies - count once. Without labels, or with one kind only, the general list and the grammar's own weights.
     """
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(bound)  # at most `bound` ids are broadcast
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    marked = _featured(texts.join(F.broadcast(known.select("doc_id").distinct()), "doc_id", "left_semi"))
-    rows = marked.join(F.broadcast(known), "doc_id").select("x", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).collect()
-    y = np.array([r["toxic"] for r in rows], float)
-    if not len(y) or y.min() == y.max():
-        return PRIOR.copy()
-    return fit(np.array([r["x"] for r in rows]), y)
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)  # at most `bound` ids are broadcast
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    texts = texts.join(F.broadcast(known), "doc_id").withColumn("words", F.split("text", r"\s+"))
+    shingles = F.transform("words", lambda word, i: F.xxhash64(word, F.get("words", i + 1), F.get("words", i + 2)))
+    texts = texts.select("toxic", "text", F.array_min(shingles).alias("same"))
+    rows = written(texts.groupBy("same").agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).orderBy("same").limit(bound).select("toxic", "text"), "labelled")
+    kinds = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    toxic, clean = kinds.get(1, 0), kinds.get(0, 0)
+    if not toxic or not clean:
+        return Lexicon(), PRIOR.copy()
+    share = toxic / (toxic + clean)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, list[int]] = {}
+        for batch in slices(batches):
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for w in beginnings(text):
+                    found.setdefault(w, [0, 0])[y] += 1
+        names = list(found)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([found[w][y] for w in names], pa.int64()) for y in (1, 0))], names=["w", "pos", "neg"])
+
+    counts = rows.select("toxic", "text").mapInArrow(counted, "w string, pos long, neg long").groupBy("w").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    strong = counts.where(F.col("pos") * -math.log(share) >= EVIDENCE).where(F.col("pos") > share * (F.col("pos") + F.col("neg")))
+    ranked = strong.orderBy(F.desc(F.col("pos") / (F.col("pos") + F.col("neg") + 1.0)), F.desc("pos"), "w").limit(MAX_STEMS).collect()
+    lexicon = lexicon_of([(r["w"], r["pos"], r["neg"]) for r in ranked if evidence(r["pos"], r["neg"], share) >= EVIDENCE], toxic, clean)
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Grammar(lexicon)
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([reader.features(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))], names=["toxic", "x"])
+
+    found = rows.select("toxic", "text").mapInArrow(featured, "toxic int, x array<double>").collect()  # at most `bound` rows of a few numbers
+    return lexicon, fit(np.array([r["x"] for r in found]), np.array([r["toxic"] for r in found], float))
 
 
 def _scores(reader: Grammar, texts: list, weights: np.ndarray) -> np.ndarray:
@@ -188,11 +270,11 @@ def _scores(reader: Grammar, texts: list, weights: np.ndarray) -> np.ndarray:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING_ROWS) -> DataFrame:
     """The rows of docs, all columns, whose score is below 0.5."""
-    weights = learn(docs, labels, bound)
+    lexicon, weights = learn(docs, labels, bound)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Grammar()
+        reader = Grammar(lexicon)
         for batch in slices(batches, at):
             yield batch.filter(pa.array(_scores(reader, batch.column(at).to_pylist(), weights) < 0.5))
 
@@ -205,10 +287,10 @@ def score(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING_ROWS) ->
     Null and empty texts have no clause and get the score of the bias alone. Only the text enters the score. Rows with a
     null doc_id are never learned from. The texts pass one narrow stage; labelled ones pass it once more for the fit.
     """
-    weights = learn(docs, labels, bound)
+    lexicon, weights = learn(docs, labels, bound)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Grammar()
+        reader = Grammar(lexicon)
         for batch in slices(batches):
             p = _scores(reader, batch.column(1).to_pylist(), weights)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype("i4"))], names=["doc_id", "score", "predicted"])

@@ -80,8 +80,24 @@ def test_toxicity_learns_and_scores(spark, docs, empty):
     assert toxicity.without_toxic(docs, labels).columns == docs.columns
 
 
+def test_insults_are_learned_from_labels(spark):
+    r = np.random.default_rng(6)
+    rows, labels = [], []
+    for i in range(600):
+        toxic = int(r.random() < 0.2)
+        words = list(r.choice(WORDS, 30)) + ["zorqu" + "".join(r.choice(list("abcde"), 3)) for _ in range(3 * toxic)] + (["krelm"] if toxic and i % 2 else [])
+        rows.append((i, " ".join(r.permutation(words))))
+        labels.append((i, toxic))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    lexicon, _ = toxicity.learn(table, known)
+    assert list(lexicon.stems) == ["zorqu"] and set(lexicon.words) - set(toxicity.INSULTS) <= {"krelm"}
+    held = [x for x in toxicity.score(table, known).collect() if x["held_out"]]
+    assert held and all(x["predicted"] == labels[x["doc_id"]][1] for x in held)
+
+
 def test_grammar_reads_clauses():
-    reader = toxicity.Grammar()
+    reader = toxicity.Grammar(toxicity.Lexicon(dict.fromkeys(toxicity.INSULTS, 1)))
     kinds = lambda text: [dict(m) for m in reader.clauses(text)]
     assert kinds("You idiot!") == [{"insult at a target": 1}]
     assert kinds("a day. Not an idiot. fine") == [{"negated insult": 1}]
