@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronofold.functions.expressions import expected_max, rounded_mean, variance
 from chronofold.operators.sigma import clip
-from chronofold.operators.stack import max_stack, moments
+from chronofold.operators.stack import max_stack, moments, scaled
 from chronofold.spec import StackSpec
 
 
@@ -38,4 +38,4 @@ def mask_mix(px: DataFrame, mask: DataFrame, spec: StackSpec, clipped: bool = Tr
     n, s = F.col("n"), F.col("s")
     stats = now.select(*keys, rounded_mean(s, n).alias("mu"), variance(n, s, F.col("q")).alias("var"))
     frames = full.select(*keys, (F.lit(n_total) if n_total else n).cast("bigint").alias("frames"))
-    return mixed(most.join(stats, keys).join(frames, keys).join(mask, keys), spec.keys)
+    return scaled(mixed(most.join(stats, keys).join(frames, keys).join(mask, keys), spec.keys), spec)

@@ -65,6 +65,12 @@ def total_exposure(groups: DataFrame) -> Fraction:
     return sum((Fraction(r["num"], r["den"]) for r in by_den.toLocalIterator()), Fraction(0))
 
 
+def estimated_exposure(first: str, n_frames: int) -> Fraction:
+    """The first frame's exposure for every frame."""
+    num, _, den = first.strip().partition("/")
+    return Fraction(int(num), int(den or 1)) * n_frames
+
+
 def new_paths(known: DataFrame, added: DataFrame) -> DataFrame:
     """Added (category, path) rows that are not known yet, once each."""
     return added.select("category", "path").distinct().join(known, ["category", "path"], "left_anti")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.functions.expressions import rounded_mean, variance
-from chronofold.operators.stack import finished, square
+from chronofold.operators.stack import finished, scaled_mean, square
 from chronofold.spec import StackSpec
 
 
@@ -87,7 +87,7 @@ def clip(px: DataFrame, spec: StackSpec) -> tuple[DataFrame, DataFrame, list[flo
 
 def sigma_stack(px: DataFrame, spec: StackSpec) -> DataFrame:
     now, _, _ = clip(px, spec)
-    return finished(now, spec.keys, spec.precise)
+    return scaled_mean(finished(now, spec.keys, spec.precise), spec)
 
 
 def convergence(px: DataFrame, spec: StackSpec) -> DataFrame:

@@ -50,17 +50,29 @@ def max_stack(px: DataFrame, spec: StackSpec) -> DataFrame:
             out = px.groupBy(*spec.keys).agg(F.floor(most / scale_between(bits, 2 * bits)).cast("bigint").alias("v"))
         else:
             out = px.groupBy(*spec.keys).agg(F.floor(F.max(v * w)).cast("bigint").alias("v"))
-    return _scaled(out, spec)
+    return scaled(out, spec)
 
 
 def min_stack(px: DataFrame, spec: StackSpec) -> DataFrame:
     v = F.col("v")
     value = v if not spec.faded else v * fade_weight(F.col("i"), F.col("n"), spec.fade_in, spec.fade_out)
-    return _scaled(px.groupBy(*spec.keys).agg(F.floor(F.min(value)).cast("bigint").alias("v")), spec)
+    return scaled(px.groupBy(*spec.keys).agg(F.floor(F.min(value)).cast("bigint").alias("v")), spec)
 
 
 def mean_stack(px: DataFrame, spec: StackSpec) -> DataFrame:
-    return finished(moments(px, spec.keys, spec.wide), spec.keys, spec.precise)
+    return scaled_mean(finished(moments(px, spec.keys, spec.wide), spec.keys, spec.precise), spec)
+
+
+def scaled_mean(out: DataFrame, spec: StackSpec) -> DataFrame:
+    """Mean and variance at the depth asked for; the variance goes by the square and keeps its precision."""
+    if not (spec.in_bits and spec.out_bits) or spec.in_bits == spec.out_bits:
+        return out
+    up = spec.out_bits > spec.in_bits
+    scale = scale_between(min(spec.in_bits, spec.out_bits), max(spec.in_bits, spec.out_bits))
+    mean = F.col("mu") * scale if up else F.col("mu") / scale
+    mean = mean if spec.precise else F.floor(mean).cast("bigint")
+    square_of = F.lit(float(scale * scale))
+    return out.withColumn("mu", mean).withColumn("var", F.col("var") * square_of if up else F.col("var") / square_of)
 
 
 def fused_stack(px: DataFrame, keys: tuple[str, ...], wide: bool = False) -> DataFrame:
@@ -76,7 +88,8 @@ def max_stack_by_table(px: DataFrame, weights: DataFrame, keys: tuple[str, ...])
     return px.join(weights, "i").groupBy(*keys).agg(F.floor(F.max(F.col("v") * F.col("w"))).cast("bigint").alias("v"))
 
 
-def _scaled(out: DataFrame, spec: StackSpec) -> DataFrame:
+def scaled(out: DataFrame, spec: StackSpec) -> DataFrame:
+    """Values at the depth asked for."""
     if spec.in_bits and spec.out_bits and spec.in_bits != spec.out_bits:
         return out.withColumn("v", rescaled(F.col("v"), spec.in_bits, spec.out_bits))
     return out

@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from chronofold.functions import expressions as E
 from chronofold.operators import frames as bad
 from chronofold.operators import mix, profile, sigma, stack
 from chronofold.operators.sigma import _folder
-from chronofold.sources import images, tables
+from chronofold.sources import formats, images, tables
 from chronofold.spec import StackSpec, partition_plan, resize_plan
 from chronofold.streaming import stacks
 
@@ -504,8 +506,8 @@ def _(s: SparkSession, d: str) -> DataFrame:
     rows = px.groupBy("vec_id", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda p: p["v"].cast("int")).alias("data"))
 
     @F.pandas_udf("binary")
-    def drawn(data: images.pd.Series) -> images.pd.Series:
-        return data.map(lambda v: images.encode_png(images.np.array(v, images.np.uint8).reshape(8, -1)))
+    def drawn(data: pd.Series) -> pd.Series:
+        return data.map(lambda v: formats.encode_png(np.array(v, np.uint8).reshape(8, -1)))
 
     files = rows.select(F.concat_ws("/", F.col("label").cast("string"), F.col("vec_id").cast("string")).alias("path"), drawn("data").alias("content"))
     good = images.decoded(files).where("valid").withColumn("i", F.split("path", "/")[0].cast("int"))

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from chronofold.functions.expressions import gray
 from chronofold.operators.frames import counters, of_first_shape, skip_failed
 from chronofold.operators.mix import mask_mix, normalised_mask
+from chronofold.operators.profile import exposure_groups, file_attributes, total_exposure
+from chronofold.operators.profile import report as profile_report
 from chronofold.operators.sigma import sigma_stack
 from chronofold.operators.stack import max_stack, mean_stack, min_stack
 from chronofold.sources import images
+from chronofold.sources.formats import Info
 from chronofold.spec import Stacker, StackSpec, output_bits
 
 #: Modes by name; a further mode is a function of (px, spec) added here.
@@ -36,6 +39,19 @@ class ImageStack:
     errors: DataFrame
     counts: DataFrame
     bits: int | None
+    info: Info | None = None
+    report: DataFrame | None = None
+
+
+def combined_info(files: DataFrame) -> Info:
+    """What the first file says, its exposure replaced by the exact sum over all files that tell theirs."""
+    about = images.infos(files)
+    first = about.orderBy("path").select("exif", "profile").first()
+    found = Info(dict(first["exif"] or {}), bytes(first["profile"] or b"")) if first else Info()
+    if "ExposureTime" in found.exif:
+        found.exif["ExposureTime"] = str(total_exposure(exposure_groups(about, F.col("exif")["ExposureTime"])))
+    found.exif["Software"] = "chronofold"
+    return found
 
 
 def image_mask(spark: SparkSession, path: str, good: DataFrame) -> DataFrame:
@@ -53,15 +69,21 @@ def image_mask(spark: SparkSession, path: str, good: DataFrame) -> DataFrame:
     return spread.select(F.col("py").cast("bigint").alias("y"), F.col("px").cast("bigint").alias("x"), F.col("c").cast("bigint").alias("c"), level.alias("m"))
 
 
-def stack_images(spark: SparkSession, folder: str, spec: StackSpec, output: str | None = None, mask_file: str | None = None) -> ImageStack:
-    """Stacks the images of a folder; one bad frame never fails a run. With an output path the result is written as PNG."""
-    found = images.frames(images.scan(spark, folder))
+def stack_images(spark: SparkSession, folder: str, spec: StackSpec, output: str | None = None, mask_file: str | None = None, resize: str | None = None, recursive: bool = False, check: bool = False, level: int = 6) -> ImageStack:
+    """Stacks the images of a folder; one bad frame never fails a run.
+
+    With an output path the result is written as PNG or TIFF, with the first file's text and profile. ``check`` adds a report
+    of the files' suffixes, sizes and depths.
+    """
+    files = images.scan(spark, folder, recursive)
+    report = profile_report(file_attributes(images.headers(files))) if check else None
+    found = images.frames(files, resize)
     good, errors = skip_failed(found, F.col("valid"))
     good = of_first_shape(good, F.struct("height", "width", "channels"))
     counts = counters(found, F.col("valid"))
     head = good.orderBy("i").select("bits").first()
     if head is None:
-        return ImageStack(False, "no frame could be decoded", None, errors, counts, None)
+        return ImageStack(False, "no frame could be decoded", None, errors, counts, None, report=report)
     bits, warning = output_bits(output, spec.out_bits or head["bits"])
     spec = replace(spec, keys=("y", "x", "c"), in_bits=head["bits"], out_bits=bits if bits in (8, 16, 32) else None)
     px = images.pixels(good)
@@ -69,7 +91,9 @@ def stack_images(spark: SparkSession, folder: str, spec: StackSpec, output: str
         px = px.crossJoin(F.broadcast(found.agg(F.count(F.lit(1)).alias("n"))))  # one row
     mask = None if mask_file is None else image_mask(spark, mask_file, good)
     result = stack(px, spec, mask)
+    about = None
     if output is not None:
         image = result if "v" in result.columns else result.withColumn("v", F.col("mu"))
-        images.write_png(image, output, bits or 8, text={"Software": "chronofold"})
-    return ImageStack(True, warning or "", result, errors, counts, bits)
+        about = combined_info(files)
+        images.write_image(image, output, bits or 8, level, about)
+    return ImageStack(True, warning or "", result, errors, counts, bits, about, report)

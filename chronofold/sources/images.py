@@ -1,12 +1,7 @@
-"""Images: files by path, PNG decoding with the standard library, and PNG encoding of a result.
-
-Other formats need a decoder library; such files come out as not valid and are reported, never fatal.
-"""
+"""Image files as DataFrames: scanning, headers, decoding, pixels, and writing a result."""
 
 from __future__ import annotations
 
-import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,132 +9,78 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronofold.functions.expressions import supported
-
-_MAGIC = b"\x89PNG\r\n\x1a\n"
-_CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
-FRAME = "path string, valid boolean, height int, width int, channels int, bits int, data array<int>"
-
-
-def encode_png(pixels: np.ndarray, level: int = 6, text: dict[str, str] | None = None) -> bytes:
-    """(h, w) or (h, w, c) of uint8 or uint16 as PNG; text becomes text chunks."""
-    pixels = pixels[:, :, None] if pixels.ndim == 2 else pixels
-    if pixels.dtype not in (np.uint8, np.uint16):
-        raise ValueError("PNG holds 8 or 16 bits")
-    height, width, channels = pixels.shape
-    kind = {n: k for k, n in _CHANNELS.items()}[channels]
-    rows = pixels.astype(">u2" if pixels.dtype == np.uint16 else "u1").reshape(height, -1).view(np.uint8).reshape(height, -1)
-    raw = np.concatenate([np.zeros((height, 1), np.uint8), rows], axis=1).tobytes()
-
-    def chunk(name: bytes, body: bytes) -> bytes:
-        return struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
-
-    head = struct.pack(">IIBBBBB", width, height, 8 * pixels.dtype.itemsize, kind, 0, 0, 0)
-    notes = b"".join(chunk(b"tEXt", k.encode("latin-1", "replace") + b"\0" + v.encode("latin-1", "replace")) for k, v in (text or {}).items())
-    return _MAGIC + chunk(b"IHDR", head) + notes + chunk(b"IDAT", zlib.compress(raw, level)) + chunk(b"IEND", b"")
-
-
-def _chunks(content: bytes) -> Iterator[tuple[bytes, bytes]]:
-    at = len(_MAGIC)
-    while at + 8 <= len(content):
-        (n,) = struct.unpack(">I", content[at : at + 4])
-        yield content[at + 4 : at + 8], content[at + 8 : at + 8 + n]
-        at += 12 + n
-
-
-def png_header(content: bytes) -> tuple[int, int, int, int] | None:
-    """(height, width, channels, bits), or None where this is no PNG that can be decoded here."""
-    if content[:8] != _MAGIC or content[12:16] != b"IHDR":
-        return None
-    width, height, bits, kind, _, _, interlaced = struct.unpack(">IIBBBBB", content[16:29])
-    return (height, width, _CHANNELS[kind], bits) if kind in _CHANNELS and bits in (8, 16) and not interlaced else None
-
-
-def png_text(content: bytes) -> dict[str, str]:
-    """Text chunks: what an image says about itself."""
-    pairs = (body.split(b"\0", 1) for name, body in _chunks(content) if name == b"tEXt" and b"\0" in body)
-    return {k.decode("latin-1"): v.decode("latin-1") for k, v in pairs}
-
-
-def decode_png(content: bytes) -> np.ndarray | None:
-    """(h, w, c); None for anything that is damaged or not supported."""
-    head = png_header(content)
-    if head is None:
-        return None
-    height, width, channels, bits = head
-    try:
-        raw = zlib.decompress(b"".join(body for name, body in _chunks(content) if name == b"IDAT"))
-        step, line = channels * bits // 8, width * channels * bits // 8
-        lines = np.frombuffer(raw, np.uint8).reshape(height, line + 1)
-    except (zlib.error, ValueError, struct.error):
-        return None
-    out, above = np.zeros((height, line), np.uint8), np.zeros(line, np.uint8)
-    for y in range(height):
-        kind, now = lines[y, 0], lines[y, 1:]
-        if kind == 1:
-            now = (np.cumsum(now.reshape(-1, step).astype(np.uint32), axis=0) & 255).astype(np.uint8).reshape(-1)
-        elif kind == 2:
-            now = now + above
-        elif kind in (3, 4):
-            now = _slow_filter(int(kind), now.tolist(), above.tolist(), step)
-        elif kind:
-            return None
-        out[y] = above = now
-    pixels = out.reshape(-1).view(">u2").astype(np.uint16) if bits == 16 else out.reshape(-1)
-    return pixels.reshape(height, width, channels)
-
-
-def _slow_filter(kind: int, now: list[int], above: list[int], step: int) -> np.ndarray:
-    """Average and Paeth prediction, where each byte needs the one before."""
-    for i, value in enumerate(now):
-        left, up, corner = (now[i - step] if i >= step else 0), above[i], (above[i - step] if i >= step else 0)
-        if kind == 3:
-            guess = (left + up) // 2
-        else:
-            p = left + up - corner
-            guess = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
-        now[i] = (value + guess) & 255
-    return np.array(now, np.uint8)
-
-
-def decoded(files: DataFrame) -> DataFrame:
-    """files(path, content) -> FRAME; a file that can't be decoded gives a row that is not valid."""
+from chronofold.functions.expressions import supported, suffix_of
+from chronofold.sources import formats
+from chronofold.sources.formats import Info
+from chronofold.spec import resize_plan
+
+FRAME = "path string, valid boolean, height int, width int, channels int, bits int, data array<bigint>"
+
+
+def scan(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
+    """Supported files of a folder, (path, content), once each."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
+    return files.where(supported(F.col("path"))).dropDuplicates(["path"]).select("path", "content")
+
+
+def decoded(files: DataFrame, resize: str | None = None) -> DataFrame:
+    """files(path, content) -> FRAME; a file that can't be decoded gives a row that is not valid. resize: see resize_plan."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                pixels = decode_png(bytes(content)) if content is not None else None
-                row = (path, False, None, None, None, None, None) if pixels is None else (path, True, *pixels.shape, 8 * pixels.dtype.itemsize, pixels.reshape(-1).astype(np.int32))
+                pixels = formats.decode(content)
+                if pixels is not None and (size := resize_plan(resize, *pixels.shape[:2])):
+                    pixels = formats.resize(pixels, *size)
+                row = (path, False, None, None, None, None, None) if pixels is None else (path, True, *pixels.shape, 8 * pixels.dtype.itemsize, pixels.reshape(-1).astype(np.int64))
                 yield pd.DataFrame([row], columns=[c.split()[0] for c in FRAME.split(", ")]).astype({"height": "Int32", "width": "Int32", "channels": "Int32", "bits": "Int32"})
 
     return files.select("path", "content").mapInPandas(run, FRAME)
 
 
-def scan(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """Supported files of a folder, (path, content), by path and once each."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    return files.where(supported(F.col("path"))).dropDuplicates(["path"]).select("path", "content")
+def headers(files: DataFrame) -> DataFrame:
+    """(path, width, height, bits) from the files' headers; nulls where a header can't be read. Never fails a run."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [formats.header(x) or (None, None, None) for x in batch["content"]]
+            yield pd.DataFrame({"path": batch["path"], **{name: pd.array([r[i] for r in found], dtype="Int32") for i, name in enumerate(("width", "height", "bits"))}})
+
+    return files.select("path", "content").mapInPandas(run, "path string, width int, height int, bits int")
+
+
+def infos(files: DataFrame) -> DataFrame:
+    """(path, exif map, profile binary) of each file; empty where it says nothing."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [formats.info(x) for x in batch["content"]]
+            yield pd.DataFrame({"path": batch["path"], "exif": [x.exif for x in found], "profile": [x.profile for x in found]})
+
+    return files.select("path", "content").mapInPandas(run, "path string, exif map<string,string>, profile binary")
 
-def frames(files: DataFrame) -> DataFrame:
+
+def frames(files: DataFrame, resize: str | None = None) -> DataFrame:
     """Decoded files with i, their place by path among all files (bad ones counted); paths alone are ordered, not pixels."""
     place = F.row_number().over(Window.partitionBy(F.lit("sequence")).orderBy("path")).cast("bigint") - 1
     order = files.select("path").withColumn("i", place).withColumn("series", F.lit("sequence"))
-    return decoded(files).join(order, "path")
+    return decoded(files, resize).join(order, "path")
 
 
 def pixels(good: DataFrame) -> DataFrame:
     """(i, y, x, c, v) of decoded frames."""
     at = F.col("at").cast("bigint")
     long = good.select("i", "width", "channels", F.posexplode("data").alias("at", "v"))
-    return long.select("i", F.floor(at / (F.col("width") * F.col("channels"))).alias("y"), (F.floor(at / F.col("channels")) % F.col("width")).alias("x"), (at % F.col("channels")).alias("c"), F.col("v").cast("bigint").alias("v"))
+    return long.select("i", F.floor(at / (F.col("width") * F.col("channels"))).alias("y"), (F.floor(at / F.col("channels")) % F.col("width")).alias("x"), (at % F.col("channels")).alias("c"), "v")
 
 
-def write_png(result: DataFrame, path: str, bits: int = 8, level: int = 6, text: dict[str, str] | None = None) -> None:
-    """Writes one image (y, x, c, v): the only place where pixels come to the driver, height x width x channels of them."""
+def write_image(result: DataFrame, path: str, bits: int = 8, level: int = 6, about: Info | None = None) -> None:
+    """Writes one image (y, x, c, v) as PNG or TIFF: the only place where pixels come to the driver, as many as it has."""
     found = result.select("y", "x", "c", "v").toPandas()
-    shape = [int(found[c].max()) + 1 for c in ("y", "x", "c")]
-    image = np.zeros(shape, np.uint16 if bits == 16 else np.uint8)
+    image = np.zeros([int(found[c].max()) + 1 for c in ("y", "x", "c")], f"u{bits // 8}")
     image[found["y"], found["x"], found["c"]] = np.clip(found["v"], 0, (1 << bits) - 1)
     with open(path, "wb") as out:
-        out.write(encode_png(image, level, text))
+        out.write(formats.encode(image, path.rsplit(".", 1)[-1].lower(), level, about))
+
+
+__all__ = ["FRAME", "decoded", "frames", "headers", "infos", "pixels", "scan", "suffix_of", "write_image"]
