@@ -14,6 +14,10 @@ from chronofold.llm import packing, pii, simhash, suffix_dedup, toxicity
 from chronofold.llm.common import table, written
 
 
+#: Bytes from which a passage that stands twice is cut out: some 40 words; passages of over 50 words hold as many.
+PASSAGE_BYTES = 240
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     """n_chars says how long the text is now."""
     if "n_chars" not in docs.columns:
@@ -32,8 +36,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of strings of 400 bytes that stand twice are cut out of their texts; the documents stay."""
-    return _counted(suffix_dedup.without_repeats(docs))
+    """Bytes of strings of PASSAGE_BYTES bytes that stand twice are cut out of their texts; the documents stay."""
+    return _counted(suffix_dedup.without_repeats(docs, PASSAGE_BYTES))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
