@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, over texts that hold every edge."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter
@@ -63,6 +64,17 @@ def same(found, wanted):
     assert sorted(map(tuple, found), key=key) == sorted(wanted, key=key)
 
 
+def test_written_tables_can_be_cleared(spark):
+    from chronofold.llm import common
+
+    kept = common.written(spark.range(3).toDF("x"), "clear")
+    assert kept.count() == 3
+    folder = common._own_folder(spark).removeprefix("file://")
+    assert os.path.isdir(folder)
+    common.clear(spark)
+    assert not os.path.exists(folder)
+
+
 # --- 1
 
 
