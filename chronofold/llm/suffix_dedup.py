@@ -34,6 +34,8 @@ LENGTH, SEED, BLOCK = 400, 16, 8
 STEP = 1 << 18
 #: Stretches whose suffixes are sorted together (a class is never split here), and those from which a class is refined.
 BATCH, LARGE = 12_000, 4_000
+#: Stretches of one refined class from which its strings are counted instead of sorted: no task ever holds more.
+HUGE = 50_000
 _LEAST = -(1 << 63)
 _U = np.uint64
 
@@ -275,6 +277,18 @@ def _sorted_ends(stretches: DataFrame, length: int) -> DataFrame:
     return stretches.repartition("class").sortWithinPartitions("class").mapInArrow(run, columns)
 
 
+def _counted_ends(stretches: DataFrame, huge: DataFrame, length: int) -> DataFrame:
+    """The same as _sorted_ends for classes of very many stretches: within a class, a string is told by the few bytes before
+    and behind the core; equal ones are counted, combined before the shuffle, and found again by a join."""
+    rows = stretches.join(huge, "class").withColumn("d", F.explode(F.sequence(F.col("low"), F.length("left"))))
+    before = F.expr("substring(left, length(left) - d + 1, d)")
+    behind = F.expr(f"substring(right, 1, {length} - core_bytes - d)")
+    strings = rows.select("class", "d", before.alias("before"), behind.alias("behind"), "copies", "key", "check", (F.col("origin") - F.col("d")).alias("first"))
+    told = ["class", "d", "before", "behind"]
+    twice = written(strings.groupBy(*told).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "twice")
+    return strings.where("NOT copies").join(twice, told).select("key", "check", "first", (F.col("first") + length).alias("end"))
+
+
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(key, check, spans array<struct<first, end>>): bytes to remove from each text that has any; see keyed()."""
     anchors = _anchors(docs, length)
@@ -292,7 +306,12 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     others = counted.where("n > 1 AND several").groupBy("core", "stretch").agg(*(F.first(c).alias(c) for c in kept))
     ends = single.select("core", *kept, F.lit(False).alias("copies")).union(others.select("core", *kept, F.lit(True).alias("copies"))).join(classes, "core")
     stretches = written(_stretches(docs, ends, length), "stretches")
-    found = whole.union(_sorted_ends(stretches, length))
+    huge = written(stretches.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HUGE).select("class"), "huge")
+    if huge.isEmpty():
+        found = whole.union(_sorted_ends(stretches, length))
+    else:
+        rest = stretches.join(huge, "class", "left_anti").select(*stretches.columns)
+        found = whole.union(_sorted_ends(rest, length)).union(_counted_ends(stretches, huge, length))
     return written(found.groupBy("key", "check").agg(F.collect_list(F.struct("first", "end")).alias("spans")), "repeats")
 
 
@@ -342,9 +361,10 @@ def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The same rows and columns, each text without its repeated bytes; characters that lose only some bytes go as a whole."""
 
+    at = docs.columns.index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
+        for batch in slices(batches, at):
             kept = []
             for text, spans in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 kept.append(text if not spans else cut(text.encode("utf-8", "surrogatepass"), united(spans)).decode("utf-8", "ignore"))

@@ -213,9 +213,10 @@ def brute_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "large"), [(400, 4000), (400, 1), (120, 4000)])
-def test_repeats_against_brute_force(spark, docs, rows, monkeypatch, length, large):
+@pytest.mark.parametrize(("length", "large", "huge"), [(400, 4000, 50_000), (400, 1, 50_000), (400, 1, 1), (120, 4000, 2)])
+def test_repeats_against_brute_force(spark, docs, rows, monkeypatch, length, large, huge):
     monkeypatch.setattr(suffix_dedup, "LARGE", large)
+    monkeypatch.setattr(suffix_dedup, "HUGE", huge)
     more = []
     r = np.random.default_rng(length)
     for t in PROSE[:12]:
