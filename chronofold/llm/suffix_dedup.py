@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import slices, written
+from chronofold.llm.common import partitions, slices, written
 from chronofold.llm.suffix_array import suffix_array
 
 LENGTH, SEED, BLOCK = 400, 16, 8
@@ -274,7 +274,7 @@ def _sorted_ends(stretches: DataFrame, length: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return stretches.repartition("class").sortWithinPartitions("class").mapInArrow(run, columns)
+    return stretches.repartition(2 * partitions(stretches.sparkSession), "class").sortWithinPartitions("class").mapInArrow(run, columns)
 
 
 def _counted_ends(stretches: DataFrame, huge: DataFrame, length: int) -> DataFrame:
@@ -293,15 +293,16 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(key, check, spans array<struct<first, end>>): bytes to remove from each text that has any; see keyed()."""
     anchors = _anchors(docs, length)
     cores = anchors.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("stretch").alias("a"), F.max("stretch").alias("b"))
-    several = cores.where("n > 1").select("core", (F.col("a") != F.col("b")).alias("several"))
+    # both are written before they are joined: a join of two plain exchanges can be split where one core has very many rows
+    several = written(cores.where("n > 1").select("core", (F.col("a") != F.col("b")).alias("several")), "cores")
     shared = written(anchors.join(several, "core"), "shared")
-    copies = shared.groupBy("core", "stretch").agg(F.count(F.lit(1)).alias("n"))
+    copies = written(shared.groupBy("core", "stretch").agg(F.count(F.lit(1)).alias("n")), "copies")
     counted = written(shared.join(copies, ["core", "stretch"]), "counted")
     w = window_of(length)
     whole = counted.where("n > 1").select("key", "check", (F.col("at") - w - F.col("high")).alias("first"), (F.col("at") - w - F.col("low") + length).alias("end"))
     single = counted.where("n = 1 AND several")
     sizes = counted.where("several").groupBy("core", "stretch").agg(F.max("n").alias("n")).groupBy("core").agg(F.count(F.lit(1)).alias("distinct"), F.min("n").alias("least")).where("least = 1")
-    classes = sizes.select("core", (F.col("distinct") > LARGE).alias("large"))
+    classes = written(sizes.select("core", (F.col("distinct") > LARGE).alias("large")), "classes")
     kept = ["key", "check", "at", "low", "high"]
     others = counted.where("n > 1 AND several").groupBy("core", "stretch").agg(*(F.first(c).alias(c) for c in kept))
     ends = single.select("core", *kept, F.lit(False).alias("copies")).union(others.select("core", *kept, F.lit(True).alias("copies"))).join(classes, "core")
