@@ -142,8 +142,9 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             columns = [*(batch.column(i) for i in range(5)), pa.array(first[at] + k // each[at]), pa.array(offset[at] + k % each[at] * lengths[at])]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
+    # both sides are dealt by (part, length) already; the ranks' table grows with the parts, so it is not to be broadcast
     own = F.row_number().over(Window.partitionBy("part", "length").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = cut.withColumn("own", own).join(before.drop("n"), ["part", "length"]).withColumn("rank", (F.col("before") + F.col("own") - 1).cast("long"))
+    ranked = cut.withColumn("own", own).join(before.drop("n").hint("merge"), ["part", "length"]).withColumn("rank", (F.col("before") + F.col("own") - 1).cast("long"))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
 
 
