@@ -1,0 +1,130 @@
+"""Near copies: texts whose sets of word shingles have a Jaccard similarity of at least 4/5, found exactly.
+
+Shingles stand in one global order. Of two sets of n and m shingles that are similar enough, the first n - ceil(4n/5) + 1 of
+the one and the first m - ceil(4m/5) + 1 of the other share a shingle, so texts are dealt by these prefixes. Any order is
+exact; this one puts shingles that stand in many texts of a sample last, so common lines and passages seldom deal texts
+together. Each text is first compared with the one centre it shares most with; then every pair that shares a prefix shingle
+and is not yet in one component is compared. Pairs that are linked already are left out: they can't change a component.
+Comparisons are of whole shingle sets. Shingles and sets are told apart by 64-bit hashes.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from chronofold.llm.common import slices, written
+from chronofold.llm.graph import components
+
+WORDS, SEED = 5, 42
+#: One text in SAMPLE is looked at for common shingles: those in COMMON such texts, the MOST_COMMON most frequent.
+SAMPLE, COMMON, MOST_COMMON = 16, 8, 500_000
+
+
+def shingles(text: str, seed: int = SEED, words: int = WORDS) -> np.ndarray:
+    """Distinct hashes of the text's word shingles, sorted; of a shorter text the one of all its words."""
+    found = text.encode("utf-8", "surrogatepass").lower().split()  # on bytes: A-Z only, and ASCII white space only
+    if not found:
+        return np.empty(0, np.int64)
+    n, digest = max(1, len(found) - words + 1), xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(b" ".join(found[i : i + words]), seed) for i in range(n)), np.uint64, n).view(np.int64))
+
+
+def prefix(n: int) -> int:
+    """Of so many shingles, how many come first: one of them stands in each set that is similar enough."""
+    return n - -(-4 * n // 5) + 1 if n else 0
+
+
+def _lists(found: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *found])))
+
+
+def _common(rows: DataFrame) -> np.ndarray:
+    """Shingles that stand in many of the sampled texts, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            found = [shingles(text or "", SEED + kind) for kind, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["s"])
+
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("kind", "text").distinct()
+    counts = sample.mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    return np.sort(np.array([r["s"] for r in counts.orderBy(F.desc("n"), "s").limit(MOST_COMMON).collect()], np.int64))
+
+
+#: What two sets can share at most, by the prefix shingles they share (votes): behind the prefix that ends first, all the rest.
+_POSSIBLE = "9 * (votes + (4 * greatest(n_a, n_b) + 4) div 5 - 1) >= 4 * (n_a + n_b)"
+_SIZES = "5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)"
+
+
+def _compared(pairs: DataFrame, rows: DataFrame, known: DataFrame, repeated: bool) -> DataFrame:
+    """pairs(a, b) whose sets are similar enough; the sets are read from the texts of these pairs only."""
+    pairs = written(pairs, "pairs")
+    wanted = pairs.select("a").union(pairs.select("b")).toDF("sid").distinct().join(known.groupBy("sid").agg(F.min(F.struct("key", "check")).alias("row")), "sid").select("sid", "row.*")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2):
+            found = [shingles(t or "", SEED + kind) for kind, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found)], names=["sid", "s"])
+
+    texts = rows.join(wanted, ["key", "check"]).select("sid", "kind", "text")
+    texts = texts.dropDuplicates(["sid"]) if repeated else texts
+    sets = written(texts.mapInArrow(whole, "sid long, s array<long>"), "sets")
+    a, b = (sets.select(F.col("sid").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return written(pairs.join(a, "a").join(b, "b").where(both * 9 >= (F.size("sa") + F.size("sb")) * 4).select("a", "b"), "links")
+
+
+def roots(rows: DataFrame) -> DataFrame:
+    """rows(key long, check long, kind int, text) -> (key, check, root): the component of each row's text within its kind."""
+    common = _common(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 3):
+            sids, sizes, firsts = [], [], []
+            for kind, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                s = shingles(text or "", SEED + kind)
+                late = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(len(s), bool)
+                sids.append(xxhash.xxh64_intdigest(s.tobytes(), SEED + kind))
+                sizes.append(len(s))
+                firsts.append(np.concatenate([s[~late], s[late]])[: prefix(len(s))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), _lists(firsts)], names=["key", "check", "sid", "n", "first"])
+
+    read = rows.select("key", "check", "kind", "text").mapInArrow(run, "key long, check long, sid long, n int, first array<long>")
+    known = written(read, "shingled")
+    # equal sets are one node from the start
+    dealt = known.groupBy("sid").agg(F.first("n").alias("n"), F.first("first").alias("first")).select("sid", "n", F.posexplode("first").alias("at", "s"))
+    by = Window.partitionBy("s")
+    shared = dealt.withColumns({"texts": F.count(F.lit(1)).over(by), "centre": F.min(F.struct("sid", "n")).over(by)}).where(F.col("texts") > 1)
+    shared = written(shared.select("s", "sid", "n", "at", "centre"), "shared")
+    repeated = not known.groupBy("key", "check").count().where("count > 1").isEmpty()
+    # first with the centre that a text shares most with
+    votes = shared.where("sid != centre.sid").groupBy(F.col("sid").alias("a"), F.col("centre.sid").alias("b"), F.col("n").alias("n_a"), F.col("centre.n").alias("n_b")).agg(F.count(F.lit(1)).alias("votes"))
+    pairs = votes.where(_SIZES).where(_POSSIBLE).groupBy("a").agg(F.max(F.struct("votes", "b")).alias("most")).select("a", F.col("most.b").alias("b"))
+    links = _compared(pairs, rows, known, repeated)
+    # then whatever shares a prefix shingle and is not linked yet, but for pairs whose sizes, places and votes rule them out
+    labels = components(links).withColumnsRenamed({"node": "sid", "root": "label"})
+    labelled = shared.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    open_ = written(labelled.withColumns({"lo": F.min("label").over(by), "hi": F.max("label").over(by)}).where("lo != hi").select("s", "sid", "n", "at", "label"), "open")
+    a, b = (open_.select("s", *(F.col(c).alias(f"{c}_{x}") for c in ("sid", "n", "at", "label"))) for x in "ab")
+    most = "least(at_a, at_b) + least(n_a - at_a, n_b - at_b)"
+    crossed = a.join(b, "s").where(f"sid_a < sid_b AND label_a != label_b AND {_SIZES} AND 9 * ({most}) >= 4 * (n_a + n_b)")
+    crossed = crossed.groupBy(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"), "n_a", "n_b").agg(F.count(F.lit(1)).alias("votes")).where(_POSSIBLE)
+    links = links.union(_compared(crossed.select("a", "b"), rows, known, repeated))
+    found = known.select("key", "check", "sid").join(components(links).withColumnsRenamed({"node": "sid"}), "sid", "left")
+    return written(found.select("key", "check", F.coalesce("root", "sid").alias("root")), "roots")
+
+
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """One row of each component, all columns: that of the smallest doc_id (then smallest hash of the text); null ids last."""
+    key, check = F.coalesce(docs["doc_id"].cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    marked = docs.withColumns({"__key": key, "__check": check})
+    found = roots(marked.select(F.col("__key").alias("key"), F.col("__check").alias("check"), F.lit(0).alias("kind"), "text"))
+    kept = found.groupBy("root").agg(F.min(F.struct("key", "check")).alias("row")).select(F.col("row.key").alias("__key"), F.col("row.check").alias("__check"))
+    return marked.join(kept, ["__key", "__check"], "left_semi").dropDuplicates(["__key", "__check"]).select(*docs.columns)

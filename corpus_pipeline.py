@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import packing, pii, simhash, suffix_dedup, toxicity
+from chronofold.llm import near_copies, packing, pii, suffix_dedup, toxicity
 from chronofold.llm.common import table, written
 
 
@@ -31,8 +31,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays, that of the smallest doc_id."""
-    return simhash.without_near_duplicates(docs)
+    """One document of each component stays, that of the smallest doc_id: links are of 4/5 of the five-word shingles, or more."""
+    return near_copies.without_near_copies(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,67 @@
+"""The pipeline's near copies against all pairs of shingle sets."""
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from chronofold.llm import near_copies
+
+
+def words_set(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_roots(texts):
+    sets = [words_set(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+def planted():
+    """Texts with a footer in common, and of each third one copies with one to seven words replaced: similarities of 0.6 to 0.98."""
+    r = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(900)]
+    footer = " ".join(f"foot{i}" for i in range(60))
+    texts = []
+    for i in range(60):
+        base = list(r.choice(words, int(r.integers(90, 260))))
+        texts.append(" ".join(base) + (f" {footer}" if i % 2 else ""))
+        for k in range(1, 8) if i % 3 == 0 else ():
+            copy = list(base)
+            for at in r.choice(len(base), k, replace=False):
+                copy[at] = f"new{r.integers(1 << 40)}"
+            texts.append(" ".join(copy) + (f" {footer}" if i % 2 else ""))
+    few = [" ".join(r.choice(words[:6], int(r.integers(1, 12)))) for _ in range(80)]
+    return [*texts, *few, None, "", " ", texts[0].upper(), texts[0].replace(" ", "\n")]
+
+
+@pytest.mark.parametrize(("sample", "common"), [(16, 8), (1, 2)])
+def test_stage_against_all_pairs(spark, monkeypatch, sample, common):
+    monkeypatch.setattr(near_copies, "SAMPLE", sample)
+    monkeypatch.setattr(near_copies, "COMMON", common)
+    texts = planted()
+    roots = brute_roots(texts)
+    sets = [words_set(t) for t in texts]
+    likeness = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i] if a and b and a != b]
+    assert sum(0.8 <= x < 0.95 for x in likeness) > 50
+    docs = spark.createDataFrame([(i, t, -1) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long").repartition(3)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(roots))
+
+
+def test_prefixes_are_long_enough():
+    for n in range(1, 200):
+        assert near_copies.prefix(n) == n - min(k for k in range(n + 1) if 5 * k >= 4 * n) + 1
