@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronofold.llm import near_copies
 from chronofold.llm.common import slices, written
 
 #: Labelled rows that the weights are fitted to, at most.
@@ -226,15 +227,16 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING_ROWS) -> tuple[Lexicon, np.ndarray]:
     """Lexicon and weights from labelled rows that are not held out: at most ``bound``, those of the smallest hashed ids.
 
-    Texts whose smallest hash of three words is the same - copies and most near copies - count once. Without labels, or with one kind only, the general list and the grammar's own weights.
+    Of the equal texts and near copies (4/5 of the five-word shingles, or more) of one label, one counts: that of the smallest hash. Without labels, or with one kind only, the general list and the grammar's own weights.
     """
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)  # at most `bound` ids are broadcast
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    texts = texts.join(F.broadcast(known), "doc_id").withColumn("words", F.split("text", r"\s+"))
-    shingles = F.transform("words", lambda word, i: F.xxhash64(word, F.get("words", i + 1), F.get("words", i + 2)))
-    texts = texts.select("toxic", "text", F.array_min(shingles).alias("same"))
-    rows = written(texts.groupBy("same").agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).orderBy("same").limit(bound).select("toxic", "text"), "labelled")
+    texts = texts.join(F.broadcast(known), "doc_id").select("toxic", "text").distinct()
+    texts = written(texts.select(F.xxhash64("text").alias("key"), F.col("toxic").cast("long").alias("check"), F.col("toxic").alias("kind"), "text"), "labelled")
+    kept = near_copies.roots(texts).groupBy("root").agg(F.min(F.struct("key", "check")).alias("row")).select("row.*")
+    rows = texts.join(kept, ["key", "check"], "left_semi").orderBy("key", "check").limit(bound)
+    rows = written(rows.select(F.col("kind").alias("toxic"), "text"), "training")
     kinds = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = kinds.get(1, 0), kinds.get(0, 0)
     if not toxic or not clean:
