@@ -25,10 +25,13 @@ EXACT = float(1 << 53)
 
 
 def integer_vectors(vectors: DataFrame, factor: int = 64) -> DataFrame:
-    """(vec_id, v array<long>, norm): floor(factor * x) of every component; rows that are not all finite are left out."""
-    good = F.col("e").isNotNull() & ~F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > 1e17))
+    """(vec_id, v array<long>, norm): floor(factor * x) of every component; rows that are not all finite are left out.
+
+    A finite component whose product is no 64-bit integer is an error.
+    """
+    good = F.col("e").isNotNull() & ~F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     v = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast("array<double>").alias("e")).where(good)
-    v = v.select("vec_id", F.transform("e", lambda x: F.floor(x * factor)).alias("v"))
+    v = v.select("vec_id", F.transform("e", lambda x: F.when(F.abs(x * factor) < float(1 << 63), F.floor(x * factor)).otherwise(F.raise_error(F.lit("a component is too large for 64-bit integers")))).alias("v"))
     return v.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)))
 
 
@@ -96,7 +99,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, factor: int = 64) ->
 
     Queries are the rows whose vec_id is divisible by ``every``; a query's own row is the one of the same vec_id, so rows
     that repeat a vec_id are no candidates for each other, and a repeated query id is searched once, with its smallest
-    vector. Vectors that are null, or hold a null or a non-finite component, take no part; shorter vectors count as padded
+    vector. Vectors that are null, or hold a null or a non-finite component, take no part; finite ones too large for 64-bit
+    integers, or for products of 64 bits, are an error; shorter vectors count as padded
     with zeros; a null vec_id takes no part. Buckets and blocks of queries meet pair by pair, pruned pairs not at all.
     """
     schema = "query_id long, vec_id long, score long"
@@ -108,6 +112,10 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, factor: int = 64) ->
     bounds = sorted(set(data.agg(F.percentile_approx("norm", [i / buckets for i in range(1, buckets)], 20 * buckets)).first()[0] or [])) if buckets > 1 else []
     queries = data.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).select(F.col("vec_id").alias("query_id"), "v")
     queries = written(queries.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x))), "queries")
+    # no product is larger than its two lengths multiplied
+    (top, *second), most = data.orderBy(F.desc("norm"), "vec_id").limit(2).collect(), queries.agg(F.max("norm")).first()[0]
+    if (most or 0) * (second[0]["norm"] if second and top["vec_id"] % every == 0 else top["norm"]) >= float(1 << 63) and (second or top["vec_id"] % every):
+        raise ValueError("products of these vectors may not fit into 64-bit integers")
     # the longest vectors, at most one bucket of them: a first threshold for each query, from a side of fixed size
     longest = data.orderBy(F.desc("norm"), "vec_id").limit(min(BUCKET, 1024)).select("vec_id", "v").toArrow()
     long_ids, long_rows = longest.column("vec_id").to_numpy(), longest.column("v").combine_chunks()
