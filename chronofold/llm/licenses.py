@@ -48,7 +48,7 @@ def words_of(text: str) -> list[bytes]:
 
 class Searcher:
     def __init__(self, notices: tuple = NOTICES, edits_every: int = EDITS_EVERY) -> None:
-        self.seeds, self.checks = ahocorasick.Automaton(), []
+        self.seeds, self.checks, self.edits_every = ahocorasick.Automaton(), [], edits_every
         places: dict[str, list[tuple[int, int]]] = {}
         for at, (notice, label) in enumerate(notices):
             edits = len(notice) // edits_every
@@ -62,24 +62,25 @@ class Searcher:
 
     def find(self, joined: str) -> list[tuple[int, int, int, str, float]]:
         """(start, end, notice, label, likeness) in the space-joined words; spans of a notice don't overlap."""
-        areas: dict[int, list[list[int]]] = {}
+        areas: dict[int, list[tuple[int, int]]] = {}
         for end, found in self.seeds.iter(joined):
             for at, seed_end in found:
                 _, n, edits, _ = self.checks[at]
-                lo, hi = max(0, end + 1 - seed_end - edits), end + 1 - seed_end + n + edits
-                last = areas.setdefault(at, [])
-                if last and lo <= last[-1][1] and lo >= last[-1][0]:
-                    last[-1][1] = max(hi, last[-1][1])
-                else:
-                    last.append([lo, hi])
+                areas.setdefault(at, []).append((max(0, end + 1 - seed_end - edits), min(len(joined), end + 1 - seed_end + n + edits)))
         out = []
-        for at, stretches in areas.items():
+        for at, places in areas.items():
             check, n, _, label = self.checks[at]
-            done = 0
-            for lo, hi in sorted(stretches):
-                for m in check.finditer(joined, max(lo, done), min(hi, len(joined))):
+            stretches: list[tuple[int, int]] = []
+            for lo, hi in sorted(places):
+                if stretches and lo <= stretches[-1][1]:
+                    stretches[-1] = (stretches[-1][0], max(hi, stretches[-1][1]))
+                else:
+                    stretches.append((lo, hi))
+            while stretches:  # the best match of a stretch comes first; what lies before and behind it is searched again
+                lo, hi = stretches.pop()
+                if m := check.search(joined, lo, hi):
                     out.append((m.start(), m.end(), at, label, 1 - sum(m.fuzzy_counts) / n))
-                    done = m.end()
+                    stretches += [(a, b) for a, b in ((lo, m.start()), (m.end(), hi)) if b - a >= n - n // self.edits_every]
         return out
 
 
