@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,14 +21,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
+    """The folder of spark.checkpoint.dir. Where a session names none, it has to be a single machine's (local mode), which
+    gets a temporary one; on a cluster that is an error, as executors would not see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='chronofold-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def private(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, each behind as many underscores as make it no column of df (whatever the case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
 def _own_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/chronofold-{spark.sparkContext.applicationId}"
 

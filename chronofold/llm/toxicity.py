@@ -24,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm import near_copies
-from chronofold.llm.common import slices, written
+from chronofold.llm import simhash
+from chronofold.llm.common import partitions, slices, written
 
-#: Labelled rows that the weights are fitted to, at most.
-MAX_TRAINING_ROWS = 20_000
+#: Labelled rows that the weights are fitted to, at most; of rows of one label whose fingerprints of 256 bits differ in so
+#: many bits or fewer (some four fifths of the five-word shingles in common), one counts.
+MAX_TRAINING_ROWS, SAME_BITS = 20_000, 48
 INSULTS = (
     "idiot idiots moron morons stupid dumb fool loser losers clown clowns scum trash garbage pathetic worthless disgusting imbecile "
     "cretin jerk bastard bitch asshole dumbass retard degenerate vermin pig creep freak coward liar "
@@ -224,19 +225,46 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def first_of_copies(prints: np.ndarray, labels: np.ndarray, bits: int = SAME_BITS, rows: int = 1024) -> np.ndarray:
+    """Which rows have no near copy of their label before them; ``prints`` (n, words) are fingerprints."""
+    kept = np.ones(len(prints), bool)
+    for label in np.unique(labels):
+        own = np.flatnonzero(labels == label)
+        signs = np.unpackbits(np.ascontiguousarray(prints[own]).view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+        for at in range(0, len(own), rows):
+            # a product of signs is the number of equal bits less that of differing ones
+            near = signs[at : at + rows] @ signs[: at + rows].T >= signs.shape[1] - 2 * bits
+            kept[own[at : at + rows]] = ~np.tril(near, at - 1).any(axis=1)
+    return kept
+
+
 def learn(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING_ROWS) -> tuple[Lexicon, np.ndarray]:
     """Lexicon and weights from labelled rows that are not held out: at most ``bound``, those of the smallest hashed ids.
 
-    Of the equal texts and near copies (4/5 of the five-word shingles, or more) of one label, one counts: that of the smallest hash. Without labels, or with one kind only, the general list and the grammar's own weights.
+    Of the equal texts and near copies of one label one counts, that of the smallest hash. Rows with a null doc_id, label or
+    a label but 0 and 1 teach nothing; null texts count as empty. Without labels, or with one kind only, the general list and
+    the grammar's own weights. The driver gets fingerprints, counts of beginnings and features of at most ``bound`` rows.
     """
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)  # at most `bound` ids are broadcast
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    texts = texts.join(F.broadcast(known), "doc_id").select("toxic", "text").distinct()
-    texts = written(texts.select(F.xxhash64("text").alias("key"), F.col("toxic").cast("long").alias("check"), F.col("toxic").alias("kind"), "text"), "labelled")
-    kept = near_copies.roots(texts).groupBy("root").agg(F.min(F.struct("key", "check")).alias("row")).select("row.*")
-    rows = texts.join(kept, ["key", "check"], "left_semi").orderBy("key", "check").limit(bound)
-    rows = written(rows.select(F.col("kind").alias("toxic"), "text"), "training")
+    texts = texts.join(F.broadcast(known), "doc_id").select("toxic", "text").distinct().withColumn("h", F.xxhash64("text"))
+    texts = written(texts, "labelled")
+    if texts.count() > bound:  # ids may repeat
+        texts = written(texts.orderBy("h", "toxic", "text").limit(bound), "labelled")
+    texts = texts.repartition(partitions(docs.sparkSession), "h")
+
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2):
+            found = [simhash.wide(np.unique(simhash.shingles(t, simhash.SHINGLE, simhash.SEED))).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["h", "toxic", "print"])
+
+    found = sorted(tuple(r) for r in texts.select("h", "toxic", "text").mapInArrow(printed, "h long, toxic int, print binary").collect())
+    if not found:
+        return Lexicon(), PRIOR.copy()
+    kept = first_of_copies(np.frombuffer(b"".join(r[2] for r in found), np.uint64).reshape(len(found), -1), np.array([r[1] for r in found]))
+    chosen = docs.sparkSession.createDataFrame([r[:2] for r, k in zip(found, kept, strict=True) if k], "h long, toxic int")
+    rows = written(texts.join(F.broadcast(chosen), ["h", "toxic"], "left_semi").select("toxic", "text"), "training")
     kinds = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = kinds.get(1, 0), kinds.get(0, 0)
     if not toxic or not clean:
@@ -271,7 +299,11 @@ def _scores(reader: Grammar, texts: list, weights: np.ndarray) -> np.ndarray:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """The rows of docs, all columns, whose score is below 0.5."""
+    """The rows of docs, all columns, whose score is below 0.5.
+
+    Null and empty texts have the score of the bias alone, rows with a null doc_id are scored like any other, repeated rows
+    alike, very long texts whole; an empty table gives an empty one, other columns are carried along, whatever their names.
+    """
     lexicon, weights = learn(docs, labels, bound)
     at = docs.columns.index("text")
 
@@ -287,7 +319,9 @@ def score(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING_ROWS) ->
     """docs(doc_id, text) -> (doc_id, held_out, score, predicted), a row for each row.
 
     Null and empty texts have no clause and get the score of the bias alone. Only the text enters the score. Rows with a
-    null doc_id are never learned from. The texts pass one narrow stage; labelled ones pass it once more for the fit.
+    null doc_id are never learned from and count as held out. Repeated rows get repeated results, very long texts are read
+    whole, an empty table gives an empty result, other columns are not read. The texts pass one narrow stage; labelled ones
+    pass it once more for the fit.
     """
     lexicon, weights = learn(docs, labels, bound)
 
