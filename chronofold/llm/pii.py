@@ -11,17 +11,18 @@ on the driver. Strict spans always stay; the classifier adds further ones.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import written
+from chronofold.llm.common import private, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: A character that no pattern matches marks the ends of matches; where texts hold it, another stands in for it.
 _MARK, _STAND_IN = chr(0xE000), chr(0xE001)
-_SPANS = "array<struct<kind:int,s:int,e:int,m:string,strict:boolean>>"
+_SPANS = "array<struct<kind:int,s:int,e:int,m:string,strict:boolean,before:string,after:string>>"
 
 #: Leftmost matches of the contract's patterns: none can start within a run whose beginning could not start one, so starts
 #: are only tried at the beginning of a run (or where the last match ended), and no quantifier needs to give back.
@@ -52,18 +53,50 @@ LABELERS = ("strict", "checksum", "gazetteer", "context", "alone")
 CONTEXT_CHARS = 32
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), the value computed once for a row, also where ``then`` uses it within functions of an array's elements."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _larger(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def _running(values: Column, zero: Column, join: Callable[[Column, Column], Column], levels: int = 2, block: int = 64) -> Column:
+    """What joins all elements before each element (a variable or column): block by block, so the work hardly exceeds their number."""
+    fold = lambda part: F.aggregate(part, zero, join)
+    if not levels:
+        return F.transform(values, lambda _, i: fold(F.slice(values, F.lit(1), i)))
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(values) / block).cast("int") - 1)), lambda b: fold(F.slice(values, b * block + 1, F.lit(block))))
+    return _let(blocks, lambda sums: _let(_running(sums, zero, join, levels - 1, block), lambda starts: F.transform(values, lambda _, i: join(F.get(starts, F.floor(i / block).cast("int")), fold(F.slice(values, i - i % block + 1, i % block))))))
+
+
 def _matches(text: Column, kind: int, pattern: str, strict: bool) -> Column:
-    """array<struct<kind, s, e, m, strict>> of a pattern's leftmost matches: s and e in code points, e exclusive."""
+    """array<struct<kind, s, e, m, strict, before, after>> of a pattern's leftmost matches: s and e in code points, e
+    exclusive; the CONTEXT_CHARS characters before and the one after. The text is cut at its matches once, and what a match
+    needs is read from the pieces around it, so the work is linear in the text and in its matches."""
     pieces = F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK)
-    empty = F.array().cast(_SPANS)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), empty.alias("out"))
+    # every second piece is a match of at least one character, so twice as many pieces hold the context
+    most = 2 * CONTEXT_CHARS
 
-    def step(done: Column, piece: Column) -> Column:
-        end = done["at"] + F.length(piece)
-        found = F.struct(F.lit(kind).alias("kind"), done["at"].alias("s"), end.alias("e"), piece.alias("m"), F.lit(strict).alias("strict"))
-        return F.struct(end.alias("at"), (~done["inside"]).alias("inside"), F.when(done["inside"], F.concat(done["out"], F.array(found))).otherwise(done["out"]).alias("out"))
+    def located(p: Column, sizes: Column, at: Column, tails: Column) -> Column:
+        def found(k: Column) -> Column:
+            i = 2 * k + 1
+            first = F.greatest(F.lit(0), i - most)
+            before = F.concat_ws("", F.slice(tails, first + 1, i - first))
+            after = F.concat(F.substring(F.get(p, i + 1), 1, 1), F.substring(F.coalesce(F.get(p, i + 2), F.lit("")), 1, 1))
+            return F.struct(
+                F.lit(kind).alias("kind"), F.get(at, i).alias("s"), (F.get(at, i) + F.get(sizes, i)).alias("e"), F.get(p, i).alias("m"), F.lit(strict).alias("strict"),
+                F.substring(before, -CONTEXT_CHARS, CONTEXT_CHARS).alias("before"), F.substring(after, 1, 1).alias("after"),
+            )
 
-    return F.aggregate(pieces, start, step, lambda done: done["out"])
+        return F.transform(F.sequence(F.lit(0), F.floor(F.size(p) / 2).cast("int") - 1), found)
+
+    def cut(p: Column) -> Column:
+        sizes, tails = F.transform(p, F.length), F.transform(p, lambda x: F.substring(x, -CONTEXT_CHARS, CONTEXT_CHARS))
+        return _let(sizes, lambda n: _let(_running(n, F.lit(0), lambda x, y: x + y), lambda at: _let(tails, lambda t: located(p, n, at, t))))
+
+    return _let(pieces, lambda p: F.when(F.size(p) > 2, cut(p)).otherwise(F.array().cast(_SPANS)))
 
 
 def _digits(match: Column) -> Column:
@@ -81,12 +114,12 @@ def _valid(kind: Column, match: Column) -> Column:
     )
 
 
-def _votes(text: Column, c: Column) -> Column:
+def _votes(c: Column) -> Column:
     """The candidate with its labelers' votes (1 yes, -1 no, 0 nothing) and its class of lengths."""
     kind, m = c["kind"], c["m"]
     digits = _digits(m)
     vote = lambda yes: F.when(yes, 1).otherwise(-1)
-    before = F.lower(F.substring(text, F.greatest(F.lit(1), c["s"] - (CONTEXT_CHARS - 1)), F.least(F.lit(CONTEXT_CHARS), c["s"])))
+    before = F.lower(c["before"])
     checksum = F.when(kind == 0, vote(m.rlike(r"(?i)[a-z]{2,24}$"))).when(kind == 1, vote(~c["strict"] | c["ok"])).when(kind == 2, vote(F.call_function("luhn_check", digits))).otherwise(vote(F.length(digits).between(8, 15)))
     gazetteer = (
         F.when(kind == 0, F.when(m.rlike(rf"(?i)(?:{_DOMAINS})$"), 1).otherwise(0))
@@ -97,7 +130,7 @@ def _votes(text: Column, c: Column) -> Column:
     context = F.lit(0)
     for k, words in enumerate(CONTEXT):
         context = F.when((kind == k) & before.rlike(words), 1).otherwise(context)
-    alone = vote(~before.rlike(r"[A-Za-z0-9_#=.\-]$") & ~F.substring(text, c["e"] + 1, F.lit(1)).rlike("[A-Za-z0-9_]"))
+    alone = vote(~before.rlike(r"[A-Za-z0-9_#=.\-]$") & ~c["after"].rlike("[A-Za-z0-9_]"))
     return F.struct(
         kind.alias("kind"), c["s"].alias("s"), c["e"].alias("e"), (c["strict"] & c["ok"]).alias("base"),
         F.when(c["strict"] & c["ok"], 1).otherwise(0).alias("strict"), checksum.alias("checksum"), gazetteer.alias("gazetteer"), context.alias("context"), alone.alias("alone"),
@@ -107,17 +140,21 @@ def _votes(text: Column, c: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """All candidate spans of a text with their votes; a null text has none."""
-    plain = F.translate(F.coalesce(text, F.lit("")), _MARK, _STAND_IN)
-    none = F.array().cast(_SPANS)
-    found = []
-    for kind in range(4):
-        own = _matches(plain, kind, STRICT[kind], True)
-        found.append(F.when(F.contains(plain, F.lit(NEEDED[kind])), own).otherwise(none) if NEEDED[kind] else own)
-    found.append(F.when(F.lower(plain).rlike(r"[(\[]at[)\]]"), _matches(plain, 0, LOOSE[0], False)).otherwise(none))
-    found.append(F.when(F.contains(plain, F.lit(":")), _matches(plain, 1, LOOSE[1], False)).otherwise(none))
-    found += [_matches(plain, kind, LOOSE[kind], False) for kind in (2, 3)]
-    checked = F.transform(F.concat(*found), lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e"), c["m"].alias("m"), c["strict"].alias("strict"), _valid(c["kind"], c["m"]).alias("ok")))
-    return F.transform(checked, lambda c: _votes(plain, c))
+
+    def found(plain: Column) -> Column:
+        none = F.array().cast(_SPANS)
+        out = []
+        for kind in range(4):
+            own = _matches(plain, kind, STRICT[kind], True)
+            out.append(F.when(F.contains(plain, F.lit(NEEDED[kind])), own).otherwise(none) if NEEDED[kind] else own)
+        out.append(F.when(F.lower(plain).rlike(r"[(\[]at[)\]]"), _matches(plain, 0, LOOSE[0], False)).otherwise(none))
+        out.append(F.when(F.contains(plain, F.lit(":")), _matches(plain, 1, LOOSE[1], False)).otherwise(none))
+        out += [_matches(plain, kind, LOOSE[kind], False) for kind in (2, 3)]
+        return F.concat(*out)
+
+    spans = _let(F.translate(F.coalesce(text, F.lit("")), _MARK, _STAND_IN), found)
+    checked = F.transform(spans, lambda c: c.withField("ok", _valid(c["kind"], c["m"])))
+    return F.transform(checked, _votes)
 
 
 def _reliabilities(rows: list[dict], steps: int = 100) -> list[float]:
@@ -196,9 +233,26 @@ def _chosen(found: Column, weights: dict[str, float]) -> Column:
                 terms.append(F.when(c[label] == int(vote), w).otherwise(0.0))
         return reduce(lambda a, b: a + b, terms) >= 0
 
-    base = F.filter(found, lambda c: c["base"])
-    more = F.filter(found, lambda c: ~c["base"] & accepted(c) & ~F.exists(base, lambda b: (b["kind"] == c["kind"]) & (b["s"] < c["e"]) & (c["s"] < b["e"])))
-    return F.array_sort(F.transform(F.concat(base, more), lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e"), c["base"].alias("base"))))
+    # kinds lie far apart on one line; in its order a span meets a strict one if an earlier one ends behind its start, or a
+    # later one starts before its end
+    far = F.lit(1 << 32)
+    line = lambda c: F.struct((c["kind"] * far + c["s"]).alias("from"), (c["kind"] * far + c["e"]).alias("to"), (c["base"] | accepted(c)).alias("good"), c["base"].alias("base"))
+
+    def judged(spans: Column, ends: Column, starts: Column) -> Column:
+        n = F.size(spans)
+        alone = lambda c, i: (F.get(ends, i) <= c["from"]) & (F.get(starts, n - 1 - i) >= c["to"])
+        kept = F.filter(spans, lambda c, i: c["good"] & (c["base"] | alone(c, i)))
+        kind = lambda x: F.floor(x / far).cast("int")
+        return F.transform(kept, lambda c: F.struct(kind(c["from"]).alias("kind"), (c["from"] % far).cast("int").alias("s"), (c["to"] - kind(c["from"]) * far).cast("int").alias("e"), c["base"].alias("base")))
+
+    def told(spans: Column) -> Column:
+        ends = F.transform(spans, lambda c: F.when(c["base"], c["to"]).otherwise(F.lit(-1).cast("long")))
+        starts = F.reverse(F.transform(spans, lambda c: F.when(c["base"], c["from"]).otherwise(F.lit(1 << 62))))
+        latest = lambda x: _running(x, F.lit(-1).cast("long"), _larger)
+        first = lambda x: _running(x, F.lit(1 << 62), lambda a, b: F.least(a, b))
+        return _let(ends, lambda e: _let(latest(e), lambda before: _let(starts, lambda x: _let(first(x), lambda behind: judged(spans, before, behind)))))
+
+    return _let(F.sort_array(F.transform(found, line)), told)
 
 
 def learned(found: DataFrame) -> dict[str, float]:
@@ -217,7 +271,9 @@ def find(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> strict spans' counts and hash, and all spans, a row for each row.
 
     Null texts count as empty: no spans, the hash of an empty string. The texts are read once; the candidates are written
-    to the shared folder, counted there, and judged. Without any candidate nothing is learned and nothing added.
+    to the shared folder, counted there, and judged. Without any candidate (so in an empty table) nothing is learned and
+    nothing added. Null ids stay null, repeated rows give repeated results, other columns are not read; the work is linear in
+    a text and in its matches.
     """
     found = written(docs.select(docs["doc_id"].cast("long").alias("doc_id"), candidates(docs["text"]).alias("found")), "candidates")
     weights = learned(found)
@@ -228,18 +284,41 @@ def find(docs: DataFrame) -> DataFrame:
     return judged.select("doc_id", *counts, F.sha2(_told(base).cast("binary"), 256).alias("base_sha256"), _told(F.col("spans")).alias("spans"))
 
 
-def masked(docs: DataFrame) -> DataFrame:
-    """The same rows and columns, every span replaced by its kind in angle brackets; where spans meet, the first one counts."""
-    found = docs.withColumn("__found", candidates(docs["text"]))
-    weights = learned(found.select(F.col("__found").alias("found")))
-    spans = F.array_sort(F.transform(_chosen(F.col("__found"), weights), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["kind"].alias("kind"))))
+def _pieces_of(text: Column, sizes: tuple[int, ...] = (1 << 16, 1 << 10)) -> Column:
+    """The text in pieces of sizes[-1] code points: cut into large ones first, as a place is found by counting from the start."""
+    of = lambda whole, size: F.transform(F.sequence(F.lit(0), F.floor(F.length(whole) / size).cast("int")), lambda i: F.substring(whole, i * size + 1, F.lit(size)))
+    return F.flatten(F.transform(of(text, sizes[0]), lambda part: F.filter(of(part, sizes[1]), lambda x: F.length(x) > 0)))
+
+
+def _masked_text(text: Column, spans: Column, piece: int = 1 << 10) -> Column:
+    """spans(s, e, kind), sorted: each replaced by its kind in angle brackets; where spans meet, the first one counts for all."""
     marks = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
 
-    def step(done: Column, c: Column) -> Column:
-        more = F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, c["s"] - done["at"]), F.element_at(marks, c["kind"] + 1))
-        meets = c["s"] < done["at"]
-        return F.struct(F.when(meets, F.greatest(done["at"], c["e"])).otherwise(c["e"]).alias("at"), F.when(meets, done["out"]).otherwise(more).alias("out"))
+    def joined(c: Column, reach: Column, parts: Column) -> Column:
+        def between(start: Column, end: Column) -> Column:
+            first = F.floor(start / piece).cast("int")
+            held = F.concat_ws("", F.slice(parts, first + 1, F.floor(end / piece).cast("int") - first + 1))
+            return F.substring(held, start - first * piece + 1, end - start)
+
+        kept = F.transform(c, lambda x, i: F.when(x["s"] >= F.get(reach, i), F.concat(between(F.get(reach, i), x["s"]), F.element_at(marks, x["kind"] + 1))).otherwise(F.lit("")))
+        last = F.greatest(F.get(reach, F.size(c) - 1), F.get(c, F.size(c) - 1)["e"])
+        return F.concat(F.concat_ws("", kept), between(last, F.length(text)))
 
-    rest = lambda done: F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.length("text")))
-    text = F.when(F.size(spans) > 0, F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest)).otherwise(F.col("text"))
-    return found.withColumn("text", text).drop("__found")
+    ends = lambda c: F.transform(c, lambda x: x["e"])
+    reached = lambda c, then: _let(ends(c), lambda e: _let(_running(e, F.lit(0), _larger), then))
+    return _let(spans, lambda c: reached(c, lambda reach: _let(_pieces_of(text), lambda parts: joined(c, reach, parts))))
+
+
+def masked(docs: DataFrame) -> DataFrame:
+    """The same rows and columns, every span replaced by its kind in angle brackets; where spans meet, the first one counts.
+
+    Texts without spans stay as they are: null stays null, empty stays empty. Repeated rows and ties are treated alike, an
+    empty table gives an empty one, other columns are carried along, whatever their names. Rows and candidates are written
+    to the shared folder first, so the texts are searched once; the work is linear in a text and in its matches.
+    """
+    name, chosen = private(docs, "found", "chosen")
+    found = written(docs.withColumn(name, candidates(docs["text"])), "candidates")
+    weights = learned(found.select(F.col(name).alias("found")))
+    spans = F.sort_array(F.transform(_chosen(F.col(name), weights), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["kind"].alias("kind"))))
+    found = found.withColumn(chosen, F.when(F.size(name) > 0, spans))  # a step of its own, or the nested functions are too deep to resolve
+    return found.withColumn("text", F.when(F.size(chosen) > 0, _masked_text(F.col("text"), F.col(chosen))).otherwise(F.col("text"))).select(*(F.col(f"`{c}`") for c in docs.columns))
