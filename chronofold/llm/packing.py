@@ -9,12 +9,15 @@ is bounded by a small multiple of the capacity, whatever the number of documents
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections import defaultdict, deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,18 +96,46 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return runs
 
 
-def pieces(docs: DataFrame, rank_file: str, pattern: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
+def encoder(tokenizer_file: str, pattern: str) -> Callable[[str], bytes]:
+    """A byte-level BPE tokenizer's file of the tokenizers library -> text to ids, as that library gives them without special
+    tokens added: little-endian unsigned 32-bit integers. Added tokens that stand in a text are cut out of it first and get
+    their own ids, as there. The merges run in tiktoken, which needs the ids to follow the merges' order; files for which
+    this does not hold, or with added tokens of other kinds, are an error.
+    """
+    with open(tokenizer_file, encoding="utf-8") as lines:
+        told = json.load(lines)
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the bytes that stand for themselves; others follow from 256 on
+    letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+    added = {x["content"]: x["id"] for x in told["added_tokens"]}
+    vocabulary = {token: i for token, i in told["model"]["vocab"].items() if token not in added}
+    merges = [m if isinstance(m, str) else " ".join(m) for m in told["model"]["merges"]]
+    if any(x[flag] for x in told["added_tokens"] for flag in ("single_word", "lstrip", "rstrip", "normalized")) or told["normalizer"] or told["model"]["type"] != "BPE" or [vocabulary[m.replace(" ", "")] for m in merges] != list(range(256, 256 + len(merges))):
+        raise ValueError(f"{tokenizer_file}: not a plain byte-level BPE whose ids follow its merges")
+    ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items()}
+    encoding = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    cut = re.compile(f"({'|'.join(map(re.escape, sorted(added, key=len, reverse=True)))})") if added else None
+
+    def encode(text: str) -> bytes:
+        if not any(a in text for a in added):
+            return bpe.encode_bytes(encoding, text)
+        parts = cut.split(text)  # every second one is an added token
+        return b"".join(added[x].to_bytes(4, "little") if i % 2 else bpe.encode_bytes(encoding, x) for i, x in enumerate(parts))
+
+    return encode
+
+
+def pieces(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """Tokenises docs(doc_id, text), appends end_id and cuts longer documents; the first piece may be shorter.
 
     A null text counts as empty and gives the end id alone; rows repeat as often as in the input.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, end = bpe.load(rank_file, pattern), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer_file, pattern), np.array([end_id], "<u4").tobytes()
         for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = bpe.encode_bytes(encoding, text or "") + end
+                ids = encode(text or "") + end
                 n = len(ids) // 4
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
                 rows += [(doc_id, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
@@ -148,9 +179,11 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, rank_file: str, pattern: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    """Tokenises, cuts and packs docs(doc_id, text). An empty table gives an empty result.
+def pack_documents(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
+    """Tokenises, cuts and packs docs(doc_id, text) by a tokenizers file, see encoder(); a row for each piece.
 
-    One narrow stage over the texts; only (id, piece, start, length, checksum) rows are shuffled.
+    Null and empty texts are the end id alone, a null doc_id stays null, repeated rows are packed as often as they stand,
+    very long texts are tokenised whole and cut, an empty table gives an empty result, other columns are not read. One narrow
+    stage over the texts; only (id, piece, start, length, checksum) rows are shuffled.
     """
-    return pack(pieces(docs, rank_file, pattern, end_id, capacity), capacity)
+    return pack(pieces(docs, tokenizer_file, pattern, end_id, capacity), capacity)
