@@ -26,18 +26,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import partitions, slices, written
+from chronofold.llm.common import partitions, private, slices, written
 from chronofold.llm.suffix_array import suffix_array
 
 LENGTH, SEED, BLOCK = 400, 16, 8
 #: Bytes of a text that are searched for anchors at a time.
 STEP = 1 << 18
 #: Stretches whose suffixes are sorted together (a class is never split here), and those from which a class is refined.
-BATCH, LARGE = 12_000, 4_000
+BATCH, LARGE = 12_000, 500
 #: Stretches of one refined class from which its strings are counted instead of sorted: no task ever holds more.
 HUGE = 50_000
 _LEAST = -(1 << 63)
-_U = np.uint64
+_U, PRIME = np.uint64, (1 << 61) - 1
 
 
 def window_of(length: int) -> int:
@@ -45,19 +45,52 @@ def window_of(length: int) -> int:
     return min(96, (length + 2 - SEED) // 3)
 
 
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo PRIME of numbers below it: 2^61 counts as 1."""
+    a1, a0, b1, b0 = a >> _U(31), a & _U((1 << 31) - 1), b >> _U(31), b & _U((1 << 31) - 1)
+    middle = a1 * b0 + a0 * b1
+    return reduced(a1 * b1 * _U(2) + (middle >> _U(30)) + ((middle & _U((1 << 30) - 1)) << _U(31)) + a0 * b0)
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _U(PRIME)) + (x >> _U(61))
+    return np.where(x >= _U(PRIME), x - _U(PRIME), x)
+
+
 class Hasher:
-    """Polynomial hashes modulo 2^64 of byte spans, the bytes first replaced by fixed random words."""
+    """Polynomial hashes of byte spans modulo the prime 2^61 - 1, to a fixed random base.
+
+    The powers are split into their low 30 and high 31 bits, so that running sums of bytes times half a power stay exact in 64
+    bits, and only what is asked for is reduced. Two spans of n bytes that differ share a hash for at most n bases in 2^61.
+    """
 
     def __init__(self, most: int) -> None:
-        base = 0x9E3779B97F4A7C15 * 3 & (1 << 64) - 1 | 1
-        self.words = np.random.default_rng(20011).integers(0, 1 << 64, 256, dtype=_U)
-        self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, _U), np.full(most, x, _U)])) for x in (base, pow(base, -1, 1 << 64)))
+        base = 0x0B9D3C8E6F5A1742D
+        self.up, self.down = self._powers(base % PRIME, most), self._powers(pow(base, -1, PRIME), most)
+        self.low, self.high = self.up & _U((1 << 30) - 1), self.up >> _U(30)
+
+    @staticmethod
+    def _powers(base: int, most: int) -> np.ndarray:
+        out = np.ones(1, _U)
+        while len(out) <= most:
+            out = np.concatenate([out, times(out, np.full(1, pow(base, len(out), PRIME), _U))])
+        return out
 
-    def sums(self, data: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.zeros(1, _U), np.cumsum(self.words[data] * self.up[: len(data)])])
+    def sums(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        digits, zero = data.astype(_U) + _U(1), np.zeros(1, _U)
+        return tuple(np.concatenate([zero, np.cumsum(digits * half[: len(data)])]) for half in (self.low, self.high))
 
-    def span(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (sums[end] - sums[start]) * self.down[start]
+    def span(self, sums: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        low, high = (s[end] - s[start] for s in sums)
+        return times(reduced(times(high, np.full(1, 1 << 30, _U)) + low), self.down[start])
+
+
+def seed_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of the SEED bytes from each place on, from the two 8-byte words that they are; it only chooses anchors."""
+    words, raw = np.empty(len(data) - 7, _U), data.tobytes()
+    for k in range(8):
+        words[k::8] = np.frombuffer(raw, "<u8", (len(data) - k) // 8, k)
+    return mix(words[:-8] * _U(0x9E3779B97F4A7C15) + mix(words[8:]))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -85,8 +118,7 @@ def anchor_records(data: bytes, length: int, hasher: Hasher) -> tuple[np.ndarray
         part = whole[lo : min(n, base + STEP + length + 4 * w)]
         if len(part) < SEED + w:
             continue
-        sums = hasher.sums(part)
-        seeds = mix((sums[SEED:] - sums[:-SEED]) * hasher.down[: len(part) - SEED + 1])
+        sums, seeds = hasher.sums(part), seed_hashes(part)
         least = _sliding(seeds, w, np.minimum)
         edge = np.zeros(w - 1, _U)
         at = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), w, np.maximum) == seeds)
@@ -103,10 +135,18 @@ def anchor_records(data: bytes, length: int, hasher: Hasher) -> tuple[np.ndarray
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else None
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with key and check: rows of equal doc_id and text are told apart from all others, also where doc_id is null."""
+def keyed(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with two columns and their names: rows of equal doc_id and text are told apart from all others, also where doc_id
+    is null."""
+    key, check = private(docs, "key", "check")
     text = F.coalesce(docs["text"], F.lit(""))
-    return docs.withColumns({"__key": F.coalesce(docs["doc_id"].cast("long"), F.lit(_LEAST)), "__check": F.xxhash64(docs["doc_id"].cast("long"), text)})
+    return docs.withColumns({key: F.coalesce(docs["doc_id"].cast("long"), F.lit(_LEAST)), check: F.xxhash64(docs["doc_id"].cast("long"), text)}), key, check
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """(key, check, text) of docs, see keyed()."""
+    rows, key, check = keyed(docs)
+    return rows.select(F.col(key).alias("key"), F.col(check).alias("check"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _anchors(docs: DataFrame, length: int) -> DataFrame:
@@ -124,7 +164,7 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=[c.split()[0] for c in columns.split(", ")])
 
-    return keyed(docs).where(F.length("text") * 4 >= length).select("__key", "__check", "text").mapInArrow(run, columns)
+    return _texts(docs).where(F.octet_length("text") >= length).mapInArrow(run, columns)
 
 
 def repeated_starts(rows: list[tuple], core: int, length: int) -> np.ndarray:
@@ -213,7 +253,7 @@ def _stretches(docs: DataFrame, ends: DataFrame, length: int) -> DataFrame:
     w = window_of(length)
     columns = "class binary, core_bytes int, copies boolean, key long, check long, origin long, low int, left binary, right binary"
     by_doc = ends.groupBy("key", "check").agg(F.collect_list(F.struct("at", "low", "high", "core", "copies", "large")).alias("found"))
-    texts = keyed(docs).select(F.col("__key").alias("key"), F.col("__check").alias("check"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = _texts(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
@@ -290,7 +330,10 @@ def _counted_ends(stretches: DataFrame, huge: DataFrame, length: int) -> DataFra
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(key, check, spans array<struct<first, end>>): bytes to remove from each text that has any; see keyed()."""
+    """(key, check, spans array<struct<first, end>>): bytes to remove from each text that has any; see keyed().
+
+    Rows repeated in id and text share a key and have equal spans, which count once.
+    """
     anchors = _anchors(docs, length)
     cores = anchors.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("stretch").alias("a"), F.max("stretch").alias("b"))
     # both are written before they are joined: a join of two plain exchanges can be split where one core has very many rows
@@ -313,7 +356,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     else:
         rest = stretches.join(huge, "class", "left_anti").select(*stretches.columns)
         found = whole.union(_sorted_ends(rest, length)).union(_counted_ends(stretches, huge, length))
-    return written(found.groupBy("key", "check").agg(F.collect_list(F.struct("first", "end")).alias("spans")), "repeats")
+    return written(found.groupBy("key", "check").agg(F.collect_set(F.struct("first", "end")).alias("spans")), "repeats")
 
 
 def united(spans: list[dict]) -> list[tuple[int, int]]:
@@ -333,16 +376,20 @@ def cut(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(data[a:b] for a, b in zip(ends, [*(first for first, _ in runs), len(data)], strict=True))
 
 
-def _with_spans(docs: DataFrame, length: int) -> DataFrame:
-    found = repeats(docs, length).withColumnsRenamed({"key": "__key", "check": "__check", "spans": "__spans"})
-    return keyed(docs).join(found, ["__key", "__check"], "left")
+def _with_spans(docs: DataFrame, length: int) -> tuple[DataFrame, str]:
+    """docs with a column of spans, and its name."""
+    rows, key, check = keyed(docs)
+    (spans,) = private(rows, "spans")
+    found = repeats(docs, length).withColumnsRenamed({"key": key, "check": check, "spans": spans})
+    return rows.join(found, [key, check], "left"), spans
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs(doc_id, text) -> a digest of what is removed and kept, a row for each row.
 
     Null texts count as empty; texts under ``length`` bytes lose nothing. Matches never cross texts; a repeated row loses all
-    that its copies make repeated, as any copy does. Other columns are not read.
+    that its copies make repeated, as any copy does. Null ids stay null, very long texts are searched whole, an empty table
+    gives an empty result. Other columns are not read.
     """
     columns = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -356,12 +403,16 @@ def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=[c.split()[0] for c in columns.split(", ")])
 
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return _with_spans(docs, length).select("doc_id", "text", "__spans").mapInArrow(run, columns)
+    rows, spans = _with_spans(docs, length)
+    return rows.select("doc_id", "text", spans).mapInArrow(run, columns)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The same rows and columns, each text without its repeated bytes; characters that lose only some bytes go as a whole."""
+    """The same rows and columns, each text without its repeated bytes; characters that lose only some bytes go as a whole.
 
+    Texts that lose nothing stay as they are, null ones null; ids may be null or repeat; an empty table gives an empty one;
+    other columns are carried along, whatever their names.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,4 +423,5 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             columns = [pa.array(kept, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return _with_spans(docs, length).select(*docs.columns, "__spans").mapInArrow(run, docs.schema)
+    rows, spans = _with_spans(docs, length)
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), spans).mapInArrow(run, docs.schema)
