@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import near_copies, packing, pii, suffix_dedup, toxicity
+from chronofold.llm import packing, pii, simhash, suffix_dedup, toxicity
 from chronofold.llm.common import table, written
 
 
@@ -31,8 +31,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, that of the smallest doc_id: links are of 4/5 of the five-word shingles, or more."""
-    return near_copies.without_near_copies(docs)
+    """One document of each component stays, that of the smallest doc_id: links are of 4/5 of the five-word shingles, or more,
+    found by SimHash and checked. Null and empty texts are one group; of rows repeated in id and text one stays."""
+    return simhash.without_near_duplicates(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokenised, cut and packed into sequences of 2048 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 STAGES = [
