@@ -80,10 +80,17 @@ class Hasher:
         digits, zero = data.astype(_U) + _U(1), np.zeros(1, _U)
         return tuple(np.concatenate([zero, np.cumsum(digits * half[: len(data)])]) for half in (self.low, self.high))
 
-    def span(self, sums: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        low, high = (s[end] - s[start] for s in sums)
+    def parts(self, sums: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """What hashes() needs of each span: the sums' differences, and the start."""
+        return np.stack([*(s[end] - s[start] for s in sums), start.astype(_U)])
+
+    def hashes(self, parts: np.ndarray) -> np.ndarray:
+        low, high, start = parts
         return times(reduced(times(high, np.full(1, 1 << 30, _U)) + low), self.down[start])
 
+    def span(self, sums: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return self.hashes(self.parts(sums, start, end))
+
 
 def seed_hashes(data: np.ndarray) -> np.ndarray:
     """A hash of the SEED bytes from each place on, from the two 8-byte words that they are; it only chooses anchors."""
@@ -108,7 +115,8 @@ def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:  # noqa: ANN001
 
 
 def anchor_records(data: bytes, length: int, hasher: Hasher) -> tuple[np.ndarray, ...] | None:
-    """(anchor, least and greatest distance of a string's start before anchor - W, core hash, stretch hash)."""
+    """(anchor, least and greatest distance of a string's start before anchor - W, core, stretch), the last two as parts of hashes:
+    those of many texts are finished together, by finished()."""
     n, w = len(data), window_of(length)
     if n < length:
         return None
@@ -129,10 +137,13 @@ def anchor_records(data: bytes, length: int, hasher: Hasher) -> tuple[np.ndarray
         if not len(at):
             continue
         low, high = at - w - last, at - w - first
-        core = mix(hasher.span(sums, at - w, at + length - 2 * w + 1))
-        stretch = mix(hasher.span(sums, first, last + length) * _U(0xD6E8FEB86659FD93) + (low * 65536 + high + 1).astype(_U))
-        out.append((at + lo, low, high, core, stretch))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else None
+        out.append((at + lo, low, high, hasher.parts(sums, at - w, at + length - 2 * w + 1), hasher.parts(sums, first, last + length)))
+    return tuple(np.concatenate(x, axis=-1) for x in zip(*out, strict=True)) if out else None
+
+
+def finished(low: np.ndarray, high: np.ndarray, core: np.ndarray, stretch: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
+    """Core and stretch hashes of 64 bits."""
+    return mix(hasher.hashes(core)), mix(hasher.hashes(stretch) * _U(0xD6E8FEB86659FD93) + (low * 65536 + high + 1).astype(_U))
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, str, str]:
@@ -160,9 +171,11 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
                 found = anchor_records(text.encode("utf-8", "surrogatepass"), length, hasher)
                 if found:
                     n = len(found[0])
-                    out.append((np.full(n, key, "i8"), np.full(n, check, "i8"), found[0].astype("i8"), found[1].astype("i4"), found[2].astype("i4"), found[3].view("i8"), found[4].view("i8")))
+                    out.append((np.full(n, key, "i8"), np.full(n, check, "i8"), *found))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=[c.split()[0] for c in columns.split(", ")])
+                key, check, at, low, high, core, stretch = (np.concatenate(x, axis=-1) for x in zip(*out, strict=True))
+                core, stretch = finished(low, high, core, stretch, hasher)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, check, at.astype("i8"), low.astype("i4"), high.astype("i4"), core.view("i8"), stretch.view("i8"))], names=[c.split()[0] for c in columns.split(", ")])
 
     return _texts(docs).where(F.octet_length("text") >= length).mapInArrow(run, columns)
 
