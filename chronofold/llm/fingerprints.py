@@ -13,6 +13,7 @@ likeness reported is 2J / (1 + J), the share of spans that they have in common.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,30 +128,43 @@ def with_next(docs: DataFrame, per_row) -> DataFrame:  # noqa: ANN001
     """docs(doc_id, text) in descending doc_id, each row with the next one's text; the last row's next is the first.
 
     The ids are cut into ranges, a range is sorted within a task, and the first row of each range is sent to the range
-    before it as well: one shuffle of the texts, no global order in one task. Rows of equal doc_id go by text, null ids
-    come last. per_row(batches) gets batches (halo, doc_id, text) in order, the row marked halo being the last's next.
+    before it as well: one shuffle of the texts, no global order in one task. Rows of equal doc_id go by a hash of their
+    text, null ids come last; an id that takes up several ranges is cut by these hashes, so it is no single task either.
+    per_row(batches) gets batches (halo, doc_id, text), range by range in order, rows marked halo ending a range: the first
+    of them is the next of the row before.
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(_LEAST)))
+    keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text")).withColumns({"key": F.coalesce("doc_id", F.lit(_LEAST)), "h": F.xxhash64("text")})
     shares = [i / n for i in range(1, n)]
     found = keyed.agg(F.percentile_approx("key", shares, 20 * n).alias("q")).first()["q"] if shares else None
-    keyed = keyed.withColumn("bucket", _buckets(F.col("key"), sorted(set(found or ()))))
-    heads = [(r["bucket"], r["head"]) for r in keyed.groupBy("bucket").agg(F.max("key").alias("head")).orderBy("bucket").collect()]  # at most n rows
-    before = [(head, heads[i - 1][0]) for i, (_, head) in enumerate(heads)]
-    halos = spark.createDataFrame(before, "key long, before int")
-    told = keyed.join(F.broadcast(halos), "key", "left")
-    spread = told.select("doc_id", "text", "key", F.explode(F.when(F.col("before").isNull(), F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("halo")))).otherwise(F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("halo")), F.struct(F.col("before").alias("b"), F.lit(1).alias("halo"))))).alias("at"))
-    dealt = spread.select(F.col("at.halo").alias("halo"), "doc_id", "text", F.col("at.b").alias("bucket"), "key").repartitionById(n, F.col("bucket"))
-    return dealt.sortWithinPartitions("halo", F.desc("key"), "text").select("halo", "doc_id", "text").mapInArrow(*per_row)
+    times = Counter(found or ())
+    # a bucket is (bounds that are at least the key, part of a frequent key by hash, then its smaller keys): in the order's order
+    hot = F.create_map(*(x for key, m in times.items() if m > 1 for x in (F.lit(key).cast("long"), F.lit(m)))) if any(m > 1 for m in times.values()) else None
+    width = 2 * n + 2
+    part = F.lit(width - 1)
+    if hot is not None:
+        of = F.try_element_at(hot, F.col("key"))
+        part = F.when(of.isNotNull(), F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * of).cast("int")).otherwise(part)
+    keyed = keyed.withColumn("bucket", _buckets(F.col("key"), sorted(times)) * width + part)
+    first = F.max(F.struct("key", (-1 - F.col("h")).alias("h"))).alias("head")  # -1 - h: the smallest hash, without overflow
+    heads = [(r["bucket"], r["head"]["key"], -1 - r["head"]["h"]) for r in keyed.groupBy("bucket").agg(first).orderBy("bucket").collect()]  # at most 3 n rows
+    before = [(key, h, heads[i - 1][0]) for i, (_, key, h) in enumerate(heads)]
+    halos = spark.createDataFrame(before, "key long, h long, before int")
+    told = keyed.join(F.broadcast(halos), ["key", "h"], "left")
+    own, halo = (F.struct(F.col(c).alias("b"), F.lit(i).alias("halo")) for i, c in enumerate(("bucket", "before")))
+    spread = told.select("doc_id", "text", "key", "h", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, halo))).alias("at"))
+    dealt = spread.select(F.col("at.halo").alias("halo"), "doc_id", "text", F.col("at.b").alias("bucket"), "key", "h").repartition(n, "bucket")
+    return dealt.sortWithinPartitions("bucket", "halo", F.desc("key"), "h", "text").select("halo", "doc_id", "text").mapInArrow(*per_row)
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """A fingerprint of every whole text and of its edited text: the last third replaced by the next document's beginning.
 
     Null texts count as empty; the fingerprint of an empty text has no spans, its likeness to any other text is 0 and to an
-    empty one 1. Repeated rows are each other's next. With one row, it is its own next. extension is the longest common
-    extension of the text and the edited text from their beginnings.
+    empty one 1. Null ids come last; rows of equal id go by a hash of their text, repeated rows are each other's next. With
+    one row, it is its own next; an empty table gives an empty result. Very long texts are hashed whole; other columns are not
+    read. extension is the longest common extension of the text and the edited text from their beginnings.
     """
     columns = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, extension long"
 

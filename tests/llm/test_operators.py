@@ -154,15 +154,48 @@ def test_viterbi_ties_and_unknowns(fallback):
 # --- 3
 
 
-def test_fingerprints(spark, docs, rows, empty):
-    found = fingerprints.fingerprint_documents(docs).collect()
-    order = sorted(rows, key=lambda r: (-r[0] if r[0] is not None else float("inf"), r[1].encode()))
-    wanted = []
+def in_order(rows):
+    """(doc_id, characters, hash of the edited text, extension): by descending id, then by XXH64 of the text."""
+    order = sorted(rows, key=lambda r: (-r[0] if r[0] is not None else float("inf"), (xxhash.xxh64_intdigest(r[1].encode(), 42) + (1 << 63)) % (1 << 64)))
+    out = []
     for (i, text), (_, after) in zip(order, order[1:] + order[:1], strict=True):
         k = len(text) // 3
         edited = text[: len(text) - k] + after[:k]
         extension = next((n for n, (x, y) in enumerate(zip(text, edited, strict=False)) if x != y), min(len(text), len(edited)))
-        wanted.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), extension))
+        out.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), extension))
+    return out
+
+
+def test_fingerprints_of_frequent_ids(spark):
+    """One id, or none, for most rows: they are dealt out by their texts."""
+    r = np.random.default_rng(9)
+    for ids in ([5], [None], [5] * 30 + list(range(10)) + [None] * 30):
+        rows = [(ids[i % len(ids)], " ".join(r.choice(WORDS, r.integers(1, 30)))) for i in range(300)] + [(ids[0], "same text")] * 20
+        table = spark.createDataFrame(rows, "doc_id long, text string")
+        found = fingerprints.fingerprint_documents(table)
+        same([(x["doc_id"], x["n_chars"], x["edited_sha256"], x["extension"]) for x in found.collect()], in_order(rows))
+        sizes = [x["count"] for x in found.withColumn("p", fingerprints.F.spark_partition_id()).groupBy("p").count().collect()]
+        assert len(sizes) > 1 and max(sizes) < 0.75 * len(rows)
+
+
+def test_likeness_follows_shared_spans(spark):
+    """near_edited and near_next against the exact share of spans, on texts edited to every degree."""
+    r, span = np.random.default_rng(10), fingerprints.SPAN
+    rows = [(i, " ".join(r.choice(WORDS, r.integers(150, 600)))) for i in range(60)]
+    exact = lambda a, b: 2 * sum((Counter(a[i : i + span] for i in range(len(a) - span + 1)) & Counter(b[i : i + span] for i in range(len(b) - span + 1))).values()) / (len(a) + len(b) - 2 * span + 2)
+    texts = dict(rows)
+    found = fingerprints.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    errors = []
+    for x in found:
+        text, after = texts[x["doc_id"]], texts[(x["doc_id"] - 1) % 60]
+        k = len(text) // 3
+        errors += [x["near_edited"] - exact(text, text[: len(text) - k] + after[:k]), x["near_next"] - exact(text, after)]
+    assert abs(np.mean(errors)) < 0.03 and np.mean(np.abs(errors)) < 0.06 and np.max(np.abs(errors)) < 0.3
+
+
+def test_fingerprints(spark, docs, rows, empty):
+    found = fingerprints.fingerprint_documents(docs).collect()
+    wanted = in_order(rows)
     same([(r["doc_id"], r["n_chars"], r["edited_sha256"], r["extension"]) for r in found], wanted)
     texts = dict(rows)
     prints = {}
