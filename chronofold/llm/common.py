@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 #: Rows that an operator turns into Python objects at a time; bounds a worker's memory, not what is processed.
 SLICE_ROWS = 256
@@ -62,6 +63,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """df.mapInArrow(run, schema) for columns of any name: within ``run`` they go by place."""
+    plain = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(schema)])
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, plain).toDF(*schema.names)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text_at: int | None = 1) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most SLICE_ROWS rows and, but for single longer texts, about SLICE_BYTES."""
     for batch in batches:

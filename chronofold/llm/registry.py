@@ -10,42 +10,64 @@ from chronofold.llm.common import table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of whole documents; learned from labelled rows that are not held out. Null and empty texts get the bias'
+    score, null ids count as held out, repeated rows repeat, an empty table gives an empty result, further columns are not read."""
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of whole documents by the best unigram segmentation. Null and empty texts have none, null ids stay null, ties go as
+    in the tokenizer, repeated rows repeat, an empty table gives an empty result, further columns are not read."""
     return viterbi.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of whole documents and of their edited texts. Null texts are empty, null ids come last, rows of equal id go
+    by a hash of their text, an empty table gives an empty result, further columns are not read."""
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document loses and keeps when all 400-byte strings that stand twice go. Null texts are empty, null ids stay
+    null, a repeated row loses all that stands in its copy, an empty table gives an empty result, further columns are not read."""
     return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in whole documents. Null texts are empty, null ids stay null, repeated rows repeat, of matches that meet the
+    leftmost counts, an empty table gives an empty result, further columns are not read."""
     return pii.find(table(spark, sf_dir, "documents"))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and fuzzy notices in whole documents. Null texts are empty, null ids stay null, repeated rows repeat, an
+    empty table gives an empty result, further columns are not read."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest integer products of every 20th row. Null, partly null and non-finite vectors and null ids take no part, ties
+    go to smaller ids, rows that repeat a candidate count each, rows of the query's own id do not, an empty table gives an
+    empty result, further columns are not read."""
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents tokenised, cut and packed into sequences of 2048 tokens. Null and empty texts are the end id alone, null ids stay
+    null, ties between pieces of a length go by id and piece, repeated rows are packed each, an empty table gives an empty
+    result, further columns are not read."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of whole documents, and what they decode to. Null and empty texts have none, null ids stay null,
+    repeated rows repeat, an empty table gives an empty result, further columns are not read."""
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints and components at 4 bits. Null, empty and blank texts have fingerprint zero, null ids stay null and
+    name no component unless all do, repeated rows repeat, an empty table gives an empty result, further columns are not read."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 

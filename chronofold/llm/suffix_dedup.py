@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import partitions, private, slices, written
+from chronofold.llm.common import mapped, partitions, private, slices, written
 from chronofold.llm.suffix_array import suffix_array
 
 LENGTH, SEED, BLOCK = 400, 16, 8
@@ -437,4 +437,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
     rows, spans = _with_spans(docs, length)
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), spans).mapInArrow(run, docs.schema)
+    return mapped(rows.select(*(F.col(f"`{c}`") for c in docs.columns), spans), run, docs.schema)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.llm import simhash
-from chronofold.llm.common import partitions, slices, written
+from chronofold.llm.common import mapped, partitions, slices, written
 
 #: Labelled rows that the weights are fitted to, at most; of rows of one label whose fingerprints of 256 bits differ in so
 #: many bits or fewer (some four fifths of the five-word shingles in common), one counts.
@@ -312,7 +312,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING_
         for batch in slices(batches, at):
             yield batch.filter(pa.array(_scores(reader, batch.column(at).to_pylist(), weights) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def score(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING_ROWS) -> DataFrame:
