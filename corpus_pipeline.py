@@ -1,7 +1,9 @@
 """The corpus pipeline: toxicity, near-duplicates, repeated passages, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents. What a
-stage returns is written as Parquet to the shared folder and read again as the next one's docs.
+stage returns is written as Parquet to the shared folder and read again as the next one's docs. In every stage a null text
+counts as empty (and stays null), ids may be null or repeat, very long texts are read whole, an empty table gives an empty one,
+and further columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity grammar rejects go."""
+    """Documents that the toxicity grammar rejects (score 0.5 or more) go; null and empty texts stay, copies share their fate."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -37,17 +39,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of strings of PASSAGE_BYTES bytes that stand twice are cut out of their texts; the documents stay."""
+    """Bytes of strings of PASSAGE_BYTES bytes that stand twice are cut out of their texts; the documents stay, also those
+    without any text left. Of repeated rows each loses what stands in the other."""
     return _counted(suffix_dedup.without_repeats(docs, PASSAGE_BYTES))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data are replaced by their kinds."""
+    """Spans of personal data are replaced by their kinds; of spans that meet the first one names all. Documents stay."""
     return _counted(pii.masked(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokenised, cut and packed into sequences of 2048 tokens."""
+    """Tokenised, cut and packed into sequences of 2048 tokens, a row for each piece; null and empty texts are the end id."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
@@ -64,6 +67,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents; what the last one returns. An empty table gives an empty result."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
