@@ -8,7 +8,7 @@ links, never all its pairs, so the number of links is at most linear in what was
 
 ``without_near_duplicates`` looks for a similarity of 4/5 of the five-word shingles. There, texts lie some 39 of 256 bits
 apart, too far for any exact cut into blocks, so fingerprints have PRINTS words of 64 bits, TABLES choices of TABLE_BITS bits
-each choose groups (two texts of similarity 0.8 meet with a probability of 0.97, of 0.85 with 0.997), and groups are compared
+each choose groups (two texts of similarity 0.8 meet with a probability of 0.99, of 0.85 with 0.999), and groups are compared
 as above. Links within SURE bits are taken; those within REACH are checked by the whole shingle sets of the two texts.
 """
 
@@ -28,7 +28,7 @@ from chronofold.llm.graph import components
 RADIUS, WORDS, SEED = 4, 4, 42
 #: Settings for near copies by similarity: words of a shingle, the least similarity as a fraction, 64-bit words of a
 #: fingerprint, choices of bits and bits of each, bits within which a link is looked at and is taken unchecked.
-SHINGLE, LEAST, PRINTS, TABLES, TABLE_BITS, REACH, SURE = 5, (4, 5), 4, 48, 16, 64, 24
+SHINGLE, LEAST, PRINTS, TABLES, TABLE_BITS, REACH, SURE = 5, (4, 5), 4, 64, 16, 64, 24
 #: Rows that are compared at a time, and rows of a table up to which it is broadcast.
 CHUNK, BROADCAST = 8192, 100_000
 _U = np.uint64
