@@ -111,6 +111,13 @@ def search_bucket(queries: np.ndarray, own: np.ndarray, floors: np.ndarray, vect
         yield here[row], ids[column], scores[row, column]
 
 
+def _ranges(df: DataFrame, name: str, n: int, *by) -> DataFrame:  # noqa: ANN002
+    """df, written, with the number (below n) of each row's range in the order ``by``; Spark may make more partitions than n."""
+    dealt = written(df.repartitionByRange(n, *by).withColumn(name, F.spark_partition_id()), name)
+    made = max(n, (dealt.agg(F.max(name)).first()[0] or 0) + 1)
+    return dealt.withColumn(name, F.floor(F.col(name) * n / made).cast("int"))
+
+
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, factor: int = 64) -> DataFrame:
     """vectors(vec_id, embedding) -> (query_id, rank, vec_id, score): the k best of all other rows for each query.
 
@@ -140,8 +147,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, factor: int = 64) ->
 
     # buckets by length, longest first; rows of equal length, or repeated, are told apart by their row numbers
     buckets = -(-size["n"] // BUCKET)
-    placed = data.repartitionByRange(buckets, F.desc("norm"), "vec_id", "row").select("vec_id", "v", "norm", F.spark_partition_id().alias("bucket"))
-    placed = written(placed, "buckets")
+    placed = _ranges(data, "bucket", buckets, F.desc("norm"), "vec_id", "row").select("vec_id", "v", "norm", "bucket")
     last = placed.agg(F.max("bucket")).first()[0]
     # the driver knows the longest vector of each band of buckets, at most BANDS of them
     band = -(-(last + 1) // BANDS)
@@ -165,7 +171,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, factor: int = 64) ->
 
     asked = written(queries.mapInArrow(thresholds, "query_id long, v array<long>, floor long, until int").where("until >= 0"), "asked")
     blocks = max(1, -(-asked.count() // BLOCK))
-    blocked = written(asked.repartitionByRange(blocks, "until", "query_id").withColumn("block", F.spark_partition_id()), "blocks")
+    blocked = _ranges(asked, "block", blocks, "until", "query_id")
     upto = lambda df: df.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("until"))))
     wanted = upto(blocked.groupBy("block").agg(F.max("until").alias("until"))).select(F.col("block").alias("to"), F.col("bucket").alias("of"))
     offered = placed.join(wanted, F.col("bucket") == F.col("of")).select("of", "to", "vec_id", "v")
