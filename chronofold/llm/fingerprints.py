@@ -146,15 +146,16 @@ def with_next(docs: DataFrame, per_row) -> DataFrame:  # noqa: ANN001
     if hot is not None:
         of = F.try_element_at(hot, F.col("key"))
         part = F.when(of.isNotNull(), F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * of).cast("int")).otherwise(part)
-    keyed = keyed.withColumn("bucket", _buckets(F.col("key"), sorted(times)) * width + part)
+    keyed = keyed.withColumn("bucket", (_buckets(F.col("key"), sorted(times)) * width + part).cast("int"))
     first = F.max(F.struct("key", (-1 - F.col("h")).alias("h"))).alias("head")  # -1 - h: the smallest hash, without overflow
     heads = [(r["bucket"], r["head"]["key"], -1 - r["head"]["h"]) for r in keyed.groupBy("bucket").agg(first).orderBy("bucket").collect()]  # at most 3 n rows
-    before = [(key, h, heads[i - 1][0]) for i, (_, key, h) in enumerate(heads)]
+    before = [(key, h, (i or len(heads)) - 1) for i, (_, key, h) in enumerate(heads)]
     halos = spark.createDataFrame(before, "key long, h long, before int")
-    told = keyed.join(F.broadcast(halos), ["key", "h"], "left")
+    places = spark.createDataFrame([(b, i) for i, (b, _, _) in enumerate(heads)], "bucket int, at int")
+    told = keyed.join(F.broadcast(halos), ["key", "h"], "left").join(F.broadcast(places), "bucket").drop("bucket").withColumnRenamed("at", "bucket")
     own, halo = (F.struct(F.col(c).alias("b"), F.lit(i).alias("halo")) for i, c in enumerate(("bucket", "before")))
     spread = told.select("doc_id", "text", "key", "h", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, halo))).alias("at"))
-    dealt = spread.select(F.col("at.halo").alias("halo"), "doc_id", "text", F.col("at.b").alias("bucket"), "key", "h").repartition(n, "bucket")
+    dealt = spread.select(F.col("at.halo").alias("halo"), "doc_id", "text", F.col("at.b").alias("bucket"), "key", "h").repartitionById(max(1, len(heads)), F.col("bucket"))
     return dealt.sortWithinPartitions("bucket", "halo", F.desc("key"), "h", "text").select("halo", "doc_id", "text").mapInArrow(*per_row)
 
 
