@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.functions.expressions import expected_max, rounded_mean, variance
-from chronofold.operators.sigma import clip
+from chronofold.operators.sigma import clip, counted, settled
 from chronofold.operators.stack import max_stack, moments, scaled
 from chronofold.spec import StackSpec
 
@@ -28,11 +28,16 @@ def mixed(parts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def mask_mix(px: DataFrame, mask: DataFrame, spec: StackSpec, clipped: bool = True, n_total: int | None = None) -> DataFrame:
-    """mask(keys, m) with m from 0 (ground) to 1 (sky). The maximum and the sums share their grouping; joins are on the keys."""
+    """mask(keys, m) with m from 0 (ground) to 1 (sky). Without fades the frames are read once: the counted values, which the
+    clipping passes go over, hold the maximum too. Joins are on the keys."""
     keys = list(spec.keys)
-    most = max_stack(px, StackSpec("max", spec.keys, spec.fade_in, spec.fade_out, spec.int_weight, in_bits=spec.in_bits)).withColumnsRenamed({"v": "most"})
+    counts = settled(counted(px, spec), "counts") if clipped else None
+    if counts is not None and not spec.faded:
+        most = counts.groupBy(*keys).agg(F.max("v").alias("most"))
+    else:
+        most = max_stack(px, StackSpec("max", spec.keys, spec.fade_in, spec.fade_out, spec.int_weight, in_bits=spec.in_bits)).withColumnsRenamed({"v": "most"})
     if clipped:
-        now, full, _ = clip(px, spec)
+        now, full, _ = clip(px, spec, counts)
     else:
         now = full = moments(px, spec.keys, spec.wide)
     n, s = F.col("n"), F.col("s")

@@ -8,6 +8,7 @@ key's count has changed. Each pass's few columns are cut in the shared folder.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,6 +24,8 @@ def _folder(df: DataFrame) -> str:
     spark = df.sparkSession
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='chronofold-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -69,10 +72,10 @@ def clip_once(counts: DataFrame, full: DataFrame, last: DataFrame, spec: StackSp
     return some.join(full, keys).select(*keys, *(F.when(none, F.col(x)).otherwise(F.col(f"{x}1")).alias(x) for x in "nsq"))
 
 
-def clip(px: DataFrame, spec: StackSpec) -> tuple[DataFrame, DataFrame, list[float]]:
-    """(clipped sums, full sums, share of keys whose count stayed, by pass)."""
+def clip(px: DataFrame, spec: StackSpec, counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame, list[float]]:
+    """(clipped sums, full sums, share of keys whose count stayed, by pass); ``counts``: px counted already."""
     keys = list(spec.keys)
-    counts = settled(counted(px, spec), "counts")
+    counts = settled(counted(px, spec), "counts") if counts is None else counts
     full = settled(sums(counts, spec), "full")
     now, shares = full, []
     for _ in range(spec.max_iter):

@@ -510,6 +510,6 @@ def _(s: SparkSession, d: str) -> DataFrame:
         return data.map(lambda v: formats.encode_png(np.array(v, np.uint8).reshape(8, -1)))
 
     files = rows.select(F.concat_ws("/", F.col("label").cast("string"), F.col("vec_id").cast("string")).alias("path"), drawn("data").alias("content"))
-    good = images.decoded(files).where("valid").withColumn("i", F.split("path", "/")[0].cast("int"))
-    places = images.pixels(good).select(F.col("i").alias("label"), (F.col("y") * 8 + F.col("x")).cast("int").alias("pos"), "v")
+    good = images.tiles(files).where("data IS NOT NULL").withColumn("label", F.split("path", "/")[0].cast("int"))
+    places = images.pixels(good, "label").select("label", (F.col("y") * 8 + F.col("x")).cast("int").alias("pos"), "v")
     return stack.max_stack(places, StackSpec("max", ("label", "pos")))

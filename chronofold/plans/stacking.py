@@ -7,16 +7,16 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.functions.expressions import gray
-from chronofold.operators.frames import counters, of_first_shape, skip_failed
+from chronofold.functions.expressions import fade_weight, gray, int_weight
+from chronofold.operators.frames import counters
 from chronofold.operators.mix import mask_mix, normalised_mask
 from chronofold.operators.profile import exposure_groups, file_attributes, total_exposure
 from chronofold.operators.profile import report as profile_report
-from chronofold.operators.sigma import sigma_stack
-from chronofold.operators.stack import max_stack, mean_stack, min_stack
+from chronofold.operators.sigma import settled, sigma_stack
+from chronofold.operators.stack import finished, max_stack, mean_stack, min_stack, scaled, scaled_mean
 from chronofold.sources import images
-from chronofold.sources.formats import Info
-from chronofold.spec import Stacker, StackSpec, output_bits
+from chronofold.sources.formats import WRITTEN, Info
+from chronofold.spec import Stacker, StackSpec, output_bits, scale_between
 
 #: Modes by name; a further mode is a function of (px, spec) added here.
 STACKERS: dict[str, Stacker] = {"max": max_stack, "min": min_stack, "mean": mean_stack, "sigmaclip-mean": sigma_stack}
@@ -54,43 +54,82 @@ def combined_info(files: DataFrame) -> Info:
     return found
 
 
-def image_mask(spark: SparkSession, path: str, good: DataFrame) -> DataFrame:
-    """(y, x, c, m) of a mask image: gray, 0..1, for every channel, brought to the frames' size by the nearest place."""
-    drawn = images.decoded(spark.read.format("binaryFile").load(path).select("path", "content")).where("valid")
-    size = drawn.select(F.col("height").alias("mh"), F.col("width").alias("mw"), F.col("channels").alias("mc"), F.col("bits").alias("mb"))  # one row
+def mask_places(drawn: DataFrame, height: int, width: int, channels: int) -> DataFrame:
+    """(y, x, c, m) for frames of a size, from tiles of one mask image: gray, 0..1, the same for every channel, brought to the
+    frames' size by the nearest place."""
+    size = drawn.select(F.col("height").alias("mh"), F.col("width").alias("mw"), F.col("channels").alias("mc"), F.col("bits").alias("mb")).limit(1)  # one row
     value = lambda c: F.max(F.when(F.col("c") == c, F.col("v")))
-    drawn = images.pixels(drawn.withColumn("i", F.lit(0).cast("bigint"))).groupBy("y", "x").agg(value(0).alias("c0"), value(1).alias("c1"), value(2).alias("c2"))
-    shape = good.orderBy("i").limit(1).select("height", "width", "channels").crossJoin(F.broadcast(size))
-    places = shape.withColumn("py", F.explode(F.sequence(F.lit(0), F.col("height") - 1))).withColumn("px", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
-    places = places.withColumn("y", F.floor(F.col("py") * F.col("mh") / F.col("height"))).withColumn("x", F.floor(F.col("px") * F.col("mw") / F.col("width")))
+    values = images.pixels(drawn).groupBy("y", "x").agg(value(0).alias("c0"), value(1).alias("c1"), value(2).alias("c2"))
+    lines = drawn.sparkSession.range(height).select(F.col("id").alias("py"))
+    places = lines.crossJoin(F.broadcast(size)).withColumn("px", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(width - 1).cast("bigint"))))
+    places = places.withColumn("y", F.floor(F.col("py") * F.col("mh") / height)).withColumn("x", F.floor(F.col("px") * F.col("mw") / width))
     tone = F.when(F.col("mc") >= 3, gray(F.col("c0"), F.col("c1"), F.col("c2"))).otherwise(F.col("c0"))
     level = normalised_mask(tone, None, F.pow(F.lit(2.0), F.col("mb")) - 1)
-    spread = places.join(drawn, ["y", "x"]).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("channels") - 1)))
-    return spread.select(F.col("py").cast("bigint").alias("y"), F.col("px").cast("bigint").alias("x"), F.col("c").cast("bigint").alias("c"), level.alias("m"))
+    spread = places.join(values, ["y", "x"]).withColumn("c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(channels - 1).cast("bigint"))))
+    return spread.select(F.col("py").alias("y"), F.col("px").alias("x"), "c", level.alias("m"))
+
+
+def image_mask(spark: SparkSession, path: str, height: int, width: int, channels: int) -> DataFrame:
+    """mask_places of a mask file."""
+    return mask_places(images.tiles(spark.read.format("binaryFile").load(path).select("path", "content")).where("data IS NOT NULL"), height, width, channels)
+
+
+def reduce_tiles(good: DataFrame, spec: StackSpec, order: DataFrame | None = None) -> DataFrame:
+    """A maximum, minimum or mean over tiles of one shape, as the functions of STACKERS have it over pixels; with fades,
+    order(path, i, n) says where a file stands."""
+    weight = None
+    if spec.faded and spec.mode != "mean":
+        w = fade_weight(F.col("i"), F.col("n"), spec.fade_in, spec.fade_out)
+        bits = spec.in_bits or 8
+        good = good.join(order, "path").withColumn("w", (int_weight(w, bits) if spec.int_weight else w).cast("double"))
+        weight = "w"
+    found = images.reduced(good, spec.mode, weight)
+    if spec.mode == "mean":
+        return scaled_mean(finished(found, spec.keys, spec.precise), spec)
+    v = F.col("most" if spec.mode == "max" else "least")
+    if spec.int_weight and weight:
+        v = v / scale_between(spec.in_bits or 8, 2 * (spec.in_bits or 8))
+    return scaled(found.select(*spec.keys, F.floor(v).cast("bigint").alias("v")), spec)
 
 
 def stack_images(spark: SparkSession, folder: str, spec: StackSpec, output: str | None = None, mask_file: str | None = None, resize: str | None = None, recursive: bool = False, check: bool = False, level: int = 6) -> ImageStack:
     """Stacks the images of a folder; one bad frame never fails a run.
 
-    With an output path the result is written as PNG or TIFF, with the first file's text and profile. ``check`` adds a report
-    of the files' suffixes, sizes and depths.
+    Files are decoded once, into tiles in the shared folder; frames of another shape than the first good one are left out.
+    Maxima, minima and means fold tiles; clipping and mixing go over pixels. With an output path the result is written as PNG
+    or TIFF (another suffix is an error before anything is read), with the first file's text and profile. ``check`` adds a
+    report of the files' suffixes, sizes and depths.
     """
+    if output is not None and output.rsplit(".", 1)[-1].lower() not in WRITTEN:
+        raise ValueError(f"{output}: files can be written as {', '.join(WRITTEN)}")
+    if spec.mode == "mask-mix" and mask_file is None:
+        raise ValueError("a mask mix needs a mask")
     files = images.scan(spark, folder, recursive)
     report = profile_report(file_attributes(images.headers(files))) if check else None
-    found = images.frames(files, resize)
-    good, errors = skip_failed(found, F.col("valid"))
-    good = of_first_shape(good, F.struct("height", "width", "channels"))
+    cut = settled(images.tiles(files, resize), "tiles")
+    found = images.files_of(cut).withColumn("series", F.lit("sequence"))
+    place = images.order(files)
+    errors = found.where("NOT valid").join(place, "path").select("series", "i", "path", "reason")
     counts = counters(found, F.col("valid"))
-    head = good.orderBy("i").select("bits").first()
+    shape = ["height", "width", "channels"]
+    head = found.where("valid").orderBy("path").select(*shape, "bits").first()
     if head is None:
         return ImageStack(False, "no frame could be decoded", None, errors, counts, None, report=report)
     bits, warning = output_bits(output, spec.out_bits or head["bits"])
     spec = replace(spec, keys=("y", "x", "c"), in_bits=head["bits"], out_bits=bits if bits in (8, 16, 32) else None)
-    px = images.pixels(good)
-    if spec.faded:
-        px = px.crossJoin(F.broadcast(found.agg(F.count(F.lit(1)).alias("n"))))  # one row
-    mask = None if mask_file is None else image_mask(spark, mask_file, good)
-    result = stack(px, spec, mask)
+    good = cut.where("data IS NOT NULL")
+    for name in shape:
+        good = good.where(F.col(name) == head[name])
+    placed = place.crossJoin(F.broadcast(found.agg(F.count(F.lit(1)).alias("n"))))  # one row
+    if spec.mode in ("max", "min") or (spec.mode == "mean" and good.where("bits > 16").isEmpty()):
+        result = reduce_tiles(good, spec, placed)
+    else:
+        if spec.faded:
+            px = images.pixels(good.join(placed, "path"), "i", "n")
+        else:
+            px = images.pixels(good)
+        mask = None if mask_file is None else image_mask(spark, mask_file, head["height"], head["width"], head["channels"])
+        result = stack(px, spec, mask)
     about = None
     if output is not None:
         image = result if "v" in result.columns else result.withColumn("v", F.col("mu"))

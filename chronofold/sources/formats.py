@@ -1,7 +1,7 @@
-"""Image formats that need no library: PNG, baseline TIFF, BMP and FITS in, PNG and TIFF out, and headers of JPEG and GIF too.
+"""Image formats that need no library: PNG, TIFF in strips, BMP and FITS in, PNG and TIFF out, and headers of JPEG and GIF too.
 
 A decoder gets a whole file and returns (height, width, channels) of unsigned whole numbers, or None where the file is
-damaged or of a kind that is not supported. Channels are in the order red, green, blue.
+damaged or of a kind that is not supported; read() also says why. Channels are in the order red, green, blue.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
-_CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
+_CHANNELS = {0: 1, 2: 3, 3: 3, 4: 2, 6: 4}
 
 
 @dataclass
@@ -42,40 +42,72 @@ def _png_header(content: bytes) -> tuple[int, int, int, int, int]:
     return height, width, _CHANNELS.get(kind, 0), bits, interlaced
 
 
-def decode_png(content: bytes) -> np.ndarray | None:
+def _unfiltered(raw: np.ndarray, height: int, line: int, step: int) -> np.ndarray:
+    """Bytes of filtered lines (a kind, then ``line`` bytes; a pixel has ``step``) with their predictions added back.
+
+    A pixel needs its left, upper and upper left neighbours, so all pixels of one anti-diagonal are done at once: the work
+    is a few array operations for each of about height + width of them. Lines that need no neighbour but the one above, or
+    to the left, are done line by line.
+    """
+    lines = raw.reshape(height, line + 1)
+    kinds, now = lines[:, 0], lines[:, 1:]
+    if kinds.max(initial=0) > 4:
+        raise ValueError("unknown prediction")
+    if not np.isin(kinds, (3, 4)).any():
+        out, above = np.empty((height, line), np.uint8), np.zeros(line, np.uint8)
+        for y in range(height):
+            row = now[y]
+            if kinds[y] == 1:
+                row = np.cumsum(row.reshape(-1, step), axis=0, dtype=np.uint8).reshape(-1)
+            elif kinds[y] == 2:
+                row = row + above
+            out[y] = above = row
+        return out
+    width = line // step
+    out = np.zeros((height + 1, width + 1, step), np.int16)  # a line above and a pixel to the left of zeros
+    told = now.reshape(height, width, step).astype(np.int16)
+    for t in range(height + width - 1):
+        y = np.arange(max(0, t - width + 1), min(height, t + 1))
+        x, kind = t - y, kinds[y][:, None]
+        left, up, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+        p = left + up - corner
+        dl, du, dc = np.abs(p - left), np.abs(p - up), np.abs(p - corner)
+        nearest = np.where((dl <= du) & (dl <= dc), left, np.where(du <= dc, up, corner))
+        guess = np.select([kind == 1, kind == 2, kind == 3, kind == 4], [left, up, (left + up) >> 1, nearest], 0)
+        out[y + 1, x + 1] = (told[y, x] + guess) & 255
+    return out[1:, 1:].astype(np.uint8).reshape(height, line)
+
+
+#: First column and line, and distances between columns and lines, of the passes of an interlaced image (fixed values).
+_PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
+def decode_png(content: bytes) -> np.ndarray:
     height, width, channels, bits, interlaced = _png_header(content)
-    if not channels or bits not in (8, 16) or interlaced:
-        return None
-    raw = zlib.decompress(b"".join(body for name, body in _png_chunks(content) if name == b"IDAT"))
-    step, line = channels * bits // 8, width * channels * bits // 8
-    lines = np.frombuffer(raw, np.uint8).reshape(height, line + 1)
-    out, above = np.zeros((height, line), np.uint8), np.zeros(line, np.uint8)
-    for y in range(height):
-        kind, now = lines[y, 0], lines[y, 1:]
-        if kind == 1:
-            now = (np.cumsum(now.reshape(-1, step).astype(np.uint32), axis=0) & 255).astype(np.uint8).reshape(-1)
-        elif kind == 2:
-            now = now + above
-        elif kind in (3, 4):
-            now = _byte_by_byte(int(kind), now.tolist(), above.tolist(), step)
-        elif kind:
-            return None
-        out[y] = above = now
-    pixels = out.reshape(-1).view(">u2").astype(np.uint16) if bits == 16 else out.reshape(-1)
-    return pixels.reshape(height, width, channels)
-
-
-def _byte_by_byte(kind: int, now: list[int], above: list[int], step: int) -> np.ndarray:
-    """Average and Paeth prediction, where each byte needs the one before."""
-    for i, value in enumerate(now):
-        left, up, corner = (now[i - step] if i >= step else 0), above[i], (above[i - step] if i >= step else 0)
-        if kind == 3:
-            guess = (left + up) // 2
-        else:
-            p = left + up - corner
-            guess = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
-        now[i] = (value + guess) & 255
-    return np.array(now, np.uint8)
+    palette = content[25] == 3
+    channels = 1 if palette else channels
+    if not channels or bits not in (1, 2, 4, 8, 16) or interlaced > 1:
+        raise ValueError("unknown kind of PNG")
+    chunks = list(_png_chunks(content))
+    raw = np.frombuffer(zlib.decompress(b"".join(body for name, body in chunks if name == b"IDAT")), np.uint8)
+    pixels, at = np.zeros((height, width, channels), np.uint16 if bits == 16 else np.uint8), 0
+    for x0, y0, dx, dy in _PASSES if interlaced else ((0, 0, 1, 1),):
+        h, w = len(range(y0, height, dy)), len(range(x0, width, dx))
+        if not h or not w:
+            continue
+        line = -(-w * channels * bits // 8)
+        found = _unfiltered(raw[at : at + h * (line + 1)], h, line, max(1, channels * bits // 8))
+        at += h * (line + 1)
+        if bits == 16:
+            found = found.reshape(-1).view(">u2").astype(np.uint16)
+        elif bits < 8:
+            found = np.unpackbits(found, axis=1).reshape(h, -1, bits) @ (1 << np.arange(bits, dtype=np.uint8)[::-1])
+            found = found[:, : w * channels] * (1 if palette else 255 // ((1 << bits) - 1))
+        pixels[y0::dy, x0::dx] = found.reshape(h, w, channels)
+    if palette:
+        colours = np.frombuffer(next(body for name, body in chunks if name == b"PLTE"), np.uint8).reshape(-1, 3)
+        pixels = colours[pixels[:, :, 0]]
+    return pixels
 
 
 def encode_png(pixels: np.ndarray, level: int = 6, info: Info | None = None) -> bytes:
@@ -83,7 +115,7 @@ def encode_png(pixels: np.ndarray, level: int = 6, info: Info | None = None) ->
     if pixels.dtype not in (np.uint8, np.uint16):
         raise ValueError("PNG holds 8 or 16 bits")
     height, width, channels = pixels.shape
-    kind = {n: k for k, n in _CHANNELS.items()}[channels]
+    kind = {n: k for k, n in _CHANNELS.items() if k != 3}[channels]
     rows = np.ascontiguousarray(pixels.astype(">u2" if pixels.dtype == np.uint16 else "u1")).view(np.uint8).reshape(height, -1)
     raw = np.concatenate([np.zeros((height, 1), np.uint8), rows], axis=1).tobytes()
 
@@ -110,7 +142,7 @@ def _png_info(content: bytes) -> Info:
     return found
 
 
-# --- TIFF: one image, whole pixels together, no compression or deflate
+# --- TIFF: one image in strips, whole pixels together; no compression, deflate or byte runs, with or without differences
 
 _TIFF_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1}
 _TIFF_TEXT = {305: "Software", 271: "Make", 272: "Model", 306: "DateTime"}
@@ -135,19 +167,33 @@ def _tiff_tags(content: bytes) -> tuple[str, dict[int, list | bytes]]:
     return order, tags
 
 
-def decode_tiff(content: bytes) -> np.ndarray | None:
+def _byte_runs(packed: bytes) -> bytes:
+    """n < 128: n + 1 bytes follow; n > 128: the next byte 257 - n times."""
+    out, at = bytearray(), 0
+    while at < len(packed):
+        n = packed[at]
+        if n < 128:
+            out += packed[at + 1 : at + 2 + n]
+            at += n + 2
+        else:
+            out += packed[at + 1 : at + 2] * (257 - n) if n > 128 else b""
+            at += 2 if n > 128 else 1
+    return bytes(out)
+
+
+def decode_tiff(content: bytes) -> np.ndarray:
     order, tags = _tiff_tags(content)
     width, height, channels = tags[256][0], tags[257][0], tags.get(277, [1])[0]
-    bits, packing = set(tags.get(258, [1])), tags.get(259, [1])[0]
-    if len(bits) != 1 or packing not in (1, 8, 32946) or tags.get(284, [1])[0] != 1 or tags.get(317, [1])[0] != 1 or 273 not in tags or tags.get(339, [1])[0] != 1:
-        return None
+    bits, packing, differences = set(tags.get(258, [1])), tags.get(259, [1])[0], tags.get(317, [1])[0]
+    unpack = {1: bytes, 8: zlib.decompress, 32946: zlib.decompress, 32773: _byte_runs}.get(packing)
+    if unpack is None or len(bits) != 1 or tags.get(284, [1])[0] != 1 or differences not in (1, 2) or 273 not in tags or tags.get(339, [1])[0] != 1:
+        raise ValueError(f"TIFF of a kind that is not supported (compression {packing})")
     depth = bits.pop()
     if depth not in (8, 16, 32):
-        return None
-    strips = [content[a : a + n] for a, n in zip(tags[273], tags[279], strict=True)]
-    raw = b"".join(s if packing == 1 else zlib.decompress(s) for s in strips)
-    pixels = np.frombuffer(raw, f"{order}u{depth // 8}", height * width * channels).reshape(height, width, channels)
-    return pixels.astype(f"u{depth // 8}")
+        raise ValueError(f"TIFF of {depth} bits")
+    raw = b"".join(unpack(content[a : a + n]) for a, n in zip(tags[273], tags[279], strict=True))
+    pixels = np.frombuffer(raw, f"{order}u{depth // 8}", height * width * channels).reshape(height, width, channels).astype(f"u{depth // 8}")
+    return np.cumsum(pixels, axis=1, dtype=pixels.dtype) if differences == 2 else pixels
 
 
 def encode_tiff(pixels: np.ndarray, info: Info | None = None) -> bytes:
@@ -185,11 +231,11 @@ def _tiff_info(content: bytes) -> Info:
 # --- BMP and FITS
 
 
-def decode_bmp(content: bytes) -> np.ndarray | None:
+def decode_bmp(content: bytes) -> np.ndarray:
     (at,) = struct.unpack("<I", content[10:14])
     width, height, _, bits, packing = struct.unpack("<iiHHI", content[18:34])
     if bits not in (24, 32) or packing:
-        return None
+        raise ValueError("BMP of a kind that is not supported")
     line = (width * bits // 8 + 3) // 4 * 4
     rows = np.frombuffer(content, np.uint8, line * abs(height), at).reshape(abs(height), line)[:, : width * bits // 8]
     pixels = rows.reshape(abs(height), width, bits // 8)[:, :, 2::-1]
@@ -207,11 +253,11 @@ def _fits_cards(content: bytes) -> tuple[dict[str, str], int]:
             cards[card[:8].strip()] = card[10:].split(" /")[0].strip().strip("'").strip()
 
 
-def decode_fits(content: bytes) -> np.ndarray | None:
+def decode_fits(content: bytes) -> np.ndarray:
     cards, at = _fits_cards(content)
     bits, axes = int(cards["BITPIX"]), [int(cards[f"NAXIS{i + 1}"]) for i in range(int(cards["NAXIS"]))]
     if bits not in (8, 16, 32) or len(axes) not in (2, 3):
-        return None
+        raise ValueError("FITS of a kind that is not supported")
     shape = (axes[2] if len(axes) == 3 else 1, axes[1], axes[0])
     raw = np.frombuffer(content, {8: "u1", 16: ">i2", 32: ">i4"}[bits], math.prod(shape), at).reshape(shape).astype(np.int64)
     values = np.clip(raw + int(float(cards.get("BZERO", 0))), 0, (1 << bits) - 1)
@@ -221,17 +267,23 @@ def decode_fits(content: bytes) -> np.ndarray | None:
 # --- any of them
 
 
-def decode(content: bytes | None) -> np.ndarray | None:
-    """By the first bytes of the file, whatever its name says."""
+def read(content: bytes | None) -> tuple[np.ndarray | None, str | None]:
+    """(pixels, None), or (None, why there are none); by the first bytes of the file, whatever its name says."""
     content = bytes(content or b"")
     decoders = ((PNG_MAGIC, decode_png), (b"II*\0", decode_tiff), (b"MM\0*", decode_tiff), (b"BM", decode_bmp), (b"SIMPLE  =", decode_fits))
     for magic, decoder in decoders:
         if content.startswith(magic):
             try:
-                return decoder(content)
-            except (zlib.error, ValueError, struct.error, KeyError, IndexError, TypeError):
-                return None
-    return None
+                return decoder(content), None
+            except (zlib.error, ValueError, struct.error, KeyError, IndexError, TypeError, StopIteration) as e:
+                return None, f"not decodable: {e or type(e).__name__}"
+    if content.startswith(b"\xff\xd8") or content[:4] == b"GIF8":
+        return None, "not decodable: no decoder for JPEG and GIF files"
+    return None, "not decodable: empty file" if not content else "not decodable: unknown kind of file"
+
+
+def decode(content: bytes | None) -> np.ndarray | None:
+    return read(content)[0]
 
 
 def header(content: bytes | None) -> tuple[int, int, int | None] | None:
@@ -278,6 +330,10 @@ def info(content: bytes | None) -> Info:
     return Info()
 
 
+#: Suffixes of files that can be written.
+WRITTEN = ("png", "tif", "tiff")
+
+
 def encode(pixels: np.ndarray, suffix: str, level: int = 6, about: Info | None = None) -> bytes:
     if suffix == "png":
         return encode_png(pixels, level, about)

@@ -1,4 +1,4 @@
-"""Image files as DataFrames: scanning, headers, decoding, pixels, and writing a result."""
+"""Image files as DataFrames: scanning, headers, decoding into tiles, pixels, and writing a result."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,28 +15,156 @@ from chronofold.sources import formats
 from chronofold.sources.formats import Info
 from chronofold.spec import resize_plan
 
-FRAME = "path string, valid boolean, height int, width int, channels int, bits int, data array<bigint>"
+#: Edge of a tile in pixels. A decoded file is a row for each tile, its pixels in as few bytes as they need.
+TILE = 256
+TILES = "path string, reason string, height int, width int, channels int, bits int, y0 int, x0 int, data binary"
+_NAMES = [c.split()[0] for c in TILES.split(", ")]
 
 
 def scan(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """Supported files of a folder, (path, content), once each."""
+    """Supported files of a folder, (path, content); a folder names no file twice. What is not selected is not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    return files.where(supported(F.col("path"))).dropDuplicates(["path"]).select("path", "content")
+    return files.where(supported(F.col("path"))).select("path", "content")
 
 
-def decoded(files: DataFrame, resize: str | None = None) -> DataFrame:
-    """files(path, content) -> FRAME; a file that can't be decoded gives a row that is not valid. resize: see resize_plan."""
+def tiles(files: DataFrame, resize: str | None = None, edge: int = TILE) -> DataFrame:
+    """files(path, content) -> TILES; a file that can't be decoded is one row that says why. resize: see resize_plan.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    One file is decoded at a time, and leaves in tiles.
+    """
+
+    def rows(path: str, content: bytes) -> Iterator[tuple]:
+        pixels, reason = formats.read(content)
+        if pixels is None:
+            yield (path, reason, *[None] * 7)
+            return
+        if size := resize_plan(resize, *pixels.shape[:2]):
+            pixels = formats.resize(pixels, *size)
+        pixels = pixels.astype(pixels.dtype.newbyteorder("<"))
+        for y in range(0, pixels.shape[0], edge):
+            for x in range(0, pixels.shape[1], edge):
+                yield (path, None, *pixels.shape, 8 * pixels.dtype.itemsize, y, x, pixels[y : y + edge, x : x + edge].tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.string(), *[pa.int32()] * 6, pa.binary()]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held: list[tuple] = []
+                for row in rows(batch.column(0)[i].as_py(), batch.column(1)[i].as_py()):
+                    held.append(row)
+                    if len(held) == 64:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=_NAMES)
+                        held = []
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=_NAMES)
+
+    return files.select("path", "content").mapInArrow(run, TILES)
+
+
+def files_of(cut: DataFrame) -> DataFrame:
+    """tiles -> (path, valid, reason, height, width, channels, bits), a row for each file; no pixel is read."""
+    return cut.where("y0 IS NULL OR (y0 = 0 AND x0 = 0)").select("path", F.col("reason").isNull().alias("valid"), "reason", "height", "width", "channels", "bits")
+
+
+def _pixels(row: dict, edge: int) -> np.ndarray:
+    h, w = min(edge, row["height"] - row["y0"]), min(edge, row["width"] - row["x0"])
+    return np.frombuffer(row["data"], f"<u{row['bits'] // 8}").reshape(h, w, row["channels"])
+
+
+def _places(row: dict, shape: tuple[int, int, int]) -> list[pa.Array]:
+    """y, x and c of a tile's pixels."""
+    y, x, c = np.indices(shape).reshape(3, -1)
+    return [pa.array((y + row["y0"]).astype(np.int64)), pa.array((x + row["x0"]).astype(np.int64)), pa.array(c.astype(np.int64))]
+
+
+def pixels(cut: DataFrame, *kept: str, edge: int = TILE) -> DataFrame:
+    """(kept columns, y, x, c, v) of tiles."""
+    more = [f for f in cut.schema if f.name in kept]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in more), "y bigint, x bigint, c bigint, v bigint"])
+    names = [*(f.name for f in more), "y", "x", "c", "v"]
+    needed = list(dict.fromkeys([*(f.name for f in more), "height", "width", "channels", "bits", "y0", "x0", "data"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                pixels = formats.decode(content)
-                if pixels is not None and (size := resize_plan(resize, *pixels.shape[:2])):
-                    pixels = formats.resize(pixels, *size)
-                row = (path, False, None, None, None, None, None) if pixels is None else (path, True, *pixels.shape, 8 * pixels.dtype.itemsize, pixels.reshape(-1).astype(np.int64))
-                yield pd.DataFrame([row], columns=[c.split()[0] for c in FRAME.split(", ")]).astype({"height": "Int32", "width": "Int32", "channels": "Int32", "bits": "Int32"})
+            for i in range(batch.num_rows):
+                part = batch.slice(i, 1)
+                row = part.to_pylist()[0]
+                found = _pixels(row, edge)
+                again = pa.array(np.zeros(found.size, np.int64))
+                columns = [part.column(part.schema.get_field_index(f.name)).take(again) for f in more]
+                yield pa.RecordBatch.from_arrays([*columns, *_places(row, found.shape), pa.array(found.reshape(-1).astype(np.int64))], names=names)
+
+    return cut.where("data IS NOT NULL").select(*needed).mapInArrow(run, schema)
+
+
+#: Bytes of accumulators that a task holds before it hands them on.
+HELD = 192 << 20
+#: What is kept for each pixel of a tile, by reduction: names and kinds of arrays, how a tile enters, how two are joined.
+_REDUCED = {
+    "max": (("most",), lambda v, w: (v if w is None else v * w,), lambda a, b: (np.maximum(a[0], b[0]),)),
+    "min": (("least",), lambda v, w: (v if w is None else v * w,), lambda a, b: (np.minimum(a[0], b[0]),)),
+    "mean": (("n", "s", "q"), lambda v, w: (np.ones(v.shape, np.int64), v.astype(np.int64), v.astype(np.int64) ** 2), lambda a, b: tuple(x + y for x, y in zip(a, b, strict=True))),
+}
+
+
+def reduced(cut: DataFrame, mode: str, weight: str | None = None, edge: int = TILE) -> DataFrame:
+    """tiles of one shape (of 8 or 16 bits for means) -> (y, x, c) with most, least, or n, s and q: all frames reduced.
+
+    Every task folds the tiles it has into one accumulator for each place (held up to HELD bytes, then handed on); the
+    accumulators are dealt by place and folded again as they come, so no task holds a place's frames or accumulators at once.
+    ``weight`` names a column to multiply values by.
+    """
+    names, enter, join = _REDUCED[mode]
+    schema = "height int, width int, channels int, y0 int, x0 int, " + ", ".join(f"{n} binary" for n in names) + ", kind string"
+    told = [c.split()[0] for c in schema.split(", ")]
+
+    def record(place: tuple, held: tuple) -> pa.RecordBatch:
+        arrays = [*(pa.array([x], pa.int32()) for x in place), *(pa.array([x.tobytes()], pa.binary()) for x in held), pa.array([held[0].dtype.str])]
+        return pa.RecordBatch.from_arrays(arrays, names=told)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple] = {}
+        size = 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                place = tuple(row[n] for n in told[:5])
+                new = enter(_pixels(row, edge), row[weight] if weight else None)
+                if place in held:
+                    held[place] = join(held[place], new)
+                else:
+                    held[place] = new
+                    size += sum(x.nbytes for x in new)
+                if size > HELD:
+                    yield from (record(p, x) for p, x in held.items())
+                    held, size = {}, 0
+        yield from (record(p, x) for p, x in held.items())
+
+    result = "y bigint, x bigint, c bigint, " + ", ".join(f"{n} {'double' if weight else 'bigint'}" for n in names)
+
+    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, None
+
+        def told_places(place: tuple, found: tuple) -> pa.RecordBatch:
+            row = dict(zip(told[:5], place, strict=True))
+            shape = (min(edge, row["height"] - row["y0"]), min(edge, row["width"] - row["x0"]), row["channels"])
+            values = [pa.array(x.reshape(-1).astype(np.float64 if weight else np.int64)) for x in found]
+            return pa.RecordBatch.from_arrays([*_places(row, shape), *values], names=["y", "x", "c", *names])
 
-    return files.select("path", "content").mapInPandas(run, FRAME)
+        for batch in batches:
+            for row in batch.to_pylist():
+                place, new = tuple(row[n] for n in told[:5]), tuple(np.frombuffer(row[n], row["kind"]) for n in names)
+                if place == now:
+                    held = join(held, new)
+                    continue
+                if now is not None:
+                    yield told_places(now, held)
+                now, held = place, new
+        if now is not None:
+            yield told_places(now, held)
+
+    needed = ["height", "width", "channels", "bits", "y0", "x0", "data", *([weight] if weight else [])]
+    parts = cut.where("data IS NOT NULL").select(*needed).mapInArrow(partial, schema)
+    return parts.repartition("y0", "x0").sortWithinPartitions(*told[:5]).mapInArrow(final, result)
 
 
 def headers(files: DataFrame) -> DataFrame:
@@ -60,27 +189,19 @@ def infos(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, exif map<string,string>, profile binary")
 
 
-def frames(files: DataFrame, resize: str | None = None) -> DataFrame:
-    """Decoded files with i, their place by path among all files (bad ones counted); paths alone are ordered, not pixels."""
-    place = F.row_number().over(Window.partitionBy(F.lit("sequence")).orderBy("path")).cast("bigint") - 1
-    order = files.select("path").withColumn("i", place).withColumn("series", F.lit("sequence"))
-    return decoded(files, resize).join(order, "path")
-
-
-def pixels(good: DataFrame) -> DataFrame:
-    """(i, y, x, c, v) of decoded frames."""
-    at = F.col("at").cast("bigint")
-    long = good.select("i", "width", "channels", F.posexplode("data").alias("at", "v"))
-    return long.select("i", F.floor(at / (F.col("width") * F.col("channels"))).alias("y"), (F.floor(at / F.col("channels")) % F.col("width")).alias("x"), (at % F.col("channels")).alias("c"), "v")
+def order(files: DataFrame) -> DataFrame:
+    """(path, i): the place of every file, bad ones counted. Only paths meet in one task, no contents."""
+    return files.select("path", (F.row_number().over(Window.partitionBy(F.lit("sequence")).orderBy("path")).cast("bigint") - 1).alias("i"))
 
 
 def write_image(result: DataFrame, path: str, bits: int = 8, level: int = 6, about: Info | None = None) -> None:
     """Writes one image (y, x, c, v) as PNG or TIFF: the only place where pixels come to the driver, as many as it has."""
-    found = result.select("y", "x", "c", "v").toPandas()
-    image = np.zeros([int(found[c].max()) + 1 for c in ("y", "x", "c")], f"u{bits // 8}")
-    image[found["y"], found["x"], found["c"]] = np.clip(found["v"], 0, (1 << bits) - 1)
+    found = result.select(F.col("y").cast("int"), F.col("x").cast("int"), F.col("c").cast("int"), "v").toArrow()
+    y, x, c, v = (found.column(i).to_numpy() for i in range(4))
+    image = np.zeros([int(k.max()) + 1 for k in (y, x, c)], f"u{bits // 8}")
+    image[y, x, c] = np.clip(v, 0, (1 << bits) - 1)
     with open(path, "wb") as out:
         out.write(formats.encode(image, path.rsplit(".", 1)[-1].lower(), level, about))
 
 
-__all__ = ["FRAME", "decoded", "frames", "headers", "infos", "pixels", "scan", "suffix_of", "write_image"]
+__all__ = ["TILES", "files_of", "headers", "infos", "order", "pixels", "reduced", "scan", "suffix_of", "tiles", "write_image"]
