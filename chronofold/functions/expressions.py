@@ -62,20 +62,24 @@ def gray(red: Column, green: Column, blue: Column) -> Column:
     return F.rint(red * 0.299 + green * 0.587 + blue * 0.114).cast("bigint")
 
 
+def long_edge_size(height: Column, width: Column, edge: int) -> tuple[Column, Column]:
+    """(height, width) of an image whose long edge is brought to ``edge``; the other one floors. See spec.resize_plan."""
+    e, tall = F.lit(edge).cast("bigint"), height >= width
+    return F.when(tall, e).otherwise(F.floor(height * e / width)).cast("bigint"), F.when(tall, F.floor(width * e / height)).otherwise(e).cast("bigint")
+
+
 def suffix_of(path: Column) -> Column:
     """The last dot part, lower-case."""
     return F.lower(F.element_at(F.split(path, r"\."), -1))
 
 
-#: File kinds that are read, by group (fixed values).
-COMMON = ("tif", "tiff", "png", "jpg", "jpeg")
-DISCOURAGED = ("bmp", "gif", "fits")
-RAW = ("cr2", "cr3", "arw", "nef", "dng")
+#: Suffixes of files that are taken (fixed values).
+SUFFIXES = ("tif", "tiff", "png", "jpg", "jpeg", "bmp", "gif", "fits", "cr2", "cr3", "arw", "nef", "dng")
 ALIASES = {"tiff": "tif", "jpeg": "jpg"}
 
 
 def supported(path: Column) -> Column:
-    return suffix_of(path).isin(*COMMON, *DISCOURAGED, *RAW)
+    return suffix_of(path).isin(*SUFFIXES)
 
 
 def plain_suffix(path: Column) -> Column:

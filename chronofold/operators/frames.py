@@ -11,6 +11,16 @@ def skip_failed(frames: DataFrame, valid: Column) -> tuple[DataFrame, DataFrame]
     return frames.where(valid), frames.where(~valid).select("series", "i", F.lit("not decodable").alias("reason"))
 
 
+def with_parts(frames: DataFrame, parts: Column) -> DataFrame:
+    """frames(i, n) with part, the contiguous part of its series (of ``parts``, nearly equal ones) that a frame falls into."""
+    return frames.withColumn("part", F.floor(((F.col("i") + 1) * parts - 1) / F.col("n")).cast("bigint"))
+
+
+def wanted_parts(n: Column, cores: int) -> Column:
+    """About the root of the number of frames, and no more than the cores are good for; see spec.partition_plan."""
+    return F.greatest(F.lit(1), F.least(F.floor(F.sqrt(n)), F.lit(cores // 4 + (1 if cores <= 8 else 0)))).cast("bigint")
+
+
 def _before_first(bad: Column) -> Column:
     so_far = Window.partitionBy("series").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return F.max(bad.cast("int")).over(so_far) == 0

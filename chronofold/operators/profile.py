@@ -51,14 +51,26 @@ def report(attrs: DataFrame) -> DataFrame:
     return ranked.groupBy("attr").agg(F.max(F.when(first, F.col("value"))).alias("mode_value"), F.max(F.when(first, F.col("n"))).alias("mode_n"), others.alias("others"))
 
 
+def _rational(exposure: Column) -> tuple[Column, Column]:
+    """Numerator and denominator of "1/250" or "30"; nulls for anything else."""
+    parts = F.split(F.trim(exposure), "/")
+    return F.try_element_at(parts, F.lit(1)).try_cast("bigint"), F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("1")).try_cast("bigint")
+
+
 def exposure_groups(rows: DataFrame, exposure: Column) -> DataFrame:
     """Exposures as written ("1/250", "30") -> (num, den, n); rows without one are left out."""
-    parts = F.split(F.trim(exposure), "/")
-    num, den = F.try_element_at(parts, F.lit(1)).try_cast("bigint"), F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("1")).try_cast("bigint")
+    num, den = _rational(exposure)
     found = rows.select(num.alias("num"), den.alias("den")).where("num IS NOT NULL AND den > 0")
     return found.groupBy("num", "den").agg(F.count(F.lit(1)).alias("n"))
 
 
+def estimated_exposures(frames: DataFrame, exposure: Column) -> DataFrame:
+    """frames(series, i) -> (series, num, den): the first frame's exposure for every frame of the series, as a fraction."""
+    first = frames.select("series", "i", exposure.alias("e")).groupBy("series").agg(F.min_by("e", "i").alias("e"), F.count(F.lit(1)).alias("n"))
+    num, den = _rational(F.col("e"))
+    return first.select("series", (num * F.col("n")).alias("num"), den.alias("den"))
+
+
 def total_exposure(groups: DataFrame) -> Fraction:
     """The exact sum; distinct exposures of a camera are few, and their sums by denominator are all that is fetched."""
     by_den = groups.groupBy("den").agg(F.sum(F.col("num") * F.col("n")).alias("num"))

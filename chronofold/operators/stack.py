@@ -84,8 +84,14 @@ def fused_stack(px: DataFrame, keys: tuple[str, ...], wide: bool = False) -> Dat
 
 
 def max_stack_by_table(px: DataFrame, weights: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """The faded maximum with weights(i, w) as a table; one weight a frame, so Spark broadcasts it below its size limit."""
-    return px.join(weights, "i").groupBy(*keys).agg(F.floor(F.max(F.col("v") * F.col("w"))).cast("bigint").alias("v"))
+    """The faded maximum with weights(n, i, w) as a table: for series of every length n, a weight for each frame."""
+    return px.join(weights, ["n", "i"]).groupBy(*keys).agg(F.floor(F.max(F.col("v") * F.col("w"))).cast("bigint").alias("v"))
+
+
+def weight_table(frames: DataFrame, fade_in: float, fade_out: float) -> DataFrame:
+    """(n, i, w) for the lengths that series of frames(n) have: as many rows as their distinct lengths add up to."""
+    rows = frames.select("n").distinct().select("n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("i"))
+    return rows.select("n", "i", fade_weight(F.col("i"), F.col("n"), fade_in, fade_out).alias("w"))
 
 
 def scaled(out: DataFrame, spec: StackSpec) -> DataFrame:
@@ -113,6 +119,19 @@ def merge_mean_variance(parts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return total.select(*keys, "n", (F.col("s") / F.col("n")).alias("mean"), (F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), F.lit(2))).alias("var"))
 
 
+def subtract_mean_variance(full: DataFrame, part: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(n, mean, population variance) of the frames that are in ``full`` but not in ``part``, by second moments; keys that
+    would have none left keep none: n 0, nulls."""
+    other = part.select(*keys, *(F.col(c).alias(f"{c}2") for c in ("n", "mean", "var")))
+    n2, mean2, var2 = (F.coalesce(F.col(c), F.lit(0)) for c in ("n2", "mean2", "var2"))
+    left = F.col("n") - n2
+    s = F.col("n") * F.col("mean") - n2 * mean2
+    q = F.col("n") * (F.col("var") + F.col("mean") * F.col("mean")) - n2 * (var2 + mean2 * mean2)
+    rest = full.join(other, list(keys), "left").select(*keys, left.alias("n"), s.alias("s"), q.alias("q"))
+    some = F.nullif(F.col("n"), F.lit(0).cast("bigint"))
+    return rest.select(*keys, "n", (F.col("s") / some).alias("mean"), (F.col("q") / some - F.pow(F.col("s") / some, F.lit(2))).alias("var"))
+
+
 def ordered_cube(px: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """(keys, vs): each key's values in frame order. For bounded series such as the frames of an image sequence."""
     pairs = F.array_sort(F.collect_list(F.struct("i", "v")))

@@ -14,8 +14,9 @@ from chronofold.functions import expressions as E
 from chronofold.operators import frames as bad
 from chronofold.operators import mix, profile, sigma, stack
 from chronofold.operators.sigma import _folder
+from chronofold.plans.stacking import mask_places, reduce_tiles
 from chronofold.sources import formats, images, tables
-from chronofold.spec import StackSpec, partition_plan, resize_plan
+from chronofold.spec import StackSpec
 from chronofold.streaming import stacks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,10 +129,10 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return stack.min_stack(tables.events_frames(s, d), StackSpec("min", fade_in=_FIN, fade_out=_FOUT))
 
 
-@query("stack_max_fade_join", f"WITH {FR}, w AS (SELECT i, {_W} AS w FROM (SELECT range AS i, 100 AS n FROM range(100))) SELECT k, CAST(floor(max(v * w)) AS BIGINT) AS v FROM ev JOIN w USING (i) GROUP BY k")
+@query("stack_max_fade_join", f"WITH {FR} SELECT k, CAST(floor(max(v * {_W})) AS BIGINT) AS v FROM ev GROUP BY k")
 def _(s: SparkSession, d: str) -> DataFrame:
-    weights = s.range(100).select(F.col("id").alias("i"), E.fade_weight(F.col("id"), F.lit(100).cast("bigint"), _FIN, _FOUT).alias("w"))
-    return stack.max_stack_by_table(tables.events_frames(s, d), weights, ("k",))
+    frames = tables.events_frames(s, d)
+    return stack.max_stack_by_table(frames, stack.weight_table(frames, _FIN, _FOUT), ("k",))
 
 
 @query("int_weight_rescale", f"WITH {FR} SELECT k, i, CAST(floor(v * CAST(floor({_W} * 257) AS BIGINT) / 257) AS BIGINT) AS v FROM ev")
@@ -359,10 +360,24 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return tables.table(s, d, "documents").select("doc_id", E.color_space(text).alias("space"))
 
 
+def _tagged(camera: pd.Series) -> pd.Series:
+    """A PNG of one pixel that says which camera took it, if any."""
+    told = lambda c: {"Software": "chronofold"} if c is None else {"Model": c, "Software": "chronofold"}
+    return camera.map(lambda c: formats.encode_png(np.zeros((1, 1), np.uint8), info=formats.Info(told(c))), na_action=None)
+
+
 @query("software_tag", "SELECT doc_id, lang AS camera, 'chronofold' AS software FROM documents")
 def _(s: SparkSession, d: str) -> DataFrame:
-    tags = F.map_concat(F.create_map(F.lit("camera"), F.col("lang")), F.create_map(F.lit("software"), F.lit("chronofold")))
-    return tables.table(s, d, "documents").select("doc_id", tags.alias("t")).select("doc_id", F.col("t")["camera"].alias("camera"), F.col("t")["software"].alias("software"))
+    """Tags written into image files and read from them again."""
+    files = tables.table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.pandas_udf(_tagged, "binary")("lang").alias("content"))
+    tags = F.col("exif")
+    return images.infos(files).select(F.col("path").cast("bigint").alias("doc_id"), tags["Model"].alias("camera"), tags["Software"].alias("software"))
+
+
+@query("exposure_estimate", f"WITH {FR} SELECT k AS series, CAST((event_id % 9 + 1) * n AS BIGINT) AS num, CAST(event_id % 250 + 1 AS BIGINT) AS den FROM ev WHERE i = 0")
+def _(s: SparkSession, d: str) -> DataFrame:
+    written = F.concat_ws("/", (F.col("event_id") % 9 + 1).cast("string"), (F.col("event_id") % 250 + 1).cast("string"))
+    return profile.estimated_exposures(tables.events_frames(s, d, "event_id").withColumnRenamed("k", "series"), written)
 
 
 # --- ordered cubes
@@ -442,16 +457,30 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return good.groupBy("series").agg(F.min("i").alias("i"))
 
 
-@query("partition_plan", "WITH p AS (SELECT range AS n, CAST(greatest(1, least(floor(sqrt(range)), 3)) AS BIGINT) AS m FROM range(1, 301)) SELECT n, i AS part, i * n // m AS lo, (i + 1) * n // m AS hi FROM (SELECT n, m, unnest(range(m)) AS i FROM p)")
+_PARTS = "CAST(greatest(1, least(floor(sqrt(n)), 3)) AS BIGINT)"
+
+
+def _in_parts(s: SparkSession, d: str) -> DataFrame:
+    return bad.with_parts(tables.events_frames(s, d), bad.wanted_parts(F.col("n"), 8))
+
+
+@query("partition_plan", f"WITH {FR}, p AS (SELECT DISTINCT k, n, {_PARTS} AS m FROM ev), r AS (SELECT k, n, m, unnest(range(m)) AS part FROM p) SELECT k, part, part * n // m AS lo, (part + 1) * n // m AS hi, (part + 1) * n // m - part * n // m AS frames FROM r")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The contiguous parts that every series falls into, from its frames."""
+    return _in_parts(s, d).groupBy("k", "part").agg(F.min("i").alias("lo"), (F.max("i") + 1).alias("hi"), F.count(F.lit(1)).alias("frames"))
+
+
+@query("stack_by_parts", f"WITH {EV} {_finished('k', 'ev')}")
 def _(s: SparkSession, d: str) -> DataFrame:
-    rows = [(n, i, lo, hi) for n in range(1, 301) for i, (lo, hi) in enumerate(partition_plan(n, 8))]
-    return s.createDataFrame(rows, "n long, part long, lo long, hi long")
+    """Every part of a series reduced for itself, the parts' accumulators added up."""
+    return stack.finished(stack.union_moments(stack.moments(_in_parts(s, d), ("k", "part")), ("k",)), ("k",))
 
 
-@query("resize_plan", "SELECT h, w, CASE WHEN h >= w THEN 100 ELSE h * 100 // w END AS to_h, CASE WHEN h >= w THEN w * 100 // h ELSE 100 END AS to_w FROM (SELECT x.range AS h, y.range AS w FROM range(50, 90) x, range(50, 90) y)")
+@query("resize_plan", "SELECT p_partkey, h, w, CASE WHEN h >= w THEN 100 ELSE h * 100 // w END AS to_h, CASE WHEN h >= w THEN w * 100 // h ELSE 100 END AS to_w FROM (SELECT p_partkey, CAST(p_size * 7 + 10 AS BIGINT) AS h, CAST(p_partkey % 90 + 30 AS BIGINT) AS w FROM part)")
 def _(s: SparkSession, d: str) -> DataFrame:
-    rows = [(h, w, *resize_plan("100", h, w)) for h in range(50, 90) for w in range(50, 90)]
-    return s.createDataFrame(rows, "h long, w long, to_h long, to_w long")
+    h, w = (F.col("p_size") * 7 + 10).cast("bigint"), (F.col("p_partkey") % 90 + 30).cast("bigint")
+    to_h, to_w = E.long_edge_size(F.col("h"), F.col("w"), 100)
+    return tables.table(s, d, "part").select("p_partkey", h.alias("h"), w.alias("w")).withColumns({"to_h": to_h, "to_w": to_w})
 
 
 @query("block_mean", f"WITH {EM} SELECT vec_id, CAST(pos // 8 // 2 AS BIGINT) AS y, CAST(pos % 8 // 2 AS BIGINT) AS x, CAST(round_even(CAST(sum(v) AS DOUBLE) / count(v), 0) AS BIGINT) AS v FROM em GROUP BY ALL")
@@ -475,11 +504,29 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return stack.subtract_moments(stack.moments(px, ("k",)), stack.moments(px.where("event_type = 'click'"), ("k",)), ("k",))
 
 
-@query("var_pop_merge", f"WITH {EV} SELECT k, count(*) AS n, round(avg(v), 4) AS mean, round(var_pop(v) / 1e6, 4) AS var FROM ev GROUP BY k")
+_WHOLE = "ev AS (SELECT user_id AS k, event_type, CAST(round_even(value, 0) AS BIGINT) AS v FROM events)"
+
+
+def _told(s: SparkSession, d: str, where: str = "true", *keys: str) -> DataFrame:
+    """(keys, n, mean, var) of whole amounts, in doubles."""
+    px = tables.table(s, d, "events").where(where).select(F.col("user_id").alias("k"), "event_type", F.rint("value").cast("bigint").alias("v"))
+    return px.groupBy("k", *keys).agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.var_pop("v").alias("var"))
+
+
+def _whole(df: DataFrame) -> DataFrame:
+    """Sums that follow from (n, mean, var): whole numbers, so nothing need be rounded off to compare them."""
+    n = F.col("n")
+    return df.select("k", "n", F.rint(F.col("mean") * n).cast("bigint").alias("s"), F.rint(F.col("var") * n * n).cast("bigint").alias("spread"))
+
+
+@query("var_pop_merge", f"WITH {_WHOLE} SELECT k, count(v) AS n, CAST(sum(v) AS BIGINT) AS s, CAST(count(v) * sum(v * v) - sum(v) * sum(v) AS BIGINT) AS spread FROM ev GROUP BY k")
 def _(s: SparkSession, d: str) -> DataFrame:
-    px = tables.table(s, d, "events").select(F.col("user_id").alias("k"), "event_type", E.hundredths(F.col("value")).alias("v"))
-    parts = px.groupBy("k", "event_type").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.var_pop("v").alias("var"))
-    return stack.merge_mean_variance(parts, ("k",)).select("k", "n", F.round("mean", 4).alias("mean"), F.round(F.col("var") / 1e6, 4).alias("var"))
+    return _whole(stack.merge_mean_variance(_told(s, d, "true", "event_type"), ("k",)))
+
+
+@query("var_pop_subtract", f"WITH {_WHOLE}, x AS (SELECT k, v FROM ev WHERE event_type <> 'click'), r AS (SELECT k, count(v) AS n, sum(v) AS s, sum(v * v) AS q FROM x GROUP BY k) SELECT k, coalesce(n, 0) AS n, CAST(s AS BIGINT) AS s, CAST(n * q - s * s AS BIGINT) AS spread FROM (SELECT DISTINCT k FROM ev) LEFT JOIN r USING (k)")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return _whole(stack.subtract_mean_variance(_told(s, d), _told(s, d, "event_type = 'click'"), ("k",)))
 
 
 # --- running stacks, streams, images
@@ -490,8 +537,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return stack.running_max(tables.events_frames(s, d), ("k",))
 
 
-@query("stream_max", f"WITH {EV} SELECT k, max(v) AS most, min(v) AS least, count(v) AS n, CAST(sum(v) AS BIGINT) AS s FROM ev GROUP BY k")
-def _(s: SparkSession, d: str) -> DataFrame:
+def _streamed(s: SparkSession, d: str) -> DataFrame:
     rows = stacks.stream_table(s, d, "events").select(F.col("user_id").alias("k"), E.hundredths(F.col("value")).alias("v"))
     stacked = stacks.running_stack(rows, ("k",))
     folder = f"{_folder(rows)}/stream/{uuid.uuid4().hex}"
@@ -499,17 +545,109 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return s.read.schema(stacked.schema).parquet(f"{folder}/result")
 
 
-@query("image_stack", f"WITH {EM} SELECT label, pos, max(v) AS v FROM em GROUP BY label, pos")
+@query("stream_max", f"WITH {EV} SELECT k, max(v) AS most, min(v) AS least, count(v) AS n, CAST(sum(v) AS BIGINT) AS s FROM ev GROUP BY k")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return _streamed(s, d).drop("q")
+
+
+@query("stream_mean", f"WITH {EV} {_finished('k', 'ev')}")
 def _(s: SparkSession, d: str) -> DataFrame:
-    """Vectors written as 8 x 8 PNG images, decoded again and stacked by label."""
+    return stack.finished(_streamed(s, d), ("k",))
+
+
+# --- image files: vectors drawn as 8 x 8 images, decoded again
+
+
+def _drawn(s: SparkSession, d: str, kind: str = "gray8") -> DataFrame:
+    """(path label/vec_id, content): gray PNG of 8 bits, PNG of three channels of 16 bits, or gray TIFF of 16 bits."""
     px = tables.embeddings_px(s, d)
     rows = px.groupBy("vec_id", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda p: p["v"].cast("int")).alias("data"))
 
     @F.pandas_udf("binary")
-    def drawn(data: pd.Series) -> pd.Series:
-        return data.map(lambda v: formats.encode_png(np.array(v, np.uint8).reshape(8, -1)))
+    def draw(data: pd.Series) -> pd.Series:
+        def file(v: np.ndarray) -> bytes:
+            gray = np.array(v).reshape(8, -1)
+            if kind == "gray8":
+                return formats.encode_png(gray.astype(np.uint8))
+            if kind == "rgb16":
+                return formats.encode_png(np.stack([gray * 251, gray * 257, (255 - gray) * 256], axis=2).astype(np.uint16))
+            return formats.encode_tiff((gray * 257).astype(np.uint16))
+
+        return data.map(file)
+
+    return rows.select("vec_id", F.concat_ws("/", F.col("label").cast("string"), F.col("vec_id").cast("string")).alias("path"), draw("data").alias("content"))
+
+
+def _good(files: DataFrame, resize: str | None = None) -> DataFrame:
+    return images.tiles(files, resize).where("data IS NOT NULL")
+
+
+_IMAGE = StackSpec("max", ("y", "x", "c"))
+_YX = "CAST(pos // 8 AS BIGINT) AS y, CAST(pos % 8 AS BIGINT) AS x"
+
 
-    files = rows.select(F.concat_ws("/", F.col("label").cast("string"), F.col("vec_id").cast("string")).alias("path"), drawn("data").alias("content"))
-    good = images.tiles(files).where("data IS NOT NULL").withColumn("label", F.split("path", "/")[0].cast("int"))
+@query("image_stack", f"WITH {EM} SELECT label, pos, max(v) AS v FROM em GROUP BY label, pos")
+def _(s: SparkSession, d: str) -> DataFrame:
+    good = _good(_drawn(s, d)).withColumn("label", F.split("path", "/")[0].cast("int"))
     places = images.pixels(good, "label").select("label", (F.col("y") * 8 + F.col("x")).cast("int").alias("pos"), "v")
     return stack.max_stack(places, StackSpec("max", ("label", "pos")))
+
+
+@query("image_stack_rgb16", f"WITH {EM} SELECT {_YX}, CAST(c AS BIGINT) AS c, max(CASE c WHEN 0 THEN v * 251 WHEN 1 THEN v * 257 ELSE (255 - v) * 256 END) AS v FROM em, (SELECT unnest(range(3)) AS c) GROUP BY pos, c")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return reduce_tiles(_good(_drawn(s, d, "rgb16")), _IMAGE)
+
+
+@query("image_mean_tiff", f"WITH {EM}, px AS (SELECT {_YX}, CAST(0 AS BIGINT) AS c, v * 257 AS v FROM em) {_finished('y, x, c', 'px')}")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return reduce_tiles(_good(_drawn(s, d, "tiff16")), StackSpec("mean", ("y", "x", "c")))
+
+
+@query("image_max_fade", f"WITH {EM}, f AS (SELECT CAST(vec_id AS VARCHAR) AS s, label, vec_id, count(*) OVER () AS n, row_number() OVER (ORDER BY CAST(label AS VARCHAR) || '/' || vec_id) - 1 AS i FROM (SELECT DISTINCT vec_id, label FROM em)) SELECT {_YX}, CAST(0 AS BIGINT) AS c, CAST(floor(max(v * {_W})) AS BIGINT) AS v FROM em JOIN f USING (vec_id, label) GROUP BY pos")
+def _(s: SparkSession, d: str) -> DataFrame:
+    files = _drawn(s, d)
+    order = images.order(files)
+    placed = order.crossJoin(F.broadcast(order.agg(F.count(F.lit(1)).alias("n"))))  # one row
+    return reduce_tiles(_good(files), StackSpec("max", ("y", "x", "c"), fade_in=_FIN, fade_out=_FOUT), placed)
+
+
+@query("image_resize", f"WITH {EM} SELECT vec_id, CAST(pos // 8 // 2 AS BIGINT) AS y, CAST(pos % 8 // 2 AS BIGINT) AS x, CAST(round_even(CAST(sum(v) AS DOUBLE) / count(v), 0) AS BIGINT) AS v FROM em GROUP BY ALL")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Bilinear resizing to half the size, where every pixel is the mean of four."""
+    good = _good(_drawn(s, d), "4x4").withColumn("vec_id", F.split("path", "/")[1].cast("int"))
+    return images.pixels(good, "vec_id").select("vec_id", "y", "x", "v")
+
+
+@query("image_errors", "SELECT vec_id, 'not decodable: ' || CASE vec_id % 4 WHEN 1 THEN 'empty file' WHEN 2 THEN 'no decoder for JPEG and GIF files' ELSE 'unknown kind of file' END AS reason FROM embeddings WHERE vec_id % 4 > 0")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Files that can't be decoded, each with its reason; the others are left out."""
+    files = _drawn(s, d)
+    bytes_ = F.when(F.col("vec_id") % 4 == 0, F.col("content")).when(F.col("vec_id") % 4 == 1, F.lit(b"")).when(F.col("vec_id") % 4 == 2, F.lit(b"GIF89a")).otherwise(F.lit(b"no image"))
+    found = images.files_of(images.tiles(files.select("path", bytes_.alias("content")))).where("NOT valid")
+    return found.select(F.split("path", "/")[1].cast("int").alias("vec_id"), "reason")
+
+
+@query("mask_size", f"WITH {EM}, m AS (SELECT pos, v / 255e0 AS m FROM em WHERE vec_id = (SELECT min(vec_id) FROM em)), p AS (SELECT unnest(range(12)) AS y), q AS (SELECT unnest(range(20)) AS x), r AS (SELECT unnest(range(3)) AS c) SELECT y, x, c, m FROM p, q, r JOIN m ON m.pos = (y * 8 // 12) * 8 + x * 8 // 20")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """One image as the mask of frames of 12 x 20 pixels and three channels."""
+    files = _drawn(s, d)
+    first = files.agg(F.min_by(F.struct("path", "content"), "vec_id").alias("f")).select("f.*")
+    return mask_places(_good(first), 12, 20, 3)
+
+
+@query("recursive_scan", "SELECT 'region' || n_regionkey || '/nation' || n_nationkey || '.PNG' AS name, CAST(3 + n_nationkey AS INTEGER) AS width, CAST(2 + n_regionkey AS INTEGER) AS height, CAST(8 + n_nationkey % 2 * 8 AS INTEGER) AS bits, n_name AS model FROM nation")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Files in folders of folders - one for each nation, written for this query - with their headers and tags."""
+    folder = f"{_folder(s.range(1))}/scan/{uuid.uuid4().hex}"
+    path, conf = s.sparkContext._jvm.org.apache.hadoop.fs.Path, s.sparkContext._jsc.hadoopConfiguration()
+    for n in tables.table(s, d, "nation").select("n_nationkey", "n_regionkey", "n_name").collect():  # a row for each country there is
+        pixels = np.zeros((2 + n["n_regionkey"], 3 + n["n_nationkey"]), np.uint16 if n["n_nationkey"] % 2 else np.uint8)
+        for name, content in ((f"nation{n['n_nationkey']}.PNG", formats.encode_png(pixels, info=formats.Info({"Model": n["n_name"]}))), (f"nation{n['n_nationkey']}.txt", b"no image")):
+            to = path(f"{folder}/region{n['n_regionkey']}/{name}")
+            out = to.getFileSystem(conf).create(to)
+            out.write(bytearray(content))
+            out.close()
+    files = images.scan(s, folder, recursive=True)
+    found = images.headers(files).join(images.infos(files), "path")
+    name = F.array_join(F.slice(F.split("path", "/"), -2, 2), "/")
+    return found.select(name.alias("name"), "width", "height", "bits", F.col("exif")["Model"].alias("model"))

@@ -16,9 +16,9 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, files_at_once: int
 
 
 def running_stack(px: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """(keys, most, least, n, s) over all frames that have come."""
+    """(keys, most, least, n, s, q) over all frames that have come; mean and variance follow from n, s and q (finished)."""
     v = F.col("v")
-    return px.groupBy(*keys).agg(F.max(v).alias("most"), F.min(v).alias("least"), F.count(v).alias("n"), F.sum(v).alias("s"))
+    return px.groupBy(*keys).agg(F.max(v).alias("most"), F.min(v).alias("least"), F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
 
 
 def run_to_end(stacked: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
