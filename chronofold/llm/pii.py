@@ -186,8 +186,9 @@ def _reliabilities(rows: list[dict], steps: int = 100) -> list[float]:
                     table[name, 0, vote] = (sum(rows[i]["n"] * (1 - p[i]) for i in here) + 1) / (total - yes + 3)
             if moved < 1e-6:
                 break
-        # a labeler's yes must not speak against personal data: else the two truths have changed places
-        lean = sum(math.log(table[n, 1, 1] / table[n, 0, 1]) for n in LABELERS)
+        # a labeler's yes must not speak against personal data: else the two truths have changed places; one that never says
+        # yes here has only its smoothing to speak with, and no say
+        lean = sum(math.log(table[n, 1, 1] / table[n, 0, 1]) for n in LABELERS if any(rows[i][n] == 1 for i in own))
         if lean < 0:
             for i in own:
                 p[i] = 1 - p[i]
