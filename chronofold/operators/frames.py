@@ -44,5 +44,13 @@ def of_first_shape(frames: DataFrame, shape: Column) -> DataFrame:
     return frames.withColumn("__kept", shape.eqNullSafe(first)).where("__kept").drop("__kept")
 
 
+def merged_by_shape(parts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """parts(keys, part, shape, first, n, s, q), accumulators of parts by shape -> (keys, shape, n, s, q): those of the shape
+    that the series starts with (least ``first``), added up; the others are left out. Accumulators meet, never frames."""
+    sums = parts.groupBy(*keys, "shape").agg(F.min("first").alias("first"), *(F.sum(c).alias(c) for c in "nsq"))
+    kept = sums.groupBy(*keys).agg(F.min_by("shape", "first").alias("shape"))
+    return sums.join(kept, [*keys, "shape"]).select(*keys, "shape", *"nsq")
+
+
 def counters(frames: DataFrame, valid: Column) -> DataFrame:
     return frames.groupBy("series").agg(F.count_if(valid).alias("stacked"), F.count_if(~valid).alias("failed"))

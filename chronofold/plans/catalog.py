@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronofold.functions import expressions as E
@@ -446,6 +446,14 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return bad.of_first_shape(_frames(s, d), F.col("shape")).select("series", "i", "v")
 
 
+@query("shape_merge", f"WITH {FR}, {_BAD}, h AS (SELECT *, first(shape) OVER (PARTITION BY series ORDER BY i) AS f FROM g) SELECT series, shape, count(v) AS n, CAST(sum(v) AS BIGINT) AS s, CAST(sum(v * v) AS BIGINT) AS q FROM h WHERE shape = f GROUP BY series, shape")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Parts of every series reduced for themselves and by shape, then merged as far as their shapes agree with the first."""
+    frames = bad.with_parts(_frames(s, d).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("series"))), bad.wanted_parts(F.col("n"), 8))
+    firsts = frames.groupBy("series", "part", "shape").agg(F.min("i").alias("first"), F.count("v").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
+    return bad.merged_by_shape(firsts, ("series",))
+
+
 @query("stack_counters", f"WITH {FR}, {_BAD} SELECT series, count(*) FILTER (ok) AS stacked, count(*) FILTER (NOT ok) AS failed FROM g GROUP BY series")
 def _(s: SparkSession, d: str) -> DataFrame:
     return bad.counters(_frames(s, d), F.col("ok"))
@@ -611,6 +619,14 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return reduce_tiles(_good(files), StackSpec("max", ("y", "x", "c"), fade_in=_FIN, fade_out=_FOUT), placed)
 
 
+@query("image_cached_runs", f"WITH {EM} SELECT {_YX}, CAST(0 AS BIGINT) AS c, max(v) AS most, min(v) AS least FROM em GROUP BY pos")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Files decoded once, two reductions run on the tiles."""
+    tiles = sigma.settled(_good(_drawn(s, d)), "tiles")
+    most, least = (reduce_tiles(tiles, StackSpec(mode, ("y", "x", "c"))) for mode in ("max", "min"))
+    return most.withColumnRenamed("v", "most").join(least.withColumnRenamed("v", "least"), ["y", "x", "c"])
+
+
 @query("image_resize", f"WITH {EM} SELECT vec_id, CAST(pos // 8 // 2 AS BIGINT) AS y, CAST(pos % 8 // 2 AS BIGINT) AS x, CAST(round_even(CAST(sum(v) AS DOUBLE) / count(v), 0) AS BIGINT) AS v FROM em GROUP BY ALL")
 def _(s: SparkSession, d: str) -> DataFrame:
     """Bilinear resizing to half the size, where every pixel is the mean of four."""

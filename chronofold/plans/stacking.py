@@ -92,8 +92,30 @@ def reduce_tiles(good: DataFrame, spec: StackSpec, order: DataFrame | None = Non
     return scaled(found.select(*spec.keys, F.floor(v).cast("bigint").alias("v")), spec)
 
 
-def stack_images(spark: SparkSession, folder: str, spec: StackSpec, output: str | None = None, mask_file: str | None = None, resize: str | None = None, recursive: bool = False, check: bool = False, level: int = 6) -> ImageStack:
-    """Stacks the images of a folder; one bad frame never fails a run.
+@dataclass
+class DecodedImages:
+    """A folder decoded once into tiles in the shared folder; any number of stacks run on it without decoding again."""
+
+    files: DataFrame
+    tiles: DataFrame
+
+
+def decode_images(spark: SparkSession, folder: str, resize: str | None = None, recursive: bool = False) -> DecodedImages:
+    files = images.scan(spark, folder, recursive)
+    return DecodedImages(files, settled(images.tiles(files, resize), "tiles"))
+
+
+def not_ready(n_frames: int, spec: StackSpec, output: str | None, mask_file: str | None, least: int = 3) -> str | None:
+    """Why an interactive run should not start: too few frames to stack, no output, or no mask for a mix. None: it may."""
+    if n_frames < least:
+        return f"at least {least} frames are needed, there are {n_frames}"
+    if not output:
+        return "an output path is needed"
+    return "a mask mix needs a mask" if spec.mode == "mask-mix" and not mask_file else None
+
+
+def stack_images(spark: SparkSession, folder: str, spec: StackSpec, output: str | None = None, mask_file: str | None = None, resize: str | None = None, recursive: bool = False, check: bool = False, level: int = 6, decoded: DecodedImages | None = None) -> ImageStack:
+    """Stacks the images of a folder, or what decode_images has made of one; one bad frame never fails a run.
 
     Files are decoded once, into tiles in the shared folder; frames of another shape than the first good one are left out.
     Maxima, minima and means fold tiles; clipping and mixing go over pixels. With an output path the result is written as PNG
@@ -104,9 +126,9 @@ def stack_images(spark: SparkSession, folder: str, spec: StackSpec, output: str
         raise ValueError(f"{output}: files can be written as {', '.join(WRITTEN)}")
     if spec.mode == "mask-mix" and mask_file is None:
         raise ValueError("a mask mix needs a mask")
-    files = images.scan(spark, folder, recursive)
+    decoded = decoded or decode_images(spark, folder, resize, recursive)
+    files, cut = decoded.files, decoded.tiles
     report = profile_report(file_attributes(images.headers(files))) if check else None
-    cut = settled(images.tiles(files, resize), "tiles")
     found = images.files_of(cut).withColumn("series", F.lit("sequence"))
     place = images.order(files)
     errors = found.where("NOT valid").join(place, "path").select("series", "i", "path", "reason")

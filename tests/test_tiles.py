@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronofold.plans.stacking import reduce_tiles, stack, stack_images
+from chronofold.plans.stacking import decode_images, not_ready, reduce_tiles, stack, stack_images
 from chronofold.sources import formats, images
 from chronofold.spec import StackSpec
 
@@ -130,3 +130,21 @@ def test_reasons_and_refused_outputs(spark, tmp_path):
         stack_images(spark, "file:///does/not/exist", StackSpec("max"), "out.jpg")
     with pytest.raises(ValueError, match="mask"):
         stack_images(spark, "file:///does/not/exist", StackSpec("mask-mix"))
+
+
+def test_runs_on_decoded_images(spark, tmp_path):
+    cube = np.random.default_rng(3).integers(0, 256, (4, 5, 6, 3)).astype(np.uint8)
+    for i, x in enumerate(cube):
+        (tmp_path / f"{i}.png").write_bytes(formats.encode_png(x))
+    decoded = decode_images(spark, f"file://{tmp_path}")
+    for mode, wanted in (("max", cube.max(axis=0)), ("min", cube.min(axis=0))):
+        found = stack_images(spark, "", StackSpec(mode), decoded=decoded).result.toPandas()
+        image = np.zeros(wanted.shape, int)
+        image[found["y"], found["x"], found["c"]] = found["v"]
+        assert np.array_equal(image, wanted)
+
+
+def test_readiness():
+    spec = StackSpec("max")
+    assert "3 frames" in not_ready(2, spec, "o.png", None) and "output" in not_ready(3, spec, None, None)
+    assert "mask" in not_ready(3, StackSpec("mask-mix"), "o.png", None) and not_ready(3, spec, "o.png", None) is None
