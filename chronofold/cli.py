@@ -13,7 +13,7 @@ def options() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="chronofold", description=__doc__)
     parser.add_argument("mode", choices=MODES)
     parser.add_argument("folder", help="folder of images, taken in the order of their paths")
-    parser.add_argument("output", help="PNG or TIFF file")
+    parser.add_argument("output", help="PNG, TIFF or JPEG file")
     parser.add_argument("--fade-in", type=float, default=0.0, help="share of the frames that fade in")
     parser.add_argument("--fade-out", type=float, default=0.0, help="share of the frames that fade out")
     parser.add_argument("--int-weight", action="store_true", help="whole-number weights")
@@ -24,6 +24,7 @@ def options() -> argparse.ArgumentParser:
     parser.add_argument("--rej-low", type=float, default=3.0)
     parser.add_argument("--max-iter", type=int, default=5)
     parser.add_argument("--png-level", type=int, default=6, choices=range(10))
+    parser.add_argument("--jpg-quality", type=int, default=95, help="0 to 100")
     parser.add_argument("--recursive", action="store_true")
     parser.add_argument("--report", action="store_true", help="print the files' suffixes, sizes and depths first")
     return parser
@@ -35,7 +36,7 @@ def main(arguments: list[str] | None = None) -> int:
     args = options().parse_args(arguments)
     spec = StackSpec(args.mode, fade_in=args.fade_in, fade_out=args.fade_out, int_weight=args.int_weight, rej_high=args.rej_high, rej_low=args.rej_low, max_iter=args.max_iter, out_bits=args.output_bits)
     spark = SparkSession.builder.getOrCreate()
-    run = stack_images(spark, args.folder, spec, args.output, args.mask, args.resize, args.recursive, args.report, args.png_level)
+    run = stack_images(spark, args.folder, spec, args.output, args.mask, args.resize, args.recursive, args.report, args.png_level, quality=args.jpg_quality)
     for row in run.report.collect() if run.report is not None else ():  # three rows
         print(f"{row['attr']}: mostly {row['mode_value']} ({row['mode_n']})" + "".join(f", {o['value']} ({o['n']})" for o in row["others"] or ()))
     for row in run.counts.collect():  # one row a sequence

@@ -634,7 +634,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return images.pixels(good, "vec_id").select("vec_id", "y", "x", "v")
 
 
-@query("image_errors", "SELECT vec_id, 'not decodable: ' || CASE vec_id % 4 WHEN 1 THEN 'empty file' WHEN 2 THEN 'no decoder for JPEG and GIF files' ELSE 'unknown kind of file' END AS reason FROM embeddings WHERE vec_id % 4 > 0")
+@query("image_errors", "SELECT vec_id, 'not decodable: ' || CASE vec_id % 4 WHEN 1 THEN 'empty file' WHEN 2 THEN 'no decoder for JPEG and GIF files in tables' ELSE 'unknown kind of file' END AS reason FROM embeddings WHERE vec_id % 4 > 0")
 def _(s: SparkSession, d: str) -> DataFrame:
     """Files that can't be decoded, each with its reason; the others are left out."""
     files = _drawn(s, d)

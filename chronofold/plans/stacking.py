@@ -71,7 +71,7 @@ def mask_places(drawn: DataFrame, height: int, width: int, channels: int) -> Dat
 
 def image_mask(spark: SparkSession, path: str, height: int, width: int, channels: int) -> DataFrame:
     """mask_places of a mask file."""
-    return mask_places(images.tiles(spark.read.format("binaryFile").load(path).select("path", "content")).where("data IS NOT NULL"), height, width, channels)
+    return mask_places(images.folder_tiles(spark, path).where("data IS NOT NULL"), height, width, channels)
 
 
 def reduce_tiles(good: DataFrame, spec: StackSpec, order: DataFrame | None = None) -> DataFrame:
@@ -101,8 +101,7 @@ class DecodedImages:
 
 
 def decode_images(spark: SparkSession, folder: str, resize: str | None = None, recursive: bool = False) -> DecodedImages:
-    files = images.scan(spark, folder, recursive)
-    return DecodedImages(files, settled(images.tiles(files, resize), "tiles"))
+    return DecodedImages(images.scan(spark, folder, recursive), settled(images.folder_tiles(spark, folder, recursive, resize), "tiles"))
 
 
 def not_ready(n_frames: int, spec: StackSpec, output: str | None, mask_file: str | None, least: int = 3) -> str | None:
@@ -114,12 +113,12 @@ def not_ready(n_frames: int, spec: StackSpec, output: str | None, mask_file: str
     return "a mask mix needs a mask" if spec.mode == "mask-mix" and not mask_file else None
 
 
-def stack_images(spark: SparkSession, folder: str, spec: StackSpec, output: str | None = None, mask_file: str | None = None, resize: str | None = None, recursive: bool = False, check: bool = False, level: int = 6, decoded: DecodedImages | None = None) -> ImageStack:
+def stack_images(spark: SparkSession, folder: str, spec: StackSpec, output: str | None = None, mask_file: str | None = None, resize: str | None = None, recursive: bool = False, check: bool = False, level: int = 6, decoded: DecodedImages | None = None, quality: int = 95) -> ImageStack:
     """Stacks the images of a folder, or what decode_images has made of one; one bad frame never fails a run.
 
     Files are decoded once, into tiles in the shared folder; frames of another shape than the first good one are left out.
-    Maxima, minima and means fold tiles; clipping and mixing go over pixels. With an output path the result is written as PNG
-    or TIFF (another suffix is an error before anything is read), with the first file's text and profile. ``check`` adds a
+    Maxima, minima and means fold tiles; clipping and mixing go over pixels. With an output path the result is written as PNG,
+    TIFF or JPEG (another suffix is an error before anything is read), with the first file's text and profile. ``check`` adds a
     report of the files' suffixes, sizes and depths.
     """
     if output is not None and output.rsplit(".", 1)[-1].lower() not in WRITTEN:
@@ -156,5 +155,5 @@ def stack_images(spark: SparkSession, folder: str, spec: StackSpec, output: str
     if output is not None:
         image = result if "v" in result.columns else result.withColumn("v", F.col("mu"))
         about = combined_info(files)
-        images.write_image(image, output, bits or 8, level, about)
+        images.write_image(image, output, bits or 8, level, about, quality)
     return ImageStack(True, warning or "", result, errors, counts, bits, about, report)

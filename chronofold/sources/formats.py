@@ -1,4 +1,5 @@
-"""Image formats that need no library: PNG, TIFF in strips, BMP and FITS in, PNG and TIFF out, and headers of JPEG and GIF too.
+"""Image formats that need no library: PNG, TIFF in strips, BMP and FITS in, PNG and TIFF out, and what stands beside the
+picture in JPEG and GIF files too.
 
 A decoder gets a whole file and returns (height, width, channels) of unsigned whole numbers, or None where the file is
 damaged or of a kind that is not supported; read() also says why. Channels are in the order red, green, blue.
@@ -148,9 +149,11 @@ _TIFF_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1}
 _TIFF_TEXT = {305: "Software", 271: "Make", 272: "Model", 306: "DateTime"}
 
 
-def _tiff_tags(content: bytes) -> tuple[str, dict[int, list | bytes]]:
+def _tiff_tags(content: bytes, at: int | None = None) -> tuple[str, dict[int, list | bytes]]:
+    """Byte order and tags of the first directory, or of the one at a place."""
     order = "<" if content[:2] == b"II" else ">"
-    (at,) = struct.unpack(f"{order}I", content[4:8])
+    if at is None:
+        (at,) = struct.unpack(f"{order}I", content[4:8])
     (count,) = struct.unpack(f"{order}H", content[at : at + 2])
     tags: dict[int, list | bytes] = {}
     for k in range(count):
@@ -223,11 +226,73 @@ def encode_tiff(pixels: np.ndarray, info: Info | None = None) -> bytes:
 def _tiff_info(content: bytes) -> Info:
     order, tags = _tiff_tags(content)
     exif = {name: tags[tag].rstrip(b"\0").decode("latin-1") for tag, name in _TIFF_TEXT.items() if tag in tags}
-    if 33434 in tags:
-        exif["ExposureTime"] = "/".join(map(str, tags[33434][:2]))
+    more = _tiff_tags(content, tags[_EXIF_AT][0])[1] if _EXIF_AT in tags else {}
+    exposure = more.get(_EXPOSURE) or tags.get(_EXPOSURE)
+    if exposure:
+        exif["ExposureTime"] = "/".join(map(str, exposure[:2]))
     return Info(exif, tags.get(34675, b""))
 
 
+#: Tags of the directory of exposure data, and of the exposure time in it (fixed values).
+_EXIF_AT, _EXPOSURE = 34665, 33434
+
+
+def exif_block(exif: dict[str, str]) -> bytes:
+    """The texts and the exposure time as a TIFF without a picture, as other formats carry it."""
+    texts = sorted((tag, exif[name].encode("latin-1", "replace") + b"\0") for tag, name in _TIFF_TEXT.items() if name in exif)
+    num, _, den = exif.get("ExposureTime", "").partition("/")
+    timed = num.strip().isdigit() and (den.strip() or "1").isdigit() and int(num) < 1 << 32 and 0 < int(den or 1) < 1 << 32
+    count = len(texts) + timed
+    at = 8 + 2 + 12 * count + 4
+    entries, more = b"", b""
+    for tag, body in texts:
+        if len(body) > 4:
+            entries += struct.pack("<HHII", tag, 2, len(body), at + len(more))
+            more += body + b"\0" * (len(body) % 2)
+        else:
+            entries += struct.pack("<HHI", tag, 2, len(body)) + body.ljust(4, b"\0")
+    if timed:
+        inner = at + len(more)
+        entries += struct.pack("<HHII", _EXIF_AT, 4, 1, inner)
+        more += struct.pack("<HHHIII", 1, _EXPOSURE, 5, 1, inner + 18, 0) + struct.pack("<II", int(num), int(den or 1))
+    return b"II*\0" + struct.pack("<IH", 8, count) + entries + b"\0\0\0\0" + more
+
+
+# --- JPEG: what stands beside the picture; the picture itself is Spark's image source's
+
+
+def _jpeg_segments(content: bytes) -> Iterator[tuple[int, bytes]]:
+    at = 2
+    while at + 4 <= len(content) and content[at] == 0xFF and content[at + 1] != 0xDA:
+        (n,) = struct.unpack(">H", content[at + 2 : at + 4])
+        yield content[at + 1], content[at + 4 : at + 2 + n]
+        at += 2 + n
+
+
+def _jpeg_info(content: bytes) -> Info:
+    found, parts = Info(), {}
+    for marker, body in _jpeg_segments(content):
+        if marker == 0xE1 and body.startswith(b"Exif\0\0"):
+            found.exif = _tiff_info(body[6:]).exif
+        elif marker == 0xE2 and body.startswith(b"ICC_PROFILE\0"):
+            parts[body[12]] = body[14:]
+    found.profile = b"".join(parts[k] for k in sorted(parts))
+    return found
+
+
+def with_jpeg_info(content: bytes, about: Info | None) -> bytes:
+    """A JPEG file with texts, exposure time and profile put in front of what it holds."""
+    more = b""
+    if about and about.exif:
+        body = b"Exif\0\0" + exif_block(about.exif)
+        more += b"\xff\xe1" + struct.pack(">H", len(body) + 2) + body if len(body) < 65_000 else b""
+    pieces = [about.profile[at : at + 65_000] for at in range(0, len(about.profile), 65_000)] if about else []
+    for k, piece in enumerate(pieces):
+        body = b"ICC_PROFILE\0" + bytes([k + 1, len(pieces)]) + piece
+        more += b"\xff\xe2" + struct.pack(">H", len(body) + 2) + body
+    return content[:2] + more + content[2:]
+
+
 # --- BMP and FITS
 
 
@@ -278,7 +343,7 @@ def read(content: bytes | None) -> tuple[np.ndarray | None, str | None]:
             except (zlib.error, ValueError, struct.error, KeyError, IndexError, TypeError, StopIteration) as e:
                 return None, f"not decodable: {e or type(e).__name__}"
     if content.startswith(b"\xff\xd8") or content[:4] == b"GIF8":
-        return None, "not decodable: no decoder for JPEG and GIF files"
+        return None, "not decodable: no decoder for JPEG and GIF files in tables"
     return None, "not decodable: empty file" if not content else "not decodable: unknown kind of file"
 
 
@@ -318,20 +383,22 @@ def header(content: bytes | None) -> tuple[int, int, int | None] | None:
 
 
 def info(content: bytes | None) -> Info:
-    """Text and profile of a PNG or TIFF file; empty for anything else."""
+    """Text and profile of a PNG, TIFF or JPEG file; empty for anything else."""
     content = bytes(content or b"")
     try:
         if content.startswith(PNG_MAGIC):
             return _png_info(content)
         if content[:4] in (b"II*\0", b"MM\0*"):
             return _tiff_info(content)
+        if content.startswith(b"\xff\xd8"):
+            return _jpeg_info(content)
     except (zlib.error, struct.error, KeyError, ValueError, IndexError, TypeError):
         pass
     return Info()
 
 
 #: Suffixes of files that can be written.
-WRITTEN = ("png", "tif", "tiff")
+WRITTEN = ("png", "tif", "tiff", "jpg", "jpeg")
 
 
 def encode(pixels: np.ndarray, suffix: str, level: int = 6, about: Info | None = None) -> bytes:

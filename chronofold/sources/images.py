@@ -21,10 +21,42 @@ TILES = "path string, reason string, height int, width int, channels int, bits i
 _NAMES = [c.split()[0] for c in TILES.split(", ")]
 
 
+#: Files that Spark's image source decodes: JPEG and GIF, by suffix.
+_LIBRARY = "{*.[jJ][pP][gG],*.[jJ][pP][eE][gG],*.[gG][iI][fF]}"
+_PATH = "url_decode(replace(_metadata.file_path, '+', '%2B'))"
+
+
+def _load(spark: SparkSession, kind: str, folder: str, recursive: bool) -> DataFrame:
+    return spark.read.format(kind).option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", _LIBRARY if kind == "image" else "*").load(folder)
+
+
 def scan(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
     """Supported files of a folder, (path, content); a folder names no file twice. What is not selected is not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    return files.where(supported(F.col("path"))).select("path", "content")
+    files = _load(spark, "binaryFile", folder, recursive).select(F.expr(_PATH).alias("path"), "content")
+    return files.where(supported(F.col("path")))
+
+
+def folder_tiles(spark: SparkSession, folder: str, recursive: bool = False, resize: str | None = None) -> DataFrame:
+    """TILES of a folder's supported files: JPEG and GIF files by Spark's image source, the others by formats."""
+    library = suffix_of(F.col("path")).isin("jpg", "jpeg", "gif")
+    own = scan(spark, folder, recursive).where(~library)
+    drawn = _load(spark, "image", folder, recursive).select(F.expr(_PATH).alias("path"), "image.*")
+    return tiles(own, resize).union(library_tiles(drawn, resize))
+
+
+def _cut(path: str, pixels: np.ndarray | None, reason: str | None, resize: str | None, edge: int) -> Iterator[pa.RecordBatch]:
+    """One file's rows, a few tiles at a time."""
+    kinds = [pa.string(), pa.string(), *[pa.int32()] * 6, pa.binary()]
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=_NAMES)
+    if pixels is None:
+        yield batch([(path, reason, *[None] * 7)])
+        return
+    if size := resize_plan(resize, *pixels.shape[:2]):
+        pixels = formats.resize(pixels, *size)
+    pixels = pixels.astype(pixels.dtype.newbyteorder("<"))
+    places = [(y, x) for y in range(0, pixels.shape[0], edge) for x in range(0, pixels.shape[1], edge)]
+    for at in range(0, len(places), 64):
+        yield batch([(path, None, *pixels.shape, 8 * pixels.dtype.itemsize, y, x, pixels[y : y + edge, x : x + edge].tobytes()) for y, x in places[at : at + 64]])
 
 
 def tiles(files: DataFrame, resize: str | None = None, edge: int = TILE) -> DataFrame:
@@ -33,34 +65,29 @@ def tiles(files: DataFrame, resize: str | None = None, edge: int = TILE) -> Data
     One file is decoded at a time, and leaves in tiles.
     """
 
-    def rows(path: str, content: bytes) -> Iterator[tuple]:
-        pixels, reason = formats.read(content)
-        if pixels is None:
-            yield (path, reason, *[None] * 7)
-            return
-        if size := resize_plan(resize, *pixels.shape[:2]):
-            pixels = formats.resize(pixels, *size)
-        pixels = pixels.astype(pixels.dtype.newbyteorder("<"))
-        for y in range(0, pixels.shape[0], edge):
-            for x in range(0, pixels.shape[1], edge):
-                yield (path, None, *pixels.shape, 8 * pixels.dtype.itemsize, y, x, pixels[y : y + edge, x : x + edge].tobytes())
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.string(), *[pa.int32()] * 6, pa.binary()]
         for batch in batches:
             for i in range(batch.num_rows):
-                held: list[tuple] = []
-                for row in rows(batch.column(0)[i].as_py(), batch.column(1)[i].as_py()):
-                    held.append(row)
-                    if len(held) == 64:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=_NAMES)
-                        held = []
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=_NAMES)
+                yield from _cut(batch.column(0)[i].as_py(), *formats.read(batch.column(1)[i].as_py()), resize, edge)
 
     return files.select("path", "content").mapInArrow(run, TILES)
 
 
+def library_tiles(drawn: DataFrame, resize: str | None = None, edge: int = TILE) -> DataFrame:
+    """The same for rows (path, height, width, nChannels, data) of Spark's image source: 8 bits, blue first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                path, height, width, channels, data = (batch.column(k)[i].as_py() for k in range(5))
+                pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels) if height > 0 else None
+                if pixels is not None and channels > 1:
+                    pixels = pixels[:, :, [2, 1, 0, *range(3, channels)]]
+                yield from _cut(path, pixels, "not decodable: damaged JPEG or GIF file", resize, edge)
+
+    return drawn.select("path", "height", "width", "nChannels", "data").mapInArrow(run, TILES)
+
+
 def files_of(cut: DataFrame) -> DataFrame:
     """tiles -> (path, valid, reason, height, width, channels, bits), a row for each file; no pixel is read."""
     return cut.where("y0 IS NULL OR (y0 = 0 AND x0 = 0)").select("path", F.col("reason").isNull().alias("valid"), "reason", "height", "width", "channels", "bits")
@@ -194,14 +221,35 @@ def order(files: DataFrame) -> DataFrame:
     return files.select("path", (F.row_number().over(Window.partitionBy(F.lit("sequence")).orderBy("path")).cast("bigint") - 1).alias("i"))
 
 
-def write_image(result: DataFrame, path: str, bits: int = 8, level: int = 6, about: Info | None = None) -> None:
-    """Writes one image (y, x, c, v) as PNG or TIFF: the only place where pixels come to the driver, as many as it has."""
+def encode_jpeg(spark: SparkSession, pixels: np.ndarray, quality: int = 95, about: Info | None = None) -> bytes:
+    """A JPEG file of 8-bit gray or colour pixels, by the library of the driver's JVM."""
+    jvm, (height, width, channels) = spark.sparkContext._jvm, pixels.shape
+    if pixels.dtype != np.uint8 or channels not in (1, 3):
+        raise ValueError("JPEG holds 8 bits of one or three channels")
+    image = jvm.java.awt.image.BufferedImage(width, height, 10 if channels == 1 else 5)  # its constants for bytes of gray, and of three colours
+    image.getRaster().setDataElements(0, 0, width, height, bytearray(pixels.tobytes()))
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("jpg").next()
+    how, out = writer.getDefaultWriteParam(), jvm.java.io.ByteArrayOutputStream()
+    how.setCompressionMode(jvm.javax.imageio.ImageWriteParam.MODE_EXPLICIT)
+    how.setCompressionQuality(max(0, min(100, quality)) / 100)
+    stream = jvm.javax.imageio.ImageIO.createImageOutputStream(out)
+    writer.setOutput(stream)
+    writer.write(None, jvm.javax.imageio.IIOImage(image, None, None), how)
+    stream.close()
+    writer.dispose()
+    return formats.with_jpeg_info(bytes(out.toByteArray()), about)
+
+
+def write_image(result: DataFrame, path: str, bits: int = 8, level: int = 6, about: Info | None = None, quality: int = 95) -> None:
+    """Writes one image (y, x, c, v) as PNG, TIFF or JPEG: the only place where pixels come to the driver, as many as it has."""
     found = result.select(F.col("y").cast("int"), F.col("x").cast("int"), F.col("c").cast("int"), "v").toArrow()
     y, x, c, v = (found.column(i).to_numpy() for i in range(4))
     image = np.zeros([int(k.max()) + 1 for k in (y, x, c)], f"u{bits // 8}")
     image[y, x, c] = np.clip(v, 0, (1 << bits) - 1)
+    suffix = path.rsplit(".", 1)[-1].lower()
+    content = encode_jpeg(result.sparkSession, image, quality, about) if suffix in ("jpg", "jpeg") else formats.encode(image, suffix, level, about)
     with open(path, "wb") as out:
-        out.write(formats.encode(image, path.rsplit(".", 1)[-1].lower(), level, about))
+        out.write(content)
 
 
-__all__ = ["TILES", "files_of", "headers", "infos", "order", "pixels", "reduced", "scan", "suffix_of", "tiles", "write_image"]
+__all__ = ["TILES", "encode_jpeg", "files_of", "folder_tiles", "headers", "infos", "library_tiles", "order", "pixels", "reduced", "scan", "suffix_of", "tiles", "write_image"]

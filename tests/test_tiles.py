@@ -125,9 +125,9 @@ def test_reasons_and_refused_outputs(spark, tmp_path):
     (tmp_path / "c.nef").write_bytes(b"raw")
     run = stack_images(spark, f"file://{tmp_path}", StackSpec("max"))
     reasons = {r["path"].rsplit("/", 1)[1]: r["reason"] for r in run.errors.collect()}
-    assert not run.ok and "JPEG" in reasons["a.jpg"] and "unknown kind" in reasons["c.nef"] and reasons["b.png"].startswith("not decodable: ")
+    assert not run.ok and "damaged JPEG" in reasons["a.jpg"] and "unknown kind" in reasons["c.nef"] and reasons["b.png"].startswith("not decodable: ")
     with pytest.raises(ValueError, match="png, tif"):
-        stack_images(spark, "file:///does/not/exist", StackSpec("max"), "out.jpg")
+        stack_images(spark, "file:///does/not/exist", StackSpec("max"), "out.nef")
     with pytest.raises(ValueError, match="mask"):
         stack_images(spark, "file:///does/not/exist", StackSpec("mask-mix"))
 
@@ -148,3 +148,39 @@ def test_readiness():
     spec = StackSpec("max")
     assert "3 frames" in not_ready(2, spec, "o.png", None) and "output" in not_ready(3, spec, None, None)
     assert "mask" in not_ready(3, StackSpec("mask-mix"), "o.png", None) and not_ready(3, spec, "o.png", None) is None
+
+
+def test_jpeg_files(spark, tmp_path):
+    """JPEG files in and out, of any spelling of the suffix, with blanks in names, and what stands beside the picture."""
+    y, x = np.mgrid[:64, :48]
+    cube = [np.stack([x * 4 + i, y * 3 + i, (x + y) * 2], axis=2).clip(0, 255).astype(np.uint8) for i in range(3)]
+    about = formats.Info({"ExposureTime": "1/250", "Make": "m", "Model": "a model", "Software": "x"}, b"profile of sRGB")
+    (tmp_path / "in" / "sub dir").mkdir(parents=True)
+    for i, (name, pixels) in enumerate(zip(("a+b.JPG", "c.jpeg", "sub dir/d e.jpg"), cube, strict=True)):
+        content = images.encode_jpeg(spark, pixels, 100, about if i == 0 else None)
+        assert formats.info(content) == (about if i == 0 else formats.Info()) and formats.header(content) == (48, 64, 8)
+        (tmp_path / "in" / name).write_bytes(content)
+    out = str(tmp_path / "out.jpg")
+    run = stack_images(spark, f"file://{tmp_path}/in", StackSpec("max"), out, recursive=True, quality=98)
+    assert run.ok and run.bits == 8 and run.errors.isEmpty()
+    again = images.pixels(images.folder_tiles(spark, f"file://{out}")).toPandas()
+    image = np.zeros(cube[0].shape, int)
+    image[again["y"], again["x"], again["c"]] = again["v"]
+    assert np.abs(image - np.max(cube, axis=0).astype(int)).mean() < 3
+    written = formats.info(open(out, "rb").read())
+    assert written.exif["ExposureTime"] == "1/250" and written.exif["Software"] == "chronofold" and written.profile == about.profile
+    faded = stack_images(spark, f"file://{tmp_path}/in", StackSpec("max", fade_in=0.4), recursive=True)
+    assert faded.result.count() == cube[0].size
+    gray = np.arange(64, dtype=np.uint8).reshape(8, 8, 1)
+    assert formats.header(images.encode_jpeg(spark, gray, 90)) == (8, 8, 8)
+
+
+def test_exif_blocks():
+    for exif in ({}, {"Make": "abc"}, {"ExposureTime": "30"}, {"ExposureTime": "7501/250", "DateTime": "2024:01:01 00:00:00", "Software": "s"}, {"ExposureTime": "soon"}):
+        found = formats._tiff_info(formats.exif_block(exif)).exif
+        wanted = dict(exif)
+        if exif.get("ExposureTime") == "soon":
+            del wanted["ExposureTime"]
+        elif exif.get("ExposureTime") == "30":
+            wanted["ExposureTime"] = "30/1"
+        assert found == wanted
