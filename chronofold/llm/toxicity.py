@@ -264,7 +264,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING_ROWS) ->
         return Lexicon(), PRIOR.copy()
     kept = first_of_copies(np.frombuffer(b"".join(r[2] for r in found), np.uint64).reshape(len(found), -1), np.array([r[1] for r in found]))
     chosen = docs.sparkSession.createDataFrame([r[:2] for r, k in zip(found, kept, strict=True) if k], "h long, toxic int")
-    rows = written(texts.join(F.broadcast(chosen), ["h", "toxic"], "left_semi").select("toxic", "text"), "training")
+    rows = written(texts.join(F.broadcast(chosen), ["h", "toxic"], "left_semi").select("toxic", "text", "h"), "training")
     kinds = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = kinds.get(1, 0), kinds.get(0, 0)
     if not toxic or not clean:
@@ -288,9 +288,10 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING_ROWS) ->
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Grammar(lexicon)
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([reader.features(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))], names=["toxic", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([reader.features(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))], names=["toxic", "h", "x"])
 
-    found = rows.select("toxic", "text").mapInArrow(featured, "toxic int, x array<double>").collect()  # at most `bound` rows of a few numbers
+    # at most `bound` rows of a few numbers, in an order of their own: the fit's sums don't depend on the tasks
+    found = sorted(rows.mapInArrow(featured, "toxic int, h long, x array<double>").collect(), key=lambda r: (r["h"], r["toxic"], r["x"]))
     return lexicon, fit(np.array([r["x"] for r in found]), np.array([r["toxic"] for r in found], float))
 
 
