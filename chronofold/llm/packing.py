@@ -151,7 +151,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     length are counted in parts (part, length) and added up, so a length that a third of all rows have is no single task.
     """
     spark = cut.sparkSession
-    parts = 4 * partitions(spark)
+    parts = partitions(spark)
     part: Column = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int")
     cut = written(cut.withColumn("part", part), "pieces")
     counted = cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
