@@ -33,7 +33,7 @@ LENGTH, SEED, BLOCK = 400, 16, 8
 #: Bytes of a text that are searched for anchors at a time.
 STEP = 1 << 18
 #: Stretches whose suffixes are sorted together (a class is never split here), and those from which a class is refined.
-BATCH, LARGE = 12_000, 500
+BATCH, LARGE = 4_000, 500
 #: Stretches of one refined class from which its strings are counted instead of sorted: no task ever holds more.
 HUGE = 50_000
 _LEAST = -(1 << 63)

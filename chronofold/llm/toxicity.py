@@ -104,6 +104,7 @@ PRIOR = np.array([-2.5, 1.0, 0.1, -0.5, -0.4, 2.5, 0.2, 0.3])
 MOST, UNSEEN = 12.0, 4.0
 #: Lengths of word beginnings that are looked at, the evidence (nats) and the log-odds that one needs, and how many are kept
 #: at most.
+HELD = 100_000  # beginnings that a task counts before it hands them on
 STEMS, EVIDENCE, LEAST, MAX_STEMS = range(3, 9), 16.0, 3.5, 4000
 _CLAUSE = re.compile(r"[.!?;\n|]")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -272,13 +273,18 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING_ROWS) ->
     share = toxic / (toxic + clean)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(found: dict[str, list[int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array([n[y] for n in found.values()], pa.int64()) for y in (1, 0))], names=["w", "pos", "neg"])
+
         found: dict[str, list[int]] = {}
         for batch in slices(batches):
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for w in beginnings(text):
                     found.setdefault(w, [0, 0])[y] += 1
-        names = list(found)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([found[w][y] for w in names], pa.int64()) for y in (1, 0))], names=["w", "pos", "neg"])
+            if len(found) > HELD:  # the counts are added up behind the shuffle anyway
+                yield told(found)
+                found = {}
+        yield told(found)
 
     counts = rows.select("toxic", "text").mapInArrow(counted, "w string, pos long, neg long").groupBy("w").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     strong = counts.where(F.col("pos") * -math.log(share) >= EVIDENCE).where(F.col("pos") > share * (F.col("pos") + F.col("neg")))
