@@ -201,8 +201,8 @@ def cluster(vectors: DataFrame, k: int = CLUSTERS, rounds: int = ROUNDS, width:
 
     Centroids start as the vectors of the smallest hashed ids, fewer where there are fewer vectors. Other vectors - null, of
     another width, with null or non-finite components - are left out. Null ids are kept, repeated rows repeat, ties go to
-    the smaller centroid, an empty table gives an empty result, further columns are not read. Components or squared distances
-    beyond 64 bits are an error. The driver gets k centroids and the sums of k clusters.
+    the smaller centroid, an empty table gives an empty result, further columns are not read. Components or sums of
+    squared distances beyond 64 bits are an error. The driver gets k centroids and the sums of k clusters.
     """
     points = integer_vectors(vectors.where(F.size("embedding") == width), factor).select("vec_id", "v")
     state = written(points, "vectors")
@@ -226,6 +226,8 @@ def cluster(vectors: DataFrame, k: int = CLUSTERS, rounds: int = ROUNDS, width:
         b = min(b, max(least, max((r["depth"] for r in totals), default=b)))
         state = found.where("n IS NULL").select(*names)
     inertia = [int(sums[c, 0]["inertia"]) if (c, 0) in sums else 0 for c in range(k)] or [0]
+    if sum(inertia) >= 1 << 63:
+        raise OverflowError("the sum of squared distances is beyond 64 bits")
     told = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids] or [""]
     own = lambda values: F.element_at(F.array(*(F.lit(x) for x in values)), F.col("cluster") + 1)
     return found.where("n IS NULL").select(
