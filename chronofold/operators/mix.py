@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.functions.expressions import expected_max, rounded_mean, variance
-from chronofold.operators.sigma import clip, counted, settled
+from chronofold.operators.sigma import clip
 from chronofold.operators.stack import max_stack, moments, scaled
 from chronofold.spec import StackSpec
 
@@ -28,19 +28,22 @@ def mixed(parts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def mask_mix(px: DataFrame, mask: DataFrame, spec: StackSpec, clipped: bool = True, n_total: int | None = None) -> DataFrame:
-    """mask(keys, m) with m from 0 (ground) to 1 (sky). Without fades the frames are read once: the counted values, which the
-    clipping passes go over, hold the maximum too. Joins are on the keys."""
+    """mask(keys, m) with m from 0 (ground) to 1 (sky). Without fades the frames are read once: clipping tells the maximum
+    too. Joins are on the keys."""
     keys = list(spec.keys)
-    counts = settled(counted(px, spec), "counts") if clipped else None
-    if counts is not None and not spec.faded:
-        most = counts.groupBy(*keys).agg(F.max("v").alias("most"))
-    else:
-        most = max_stack(px, StackSpec("max", spec.keys, spec.fade_in, spec.fade_out, spec.int_weight, in_bits=spec.in_bits)).withColumnsRenamed({"v": "most"})
     if clipped:
-        now, full, _ = clip(px, spec, counts)
+        stats = clip(px, spec)
     else:
-        now = full = moments(px, spec.keys, spec.wide)
+        stats = moments(px, spec.keys, spec.wide).withColumn("fn", F.col("n"))
+    if not clipped or spec.faded:
+        most = max_stack(px, StackSpec("max", spec.keys, spec.fade_in, spec.fade_out, spec.int_weight, in_bits=spec.in_bits)).withColumnsRenamed({"v": "most"})
+        stats = stats.drop("most").join(most, keys)
+    return mix_stats(stats, mask, spec, n_total)
+
+
+def mix_stats(stats: DataFrame, mask: DataFrame, spec: StackSpec, n_total: int | None = None) -> DataFrame:
+    """stats(keys, n, s, q, fn, most), clipped sums, the number of frames and the maximum, with mask(keys, m) -> (keys, v)."""
     n, s = F.col("n"), F.col("s")
-    stats = now.select(*keys, rounded_mean(s, n).alias("mu"), variance(n, s, F.col("q")).alias("var"))
-    frames = full.select(*keys, (F.lit(n_total) if n_total else n).cast("bigint").alias("frames"))
-    return scaled(mixed(most.join(stats, keys).join(frames, keys).join(mask, keys), spec.keys), spec)
+    frames = (F.lit(n_total) if n_total else F.col("fn")).cast("bigint").alias("frames")
+    parts = stats.select(*spec.keys, "most", rounded_mean(s, n).alias("mu"), variance(n, s, F.col("q")).alias("var"), frames)
+    return scaled(mixed(parts.join(mask, list(spec.keys)), spec.keys), spec)

@@ -1,9 +1,10 @@
 """Sigma clipping: mean and variance of the values near the mean, over repeated passes.
 
 Frames are first counted by (key, value) - combined before the shuffle, so a key that holds a third of all rows is spread
-over its values - and every pass reads these counts, not the frames. A pass joins them to the bounds from the pass before
-and sums what lies within, for all values anew; a key that would lose everything keeps its full sums. Passes end when no
-key's count has changed. Each pass's few columns are cut in the shared folder.
+over its values - and every pass goes over these counts, not the frames. A pass sums what lies within the bounds from the pass
+before, for all values anew; a key that would lose everything keeps its full sums. Where a key's distinct values fit a task,
+all passes run in one stage over its running sums (see prefix); larger keys go pass by pass over ranges of values with their
+totals, and sums beyond 64 bits over the counts themselves, each pass's few columns cut in the shared folder.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.functions.expressions import rounded_mean, variance
+from chronofold.operators import prefix
+from chronofold.operators.prefix import by_key
 from chronofold.operators.stack import finished, scaled_mean, square
 from chronofold.spec import StackSpec
 
@@ -63,38 +66,68 @@ def clip_once(counts: DataFrame, full: DataFrame, last: DataFrame, spec: StackSp
     keys, v, c = list(spec.keys), F.col("v"), F.col("copies")
     within = v.between(F.col("lo"), F.col("hi"))
     kept = ~within if keep_rejected else within
-    some = counts.join(bounds(last, spec), keys).groupBy(*keys).agg(
+    some = by_key(counts, bounds(last, spec), keys).groupBy(*keys).agg(
         F.sum(F.when(kept, c).otherwise(0)).alias("n1"), F.sum(F.when(kept, c * v).otherwise(0)).alias("s1"), F.sum(F.when(kept, c * square(v, spec.wide)).otherwise(0)).alias("q1")
     )
     if keep_rejected:
         return some.select(*keys, *(F.col(f"{x}1").alias(x) for x in "nsq"))
     none = F.col("n1") == 0
-    return some.join(full, keys).select(*keys, *(F.when(none, F.col(x)).otherwise(F.col(f"{x}1")).alias(x) for x in "nsq"))
+    return by_key(some, full, keys).select(*keys, *(F.when(none, F.col(x)).otherwise(F.col(f"{x}1")).alias(x) for x in "nsq"))
 
 
-def clip(px: DataFrame, spec: StackSpec, counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame, list[float]]:
-    """(clipped sums, full sums, share of keys whose count stayed, by pass); ``counts``: px counted already."""
-    keys = list(spec.keys)
-    counts = settled(counted(px, spec), "counts") if counts is None else counts
-    full = settled(sums(counts, spec), "full")
-    now, shares = full, []
+def _kept(some: DataFrame, full: DataFrame, spec: StackSpec) -> DataFrame:
+    """The sums of a pass; of a key that would lose everything, the full ones."""
+    keys, none = list(spec.keys), F.coalesce(F.col("n1"), F.lit(0)) == 0
+    return by_key(full, some, keys, "left").select(*keys, *(F.when(none, F.col(x)).otherwise(F.col(f"{x}1")).alias(x) for x in "nsq"))
+
+
+def _by_passes(full: DataFrame, spec: StackSpec, one_pass) -> DataFrame:
+    """(keys, n, s, q, passes): every pass written, from one_pass(sums of the pass before) -> (keys, n, s, q)."""
+    keys, now, told = list(spec.keys), full, full.select(*spec.keys, F.array().cast("array<bigint>").alias("passes"))
     for _ in range(spec.max_iter):
-        new = settled(clip_once(counts, full, now, spec), "pass")
-        same = new.join(now.select(*keys, F.col("n").alias("before")), keys).agg(F.avg((F.col("n") == F.col("before")).cast("double"))).first()[0]
-        now = new
-        shares.append(1.0 if same is None else same)
-        if shares[-1] == 1.0:
-            break
-    return now, full, shares
+        now = settled(one_pass(now), "pass")
+        told = by_key(told, now.select(*keys, F.col("n").alias("count")), keys).select(*keys, F.array_append("passes", F.col("count")).alias("passes"))
+    return by_key(now, told, keys)
+
+
+def clip_counts(counts: DataFrame, spec: StackSpec) -> DataFrame:
+    """counts(keys, v, copies), written -> (keys, n, s, q, fn, fs, fq, most, passes): clipped sums, full sums, the greatest value, and
+    the count after each pass. How a key is clipped depends on the number of its distinct values, what comes out does not."""
+    keys = list(spec.keys)
+    if spec.wide:
+        full = settled(sums(counts, spec), "full")
+        found = _by_passes(full, spec, lambda now: clip_once(counts, full, now, spec))
+        found = by_key(found, full.select(*keys, *(F.col(x).alias(f"f{x}") for x in "nsq")), keys)
+        return by_key(found, counts.groupBy(*keys).agg(F.max("v").alias("most")), keys)
+    sizes = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
+    if (sizes.agg(F.max("size")).first()[0] or 0) <= prefix.HELD_VALUES:
+        return prefix.by_prefix(counts, spec)
+    large = settled(sizes.where(F.col("size") > prefix.HELD_VALUES).select(*keys), "large")
+    small = prefix.by_prefix(by_key(counts, large, keys, "left_anti"), spec)
+    parts = prefix.ranges(by_key(counts, large, keys), spec, settled)
+    full = settled(parts.groupBy(*keys).agg(*(F.sum(x).alias(x) for x in "nsq"), F.max("most").alias("most")), "full")
+    found = _by_passes(full.drop("most"), spec, lambda now: _kept(prefix.within(parts, bounds(now, spec), spec), full, spec))
+    found = by_key(found, full.select(*keys, *(F.col(x).alias(f"f{x}") for x in "nsq"), "most"), keys)
+    return small.unionByName(found.select(*small.columns))
+
+
+def clip(px: DataFrame, spec: StackSpec, counts: DataFrame | None = None) -> DataFrame:
+    """clip_counts of px; ``counts``: px counted and written already."""
+    return clip_counts(settled(counted(px, spec), "counts") if counts is None else counts, spec)
 
 
 def sigma_stack(px: DataFrame, spec: StackSpec) -> DataFrame:
-    now, _, _ = clip(px, spec)
-    return scaled_mean(finished(now, spec.keys, spec.precise), spec)
+    return scaled_mean(finished(clip(px, spec).select(*spec.keys, *"nsq"), spec.keys, spec.precise), spec)
 
 
 def convergence(px: DataFrame, spec: StackSpec) -> DataFrame:
-    """(pass, share): the share of keys whose count did not change in a pass; passes after the last one share 1."""
-    _, _, shares = clip(px, spec)
-    rows = [(i + 1, shares[i] if i < len(shares) else 1.0) for i in range(spec.max_iter)]
-    return px.sparkSession.createDataFrame(rows, "pass int, share double")
+    """(pass, share): the share of keys whose count did not change in a pass; passes after one that changed none share 1."""
+    found = clip(px, spec)
+    before = lambda i: F.when(i == 0, F.col("fn")).otherwise(F.get("passes", i - 1))
+    rows = found.select(F.posexplode(F.transform("passes", lambda n, i: (n == before(i)).cast("double"))).alias("i", "same"))
+    shares = {r["i"]: r["share"] for r in rows.groupBy("i").agg(F.avg("same").alias("share")).collect()}  # a row for each pass
+    told, done = [], False
+    for i in range(spec.max_iter):
+        told.append((i + 1, 1.0 if done else shares.get(i, 1.0)))
+        done = done or told[-1][1] == 1.0
+    return px.sparkSession.createDataFrame(told, "pass int, share double")

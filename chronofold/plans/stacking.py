@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from chronofold.functions.expressions import fade_weight, gray, int_weight
 from chronofold.operators.frames import counters
-from chronofold.operators.mix import mask_mix, normalised_mask
+from chronofold.operators import tile_clip
+from chronofold.operators.mix import mask_mix, mix_stats, normalised_mask
 from chronofold.operators.profile import exposure_groups, file_attributes, total_exposure
 from chronofold.operators.profile import report as profile_report
 from chronofold.operators.sigma import settled, sigma_stack
@@ -74,22 +75,26 @@ def image_mask(spark: SparkSession, path: str, height: int, width: int, channels
     return mask_places(images.folder_tiles(spark, path).where("data IS NOT NULL"), height, width, channels)
 
 
-def reduce_tiles(good: DataFrame, spec: StackSpec, order: DataFrame | None = None) -> DataFrame:
-    """A maximum, minimum or mean over tiles of one shape, as the functions of STACKERS have it over pixels; with fades,
-    order(path, i, n) says where a file stands."""
+def reduce_tiles(good: DataFrame, spec: StackSpec, order: DataFrame | None = None, mask: DataFrame | None = None) -> DataFrame:
+    """Any mode over tiles of one shape (of 8 or 16 bits, but for maxima and minima), as the functions of STACKERS have it over
+    pixels; with fades, order(path, i, n) says where a file stands. Clipping reads the tiles more than once: written ones."""
     weight = None
-    if spec.faded and spec.mode != "mean":
+    if spec.faded and spec.mode not in ("mean", "sigmaclip-mean"):
         w = fade_weight(F.col("i"), F.col("n"), spec.fade_in, spec.fade_out)
         bits = spec.in_bits or 8
         good = good.join(order, "path").withColumn("w", (int_weight(w, bits) if spec.int_weight else w).cast("double"))
         weight = "w"
+    unscaled = scale_between(spec.in_bits or 8, 2 * (spec.in_bits or 8)) if spec.int_weight and weight else 1
+    whole = lambda v: F.floor(v / unscaled if unscaled > 1 else v).cast("bigint")
+    if spec.mode in ("sigmaclip-mean", "mask-mix"):
+        found = tile_clip.clipped(good.where("data IS NOT NULL"), spec, images.TILE, weight)
+        if spec.mode == "mask-mix":
+            return mix_stats(found.withColumn("most", whole(F.col("most"))), mask, spec)
+        return scaled_mean(finished(found.select(*spec.keys, *"nsq"), spec.keys, spec.precise), spec)
     found = images.reduced(good, spec.mode, weight)
     if spec.mode == "mean":
         return scaled_mean(finished(found, spec.keys, spec.precise), spec)
-    v = F.col("most" if spec.mode == "max" else "least")
-    if spec.int_weight and weight:
-        v = v / scale_between(spec.in_bits or 8, 2 * (spec.in_bits or 8))
-    return scaled(found.select(*spec.keys, F.floor(v).cast("bigint").alias("v")), spec)
+    return scaled(found.select(*spec.keys, whole(F.col("most" if spec.mode == "max" else "least")).alias("v")), spec)
 
 
 @dataclass
@@ -117,7 +122,7 @@ def stack_images(spark: SparkSession, folder: str, spec: StackSpec, output: str
     """Stacks the images of a folder, or what decode_images has made of one; one bad frame never fails a run.
 
     Files are decoded once, into tiles in the shared folder; frames of another shape than the first good one are left out.
-    Maxima, minima and means fold tiles; clipping and mixing go over pixels. With an output path the result is written as PNG,
+    Every mode goes over tiles, but for means, clipping and mixing of 32 bits, which go over pixels. With an output path the result is written as PNG,
     TIFF or JPEG (another suffix is an error before anything is read), with the first file's text and profile. ``check`` adds a
     report of the files' suffixes, sizes and depths.
     """
@@ -142,15 +147,12 @@ def stack_images(spark: SparkSession, folder: str, spec: StackSpec, output: str
     for name in shape:
         good = good.where(F.col(name) == head[name])
     placed = place.crossJoin(F.broadcast(found.agg(F.count(F.lit(1)).alias("n"))))  # one row
-    if spec.mode in ("max", "min") or (spec.mode == "mean" and good.where("bits > 16").isEmpty()):
-        result = reduce_tiles(good, spec, placed)
+    mask = None if mask_file is None else image_mask(spark, mask_file, head["height"], head["width"], head["channels"])
+    if spec.mode in ("max", "min") or good.where("bits > 16").isEmpty():
+        result = reduce_tiles(good, spec, placed, mask)
     else:
-        if spec.faded:
-            px = images.pixels(good.join(placed, "path"), "i", "n")
-        else:
-            px = images.pixels(good)
-        mask = None if mask_file is None else image_mask(spark, mask_file, head["height"], head["width"], head["channels"])
-        result = stack(px, spec, mask)
+        px = images.pixels(good.join(placed, "path"), "i", "n") if spec.faded else images.pixels(good)
+        result = stack(px, replace(spec, wide=True), mask)
     about = None
     if output is not None:
         image = result if "v" in result.columns else result.withColumn("v", F.col("mu"))

@@ -7,10 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronofold.functions.expressions import supported, suffix_of
+from chronofold.operators.sigma import settled
 from chronofold.sources import formats
 from chronofold.sources.formats import Info
 from chronofold.spec import resize_plan
@@ -134,64 +136,93 @@ _REDUCED = {
 }
 
 
-def reduced(cut: DataFrame, mode: str, weight: str | None = None, edge: int = TILE) -> DataFrame:
-    """tiles of one shape (of 8 or 16 bits for means) -> (y, x, c) with most, least, or n, s and q: all frames reduced.
+#: Accumulators of a place that a task takes in at most.
+FAN_IN = 32
+
+
+def folded(cut: DataFrame, mode: str, weight: str | None = None, edge: int = TILE) -> DataFrame:
+    """tiles of one shape -> (height, width, channels, y0, x0, arrays, kind): an accumulator for each place, over all frames.
 
-    Every task folds the tiles it has into one accumulator for each place (held up to HELD bytes, then handed on); the
-    accumulators are dealt by place and folded again as they come, so no task holds a place's frames or accumulators at once.
-    ``weight`` names a column to multiply values by.
+    Every task folds the tiles it has into one accumulator for each place (held up to HELD bytes, then handed on), written to
+    the shared folder. These are numbered, and rounds join FAN_IN neighbours of a place each, until one is left: a round has a
+    task for each place and group, so no task takes in more, however many tasks there were.
     """
     names, enter, join = _REDUCED[mode]
-    schema = "height int, width int, channels int, y0 int, x0 int, " + ", ".join(f"{n} binary" for n in names) + ", kind string"
+    place = ["height", "width", "channels", "y0", "x0"]
+    schema = ", ".join(f"{n} int" for n in [*place, "task", "turn"]) + ", " + ", ".join(f"{n} binary" for n in names) + ", kind string"
     told = [c.split()[0] for c in schema.split(", ")]
 
-    def record(place: tuple, held: tuple) -> pa.RecordBatch:
-        arrays = [*(pa.array([x], pa.int32()) for x in place), *(pa.array([x.tobytes()], pa.binary()) for x in held), pa.array([held[0].dtype.str])]
+    def record(at: tuple, held: tuple) -> pa.RecordBatch:
+        arrays = [*(pa.array([x], pa.int32()) for x in at), *(pa.array([x.tobytes()], pa.binary()) for x in held), pa.array([held[0].dtype.str])]
         return pa.RecordBatch.from_arrays(arrays, names=told)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, turn = TaskContext.get().partitionId(), 0
         held: dict[tuple, tuple] = {}
         size = 0
         for batch in batches:
-            for row in batch.to_pylist():
-                place = tuple(row[n] for n in told[:5])
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                at = tuple(row[n] for n in place)
                 new = enter(_pixels(row, edge), row[weight] if weight else None)
-                if place in held:
-                    held[place] = join(held[place], new)
+                if at in held:
+                    held[at] = join(held[at], new)
                 else:
-                    held[place] = new
+                    held[at] = new
                     size += sum(x.nbytes for x in new)
                 if size > HELD:
-                    yield from (record(p, x) for p, x in held.items())
-                    held, size = {}, 0
-        yield from (record(p, x) for p, x in held.items())
+                    yield from (record((*p, task, turn), x) for p, x in held.items())
+                    held, size, turn = {}, 0, turn + 1
+        yield from (record((*p, task, turn), x) for p, x in held.items())
 
-    result = "y bigint, x bigint, c bigint, " + ", ".join(f"{n} {'double' if weight else 'bigint'}" for n in names)
-
-    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, None
-
-        def told_places(place: tuple, found: tuple) -> pa.RecordBatch:
-            row = dict(zip(told[:5], place, strict=True))
-            shape = (min(edge, row["height"] - row["y0"]), min(edge, row["width"] - row["x0"]), row["channels"])
-            values = [pa.array(x.reshape(-1).astype(np.float64 if weight else np.int64)) for x in found]
-            return pa.RecordBatch.from_arrays([*_places(row, shape), *values], names=["y", "x", "c", *names])
-
         for batch in batches:
-            for row in batch.to_pylist():
-                place, new = tuple(row[n] for n in told[:5]), tuple(np.frombuffer(row[n], row["kind"]) for n in names)
-                if place == now:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                at, new = tuple(row[n] for n in told[:7]), tuple(np.frombuffer(row[n], row["kind"]) for n in names)
+                if at == now:
                     held = join(held, new)
                     continue
                 if now is not None:
-                    yield told_places(now, held)
-                now, held = place, new
+                    yield record(now, held)
+                now, held = at, new
         if now is not None:
-            yield told_places(now, held)
+            yield record(now, held)
 
     needed = ["height", "width", "channels", "bits", "y0", "x0", "data", *([weight] if weight else [])]
-    parts = cut.where("data IS NOT NULL").select(*needed).mapInArrow(partial, schema)
-    return parts.repartition("y0", "x0").sortWithinPartitions(*told[:5]).mapInArrow(final, result)
+    parts = settled(cut.where("data IS NOT NULL").select(*needed).mapInArrow(partial, schema), "accumulators")
+    size = parts.agg(*(F.max(n).alias(n) for n in ("height", "width", "task", "turn"))).first()
+    if size["height"] is None:
+        return parts.drop("task", "turn")
+    across, slots = -(-size["width"] // edge), (size["task"] + 1) * (size["turn"] + 1)
+    places = across * -(-size["height"] // edge)
+    where = F.floor(F.col("y0") / edge) * across + F.floor(F.col("x0") / edge)
+    parts = parts.withColumn("task", F.col("turn") * (size["task"] + 1) + F.col("task")).withColumn("turn", F.lit(0))
+    while True:
+        groups = -(-slots // FAN_IN)
+        parts = parts.withColumn("task", F.floor(F.col("task") / FAN_IN).cast("int"))
+        dealt = parts.repartitionById(places * groups, (where * groups + F.col("task")).cast("int"))
+        parts, slots = dealt.sortWithinPartitions(*told[:7]).mapInArrow(merge, schema), groups
+        if groups == 1:
+            return parts.drop("task", "turn")
+
+
+def reduced(cut: DataFrame, mode: str, weight: str | None = None, edge: int = TILE) -> DataFrame:
+    """tiles of one shape (of 8 or 16 bits for means) -> (y, x, c) with most, least, or n, s and q: all frames reduced, a row for
+    each pixel of the result. ``weight`` names a column to multiply values by."""
+    names = _REDUCED[mode][0]
+    result = "y bigint, x bigint, c bigint, " + ", ".join(f"{n} {'double' if weight else 'bigint'}" for n in names)
+
+    def unrolled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                shape = (min(edge, row["height"] - row["y0"]), min(edge, row["width"] - row["x0"]), row["channels"])
+                values = [pa.array(np.frombuffer(row[n], row["kind"]).astype(np.float64 if weight else np.int64)) for n in names]
+                yield pa.RecordBatch.from_arrays([*_places(row, shape), *values], names=["y", "x", "c", *names])
+
+    return folded(cut, mode, weight, edge).mapInArrow(unrolled, result)
 
 
 def headers(files: DataFrame) -> DataFrame:
