@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from chronofold.functions import expressions as E
 from chronofold.operators import frames as bad
-from chronofold.operators import mix, profile, sigma, stack
+from chronofold.operators import mix, profile, series, sigma, stack
 from chronofold.operators.sigma import _folder
 from chronofold.plans.stacking import mask_places, reduce_tiles
 from chronofold.sources import formats, images, tables
 from chronofold.spec import StackSpec
-from chronofold.streaming import stacks
+from chronofold.streaming import stacks, upserts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -242,9 +242,10 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return mix.mixed(parts, ("k",))
 
 
-@query("max_expmean", f"SELECT n, {MEXP} AS r FROM (SELECT range AS n FROM range(1, 3001))")
+@query("max_expmean", f"WITH {FR}, c AS (SELECT k, i + 1 AS n FROM ev) SELECT k, n, {MEXP} AS r FROM c")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return s.range(1, 3001).select(F.col("id").alias("n"), E.expected_max(F.col("id")).alias("r"))
+    """What a maximum over a series' first n frames has to be expected to be, for every n."""
+    return tables.events_frames(s, d).select("k", (F.col("i") + 1).alias("n")).withColumn("r", E.expected_max(F.col("n")))
 
 
 @query("mask_gray", f"WITH {EV} SELECT k, v, CAST(round_even((v % 256) * 0.299e0 + ((v // 256) % 256) * 0.587e0 + (k % 256) * 0.114e0, 0) AS BIGINT) AS g FROM ev")
@@ -333,8 +334,8 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @query("ordered_paths", f"WITH {_PATHS} SELECT path, CAST(row_number() OVER (PARTITION BY doc_id % 7 ORDER BY path) - 1 AS BIGINT) AS i FROM p")
 def _(s: SparkSession, d: str) -> DataFrame:
-    series = _paths(s, d).select("path", (F.col("doc_id") % 7).alias("series"))
-    return stack.with_frames(series, ("series",), ["path"]).select("path", "i")
+    paths = _paths(s, d).select("path", (F.col("doc_id") % 7).alias("series"))
+    return stack.with_frames(paths, ("series",), ["path"]).select("path", "i")
 
 
 @query("dedup_append", "SELECT DISTINCT c_mktsegment AS category, CAST(c_nationkey AS VARCHAR) AS path FROM customer WHERE NOT (c_mktsegment = 'BUILDING' AND c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000))")
@@ -545,12 +546,16 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return stack.running_max(tables.events_frames(s, d), ("k",))
 
 
-def _streamed(s: SparkSession, d: str) -> DataFrame:
-    rows = stacks.stream_table(s, d, "events").select(F.col("user_id").alias("k"), E.hundredths(F.col("value")).alias("v"))
-    stacked = stacks.running_stack(rows, ("k",))
-    folder = f"{_folder(rows)}/stream/{uuid.uuid4().hex}"
-    stacks.run_to_end(stacked, lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/result"), f"{folder}/state")
-    return s.read.schema(stacked.schema).parquet(f"{folder}/result")
+def _streamed(s: SparkSession, d: str, files: int = 1) -> DataFrame:
+    """events as a stream, of so many files taken one by one, stacked into a keyed table; its state at the end."""
+    folder = f"{_folder(s.range(1))}/stream/{uuid.uuid4().hex}"
+    if files > 1:
+        tables.table(s, d, "events").repartition(files).write.parquet(f"{folder}/in/events.parquet")
+    rows = stacks.stream_table(s, f"{folder}/in" if files > 1 else d, "events", 1)
+    stacked = stacks.running_stack(rows.select(F.col("user_id").alias("k"), E.hundredths(F.col("value")).alias("v")), ("k",))
+    kept = upserts.KeyedTable(s, f"{folder}/table", stacked.schema, ("k",), base_after=3)
+    upserts.keep_up(stacked, kept, f"{folder}/state")
+    return kept.read()
 
 
 @query("stream_max", f"WITH {EV} SELECT k, max(v) AS most, min(v) AS least, count(v) AS n, CAST(sum(v) AS BIGINT) AS s FROM ev GROUP BY k")
@@ -563,6 +568,69 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return stack.finished(_streamed(s, d), ("k",))
 
 
+@query("stream_batches", f"WITH {EV} SELECT k, most, least, n, {MU} AS mu, {VAR} AS var FROM (SELECT k, max(v) AS most, min(v) AS least, count(v) AS n, CAST(sum(v) AS BIGINT) AS s, sum(CAST(v AS HUGEINT) * v) AS q FROM ev GROUP BY k)")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The same over several batches, with bases written between them."""
+    kept = _streamed(s, d, 5)
+    return kept.select("k", "most", "least").join(stack.finished(kept, ("k",)), "k")
+
+
+@query("stream_dedup", "SELECT DISTINCT event_type AS category, CAST(user_id AS VARCHAR) AS path FROM events")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """New paths of a stream: the first of each (category, path), over several batches."""
+    folder = f"{_folder(s.range(1))}/stream/{uuid.uuid4().hex}"
+    tables.table(s, d, "events").repartition(4).write.parquet(f"{folder}/in/events.parquet")
+    rows = stacks.stream_table(s, f"{folder}/in", "events", 1).select(F.col("event_type").alias("category"), F.col("user_id").cast("string").alias("path"), F.col("ts").cast("timestamp").alias("ts"))
+    new = upserts.first_of_each(rows, ("category", "path"), "ts", "3650 days").select("category", "path")
+    upserts.append_new(new, f"{folder}/new", f"{folder}/state")
+    return s.read.schema(new.schema).parquet(f"{folder}/new")
+
+
+# --- one series that holds half of all rows, over many tasks
+
+_HOT = "CASE WHEN user_id % 2 = 0 THEN 0 ELSE user_id END"
+FH = (
+    f"ev AS (SELECT {_HOT} AS k, event_id, CAST(row_number() OVER (PARTITION BY {_HOT} ORDER BY ts, event_id) - 1 AS BIGINT) AS i, "
+    f"count(*) OVER (PARTITION BY {_HOT}) AS n, CAST(round_even(value * 100, 0) AS BIGINT) AS v FROM events)"
+)
+
+
+def _hot(s: SparkSession, d: str) -> DataFrame:
+    user = F.when(F.col("user_id") % 2 == 0, F.lit(0).cast("bigint")).otherwise(F.col("user_id"))
+    return tables.table(s, d, "events").select(user.alias("k"), "ts", "event_id", E.hundredths(F.col("value")).alias("v"))
+
+
+@query("hot_numbered", f"WITH {FH} SELECT k, event_id, i, n FROM ev")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return series.numbered(_hot(s, d), ("k",), ["ts", "event_id"], "i", "n").select("k", "event_id", "i", "n")
+
+
+@query("hot_running_max", f"WITH {FH} SELECT k, event_id, max(v) OVER (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING) AS v FROM ev")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return series.running_max(_hot(s, d), ("k",), ["ts", "event_id"]).select("k", "event_id", "v")
+
+
+@query("hot_max_fade", f"WITH {FH} SELECT k, CAST(floor(max(v * {_W})) AS BIGINT) AS v FROM ev GROUP BY k")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return stack.max_stack(series.numbered(_hot(s, d), ("k",), ["ts", "event_id"], "i", "n"), StackSpec("max", fade_in=_FIN, fade_out=_FOUT))
+
+
+@query("hot_stop_on_failed", f"WITH {FH} SELECT k, event_id, v FROM (SELECT *, max(CAST(event_id % 997 = 0 AS INT)) OVER (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING) AS b FROM ev) WHERE b = 0")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return series.stop_on_failed(_hot(s, d), F.col("event_id") % 997 != 0, ("k",), ("ts", "event_id")).select("k", "event_id", "v")
+
+
+@query("hot_shape_prefix", f"WITH {FH}, g AS (SELECT *, CASE WHEN event_id % 499 = 0 THEN '2x2' ELSE '4x4' END AS shape FROM ev), h AS (SELECT *, shape <> first(shape) OVER (PARTITION BY k ORDER BY i) AS x FROM g) SELECT k, event_id, v FROM (SELECT *, max(CAST(x AS INT)) OVER (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING) AS b FROM h) WHERE b = 0")
+def _(s: SparkSession, d: str) -> DataFrame:
+    shape = F.when(F.col("event_id") % 499 == 0, "2x2").otherwise("4x4")
+    return series.prefix_of_first_shape(_hot(s, d), shape, ("k",), ("ts", "event_id")).select("k", "event_id", "v")
+
+
+@query("ordered_paths_one_series", f"WITH {_PATHS} SELECT path, CAST(row_number() OVER (ORDER BY path) - 1 AS BIGINT) AS i FROM p")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return series.numbered(_paths(s, d).select("path"), (), ["path"])
+
+
 # --- image files: vectors drawn as 8 x 8 images, decoded again
 
 
@@ -611,6 +679,35 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return reduce_tiles(_good(_drawn(s, d, "tiff16")), StackSpec("mean", ("y", "x", "c")))
 
 
+def _image_passes() -> str:
+    """The passes over the places of 16-bit RGB images; k is a place and channel."""
+    value = "CASE c WHEN 0 THEN v * 251 WHEN 1 THEN v * 257 ELSE (255 - v) * 256 END"
+    return _passes(5).replace(EV, f"{EM}, ev AS (SELECT CAST(pos * 3 + c AS BIGINT) AS k, CAST({value} AS BIGINT) AS v FROM em, (SELECT unnest(range(3)) AS c))", 1)
+
+
+_PLACE = "k // 24 AS y, k // 3 % 8 AS x, k % 3 AS c"
+
+
+@query("image_clip_tiles", _image_passes() + f" SELECT {_PLACE}, n, {MU} AS mu, {VAR} AS var FROM s5")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Sigma clipping over decoded images, without a row for each pixel of each frame."""
+    tiles = sigma.settled(_good(_drawn(s, d, "rgb16")), "tiles")
+    return reduce_tiles(tiles, StackSpec("sigmaclip-mean", ("y", "x", "c"), in_bits=16))
+
+
+@query(
+    "image_mix_tiles",
+    _image_passes() + f", f AS (SELECT k, count(v) AS n, max(v) AS most FROM ev GROUP BY k), x AS (SELECT k, {MEXP} AS r, most FROM f), y AS (SELECT k, round_even(CAST(s AS DOUBLE) / n, 0) AS mu, {VAR} AS var FROM s5), "
+    f"m AS (SELECT pos, v / 255e0 AS m FROM em WHERE vec_id = (SELECT min(vec_id) FROM em)) SELECT {_PLACE}, CAST(floor((most - {_OFF}) * m + (1 - m) * mu) AS BIGINT) AS v "
+    "FROM (SELECT x.k, most, mu, r * sqrt(var) AS e, m FROM x JOIN y USING (k) JOIN m ON m.pos = x.k // 3)",
+)
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The mix over decoded images, with the first image, drawn in gray, as its mask."""
+    tiles = sigma.settled(_good(_drawn(s, d, "rgb16")), "tiles")
+    mask = _drawn(s, d).agg(F.min_by(F.struct("path", "content"), "vec_id").alias("f")).select("f.*")
+    return reduce_tiles(tiles, StackSpec("mask-mix", ("y", "x", "c"), in_bits=16), mask=mask_places(_good(mask), 8, 8, 3))
+
+
 @query("image_max_fade", f"WITH {EM}, f AS (SELECT CAST(vec_id AS VARCHAR) AS s, label, vec_id, count(*) OVER () AS n, row_number() OVER (ORDER BY CAST(label AS VARCHAR) || '/' || vec_id) - 1 AS i FROM (SELECT DISTINCT vec_id, label FROM em)) SELECT {_YX}, CAST(0 AS BIGINT) AS c, CAST(floor(max(v * {_W})) AS BIGINT) AS v FROM em JOIN f USING (vec_id, label) GROUP BY pos")
 def _(s: SparkSession, d: str) -> DataFrame:
     files = _drawn(s, d)
@@ -653,16 +750,19 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @query("recursive_scan", "SELECT 'region' || n_regionkey || '/nation' || n_nationkey || '.PNG' AS name, CAST(3 + n_nationkey AS INTEGER) AS width, CAST(2 + n_regionkey AS INTEGER) AS height, CAST(8 + n_nationkey % 2 * 8 AS INTEGER) AS bits, n_name AS model FROM nation")
 def _(s: SparkSession, d: str) -> DataFrame:
-    """Files in folders of folders - one for each nation, written for this query - with their headers and tags."""
+    """Files in folders of folders - one for each nation, written by the executors - with their headers and tags."""
     folder = f"{_folder(s.range(1))}/scan/{uuid.uuid4().hex}"
-    path, conf = s.sparkContext._jvm.org.apache.hadoop.fs.Path, s.sparkContext._jsc.hadoopConfiguration()
-    for n in tables.table(s, d, "nation").select("n_nationkey", "n_regionkey", "n_name").collect():  # a row for each country there is
-        pixels = np.zeros((2 + n["n_regionkey"], 3 + n["n_nationkey"]), np.uint16 if n["n_nationkey"] % 2 else np.uint8)
-        for name, content in ((f"nation{n['n_nationkey']}.PNG", formats.encode_png(pixels, info=formats.Info({"Model": n["n_name"]}))), (f"nation{n['n_nationkey']}.txt", b"no image")):
-            to = path(f"{folder}/region{n['n_regionkey']}/{name}")
-            out = to.getFileSystem(conf).create(to)
-            out.write(bytearray(content))
-            out.close()
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for n in batch.itertuples():
+                pixels = np.zeros((2 + n.n_regionkey, 3 + n.n_nationkey), np.uint16 if n.n_nationkey % 2 else np.uint8)
+                at = f"{folder}/region{n.n_regionkey}/nation{n.n_nationkey}"
+                images.write_file(f"{at}.PNG", formats.encode_png(pixels, info=formats.Info({"Model": n.n_name})))
+                images.write_file(f"{at}.txt", b"no image")
+            yield batch[["n_nationkey"]]
+
+    tables.table(s, d, "nation").select("n_nationkey", "n_regionkey", "n_name").mapInPandas(drawn, "n_nationkey int").write.format("noop").mode("overwrite").save()
     files = images.scan(s, folder, recursive=True)
     found = images.headers(files).join(images.infos(files), "path")
     name = F.array_join(F.slice(F.split("path", "/"), -2, 2), "/")

@@ -7,11 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.functions.expressions import supported, suffix_of
+from chronofold.operators.series import numbered
 from chronofold.operators.sigma import settled
 from chronofold.sources import formats
 from chronofold.sources.formats import Info
@@ -140,6 +142,14 @@ _REDUCED = {
 FAN_IN = 32
 
 
+def gathered(parts: DataFrame, place: Column, places: int, slots: int) -> tuple[DataFrame, int]:
+    """parts, whose ``task`` numbers a place's accumulators below ``slots``, with a partition for each place (a number) and FAN_IN
+    neighbouring numbers; task is the group's number then. And how many groups a place has."""
+    groups = -(-slots // FAN_IN)
+    parts = parts.withColumn("task", F.floor(F.col("task") / FAN_IN).cast("int"))
+    return parts.repartitionById(places * groups, (place * groups + F.col("task")).cast("int")), groups
+
+
 def folded(cut: DataFrame, mode: str, weight: str | None = None, edge: int = TILE) -> DataFrame:
     """tiles of one shape -> (height, width, channels, y0, x0, arrays, kind): an accumulator for each place, over all frames.
 
@@ -199,11 +209,10 @@ def folded(cut: DataFrame, mode: str, weight: str | None = None, edge: int = TIL
     places = across * -(-size["height"] // edge)
     where = F.floor(F.col("y0") / edge) * across + F.floor(F.col("x0") / edge)
     parts = parts.withColumn("task", F.col("turn") * (size["task"] + 1) + F.col("task")).withColumn("turn", F.lit(0))
+    groups = slots
     while True:
-        groups = -(-slots // FAN_IN)
-        parts = parts.withColumn("task", F.floor(F.col("task") / FAN_IN).cast("int"))
-        dealt = parts.repartitionById(places * groups, (where * groups + F.col("task")).cast("int"))
-        parts, slots = dealt.sortWithinPartitions(*told[:7]).mapInArrow(merge, schema), groups
+        dealt, groups = gathered(parts, where, places, groups)
+        parts = dealt.sortWithinPartitions(*told[:7]).mapInArrow(merge, schema)
         if groups == 1:
             return parts.drop("task", "turn")
 
@@ -248,8 +257,16 @@ def infos(files: DataFrame) -> DataFrame:
 
 
 def order(files: DataFrame) -> DataFrame:
-    """(path, i): the place of every file, bad ones counted. Only paths meet in one task, no contents."""
-    return files.select("path", (F.row_number().over(Window.partitionBy(F.lit("sequence")).orderBy("path")).cast("bigint") - 1).alias("i"))
+    """(path, i): the place of every file, bad ones counted. Paths alone are sorted, into ranges of many tasks."""
+    return numbered(files.select("path"), (), ["path"])
+
+
+def write_file(path: str, content: bytes) -> None:
+    """Writes a file from within a task, into any store that the Arrow library knows by the path's scheme."""
+    store, at = pa.fs.FileSystem.from_uri(path if "://" in path else path.removeprefix("file:"))
+    store.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    with store.open_output_stream(at) as out:
+        out.write(content)
 
 
 def encode_jpeg(spark: SparkSession, pixels: np.ndarray, quality: int = 95, about: Info | None = None) -> bytes:

@@ -67,3 +67,10 @@ def first_of_each(stream: DataFrame, keys: tuple[str, ...], time: str, within: s
     """Rows of a stream whose keys have not come within so long a time before: repeats go, and so do rows that come later than
     the watermark. State is held for ``within`` only. Null keys are equal to each other; a row without a time is never late."""
     return stream.withWatermark(time, within).dropDuplicatesWithinWatermark(list(keys))
+
+
+def append_new(new: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Appends what is there now to a folder of Parquet files, exactly once, whatever is run again."""
+    query = new.writeStream.outputMode("append").format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
