@@ -10,8 +10,8 @@ from chronofold.llm.common import table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity scores of whole documents; learned from labelled rows that are not held out. Null and empty texts get the bias'
-    score, null ids count as held out, repeated rows repeat, an empty table gives an empty result, further columns are not read."""
+    """Toxicity scores of whole documents; learned from labelled rows that are not held out. Null and empty texts get the
+    score of no match, null ids count as held out, repeated rows repeat, an empty table gives an empty result, further columns are not read."""
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 

@@ -1,14 +1,17 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words become symbols (insult, threat, target, negation, reported speech, other) and five small transducers read the
-symbols of a clause side by side: the insult and threat transducers mark a match, the target transducer whether somebody
-is addressed within reach, the negation transducer whether a negator reaches it, the reported-speech transducer whether the
-clause cites somebody. Their composition is one table; each match leaves it with a category and its insult's weight, and a
-document's score comes from its matched clauses, never from words as such.
-
-Labelled rows teach two things. The insults: beside a general list, words and word beginnings that stand in far more toxic
-texts than clean ones, weighted by their log-odds (of nested beginnings the longest that explains as much stays). And the
-weights of the categories, which start from the grammar's own (logistic regression with a Gaussian prior around them).
+Words become symbols (insult, threat, person, other target, negation, reported speech, other) and six small transducers read the
+symbols of a clause side by side: the insult and threat transducers mark a match, the target and person transducers whether
+somebody is addressed within reach, the negation transducer whether a negator reaches it, the reported-speech transducer
+whether the clause cites somebody. Their composition is one table; each match leaves it with a category and a weight.
+
+A document's score comes from its matched clauses. What one match is worth by itself stays below the bound: it takes a target, or
+a further match, to pass it. A threat needs a person behind it and is worth the strongest insult. Negation and reported speech
+take off, never add. The fit to labelled rows moves the weights within these signs (a logistic regression with a Gaussian
+prior around the grammar's own weights, projected Newton steps), so whatever the rows say, no sign turns.
+
+Labelled rows teach the insults too: beside a general list, words and word beginnings that stand in far more toxic texts than
+clean ones, weighted by their log-odds (of nested beginnings the longest that explains as much stays).
 """
 
 from __future__ import annotations
@@ -38,13 +41,15 @@ INSULTS = (
 ).split()
 THREATS = "kill hurt destroy murder strangle stab shoot punch smash burn beat töten umbringen matar tuer".split()
 TARGETS = "you your yours youre u ya he she they him her them his their this these those du dich dir euch sie tú te usted tu toi vous".split()
+#: Targets that a threat is against, when they stand behind it.
+PERSONS = "you u ya him them her dich dir euch te usted toi vous".split()
 NEGATORS = "not no never isnt arent wasnt dont doesnt didnt wont cannot cant nicht kein keine nie pas jamais nunca jamás".split()
 REPORTERS = "said says say told tells wrote writes called calls quoted quote claims claimed sagte schrieb dit écrit dijo escribió".split()
 #: Words that a target, a negator and a reporter reach.
 TARGET_REACH, NEGATOR_REACH, REPORTER_REACH = 4, 3, 8
 
-OTHER, INSULT, THREAT, TARGET, NEGATOR, REPORTER = range(6)
-SYMBOLS = {w: s for s, words in ((REPORTER, REPORTERS), (NEGATOR, NEGATORS), (TARGET, TARGETS), (THREAT, THREATS), (INSULT, INSULTS)) for w in words}
+OTHER, INSULT, THREAT, TARGET, NEGATOR, REPORTER, PERSON = range(7)
+SYMBOLS = {w: s for s, words in ((REPORTER, REPORTERS), (NEGATOR, NEGATORS), (TARGET, TARGETS), (PERSON, PERSONS), (THREAT, THREATS), (INSULT, INSULTS)) for w in words}
 
 
 class Transducer:
@@ -59,7 +64,7 @@ class Transducer:
         numbers, table, todo = {start: 0}, {}, [start]
         while todo:
             state = todo.pop()
-            for symbol in range(6):
+            for symbol in range(7):
                 to, out = step(state, symbol)
                 if to not in numbers:
                     numbers[to] = len(numbers)
@@ -87,21 +92,27 @@ def match(wanted: int) -> Transducer:
     return Transducer.of(lambda state, symbol: (0, (symbol == wanted,)), 0)
 
 
-def reach(wanted: int, words: int) -> Transducer:
+def reach(wanted: tuple[int, ...], words: int) -> Transducer:
     """Outputs whether a wanted symbol stood within so many words before."""
-    return Transducer.of(lambda left, symbol: (words if symbol == wanted else max(0, left - 1), (left > 0,)), 0)
+    return Transducer.of(lambda left, symbol: (words if symbol in wanted else max(0, left - 1), (left > 0,)), 0)
 
 
 def grammar() -> Transducer:
-    """Outputs (insult, threat, target before, negated, reported) for each word of a clause."""
-    return match(INSULT).beside(match(THREAT)).beside(reach(TARGET, TARGET_REACH)).beside(reach(NEGATOR, NEGATOR_REACH)).beside(reach(REPORTER, REPORTER_REACH))
-
-
-#: Features of a document, and the grammar's own weights; the fit moves them as far as the labels say. Insults enter by
-#: their weights, up to MOST in all.
-FEATURES = ("bias", "insult", "insult at a target", "negated insult", "reported insult", "threat at a target", "negated or reported threat", "further matched clauses")
-PRIOR = np.array([-2.5, 1.0, 0.1, -0.5, -0.4, 2.5, 0.2, 0.3])
-MOST, UNSEEN = 12.0, 4.0
+    """Outputs (insult, threat, target before, person before, negated, reported) for each word of a clause."""
+    near = reach((TARGET, PERSON), TARGET_REACH).beside(reach((PERSON,), TARGET_REACH))
+    return match(INSULT).beside(match(THREAT)).beside(near).beside(reach((NEGATOR,), NEGATOR_REACH)).beside(reach((REPORTER,), REPORTER_REACH))
+
+
+#: Categories of matches. A threat has the weight of the strongest insult; weights of a document add up to MOST at most.
+CATEGORIES = ("insult", "insult at a target", "negated insult", "reported insult", "threat at a target", "negated or reported threat")
+STRONGEST, MOST, UNSEEN = 6.0, 12.0, 4.0
+#: Features of a document, the grammar's own weights, and the bounds that the fit keeps to: how far the strongest match stays behind
+#: the strongest there is, a match by itself, what other clauses add, what is at a target, what negation and reported speech
+#: take off.
+FEATURES = ("short of the strongest", "one match", "further clauses", "at a target", "negated", "reported")
+PRIOR = np.array([4.0, 0.3, 0.5, 0.6, -0.3, -0.3])
+LOW = np.array([0.0, 0.2, 0.1, 0.5, -np.inf, -np.inf])
+HIGH = np.array([np.inf, np.inf, np.inf, np.inf, -0.1, -0.1])
 #: Lengths of word beginnings that are looked at, the evidence (nats) and the log-odds that one needs, and how many are kept
 #: at most.
 HELD = 100_000  # beginnings that a task counts before it hands them on
@@ -148,21 +159,27 @@ class Grammar:
             weights = [self.lexicon.weight(w) for w in words]
             symbols = [INSULT if x else SYMBOLS.get(w, OTHER) for w, x in zip(words, weights, strict=True)]
             marks = Counter()
-            ahead = reversed([out[2] for out in self.composed.run(symbols[::-1])])
-            for (insult, threat, target, negated, reported), after, weight in zip(self.composed.run(symbols), ahead, weights, strict=True):
+            ahead = reversed([out[2:4] for out in self.composed.run(symbols[::-1])])
+            for (insult, threat, target, _, negated, reported), (after, person), weight in zip(self.composed.run(symbols), ahead, weights, strict=True):
                 if insult:
                     marks["negated insult" if negated else "reported insult" if reported else "insult at a target" if target or after else "insult"] += weight
-                elif threat and (target or after):
+                elif threat and person:
                     marks["negated or reported threat" if negated or reported else "threat at a target"] += 1
             if marks:
                 found.append(marks)
         return found
 
     def features(self, text: str) -> list[float]:
+        """FEATURES of a text. Clauses count by what is neither negated nor reported, the strongest one apart."""
         found = self.clauses(text)
         total = sum(found, Counter())
-        insults = sum(total[k] for k in FEATURES[1:5])
-        return [1.0, min(MOST, insults), *(min(MOST, total[k]) for k in FEATURES[2:5]), *(math.log1p(total[k]) for k in FEATURES[5:7]), math.log1p(max(0, len(found) - 1))]
+        plain = [m["insult"] + m["insult at a target"] + STRONGEST * m["threat at a target"] for m in found]
+        softened = [m["negated insult"] + m["reported insult"] + STRONGEST * m["negated or reported threat"] for m in found]
+        first = min(STRONGEST, max((p + q for p, q in zip(plain, softened, strict=True)), default=0.0))
+        further = sum(plain) - min(STRONGEST, max(plain, default=0.0))
+        at_target = total["insult at a target"] + STRONGEST * total["threat at a target"]
+        negated = total["negated insult"] + STRONGEST * total["negated or reported threat"]
+        return [first / STRONGEST - 1, -1.0, *(min(MOST, x) for x in (further, at_target, negated, total["reported insult"]))]
 
 
 def beginnings(text: str) -> set[str]:
@@ -179,7 +196,7 @@ def evidence(pos: float, neg: float, share: float) -> float:
 
 def lexicon_of(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> Lexicon:
     """From (beginning, toxic texts, clean texts): those with evidence, without the ones that others explain."""
-    weight = lambda p, n: min(6.0, math.log((p + 0.5) / (toxic + 0.5)) - math.log((n + 0.5) / (clean + 0.5)))
+    weight = lambda p, n: min(STRONGEST, math.log((p + 0.5) / (toxic + 0.5)) - math.log((n + 0.5) / (clean + 0.5)))
     seen = {w: (p, n) for w, p, n in counts if weight(p, n) >= LEAST}
     longest: dict[str, int] = {}
     for w, (p, _) in seen.items():
@@ -201,23 +218,28 @@ def lexicon_of(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> Le
     return Lexicon(words, stems)
 
 
-def fit(rows: np.ndarray, labels: np.ndarray, prior: np.ndarray = PRIOR, strength: float = 1.0, steps: int = 50) -> np.ndarray:
-    """Damped Newton steps for the logistic loss plus strength / 2 times the squared distance from the prior."""
+def fit(rows: np.ndarray, labels: np.ndarray, prior: np.ndarray = PRIOR, low: np.ndarray = LOW, high: np.ndarray = HIGH, strength: float = 1.0, steps: int = 100) -> np.ndarray:
+    """Damped Newton steps, projected to the bounds, for the logistic loss plus strength / 2 times the squared distance from the
+    prior. Weights at a bound that the loss pushes on take no part in a step."""
 
     def loss(w: np.ndarray) -> float:
         z = rows @ w
         return float((np.logaddexp(0, z) - labels * z).sum() + strength / 2 * ((w - prior) ** 2).sum())
 
-    w = prior.copy()
+    w = np.clip(prior, low, high)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
         gradient = rows.T @ (p - labels) + strength * (w - prior)
-        step = np.linalg.solve((rows * (p * (1 - p))[:, None]).T @ rows + strength * np.eye(len(w)), gradient)
+        curvature = (rows * (p * (1 - p))[:, None]).T @ rows + strength * np.eye(len(w))
+        free = np.flatnonzero(~(((w <= low) & (gradient > 0)) | ((w >= high) & (gradient < 0))))
+        step = np.zeros_like(w)
+        step[free] = np.linalg.solve(curvature[np.ix_(free, free)], gradient[free])
         scale, now = 1.0, loss(w)
-        while scale > 1e-6 and loss(w - scale * step) > now:
+        while scale > 1e-6 and loss(np.clip(w - scale * step, low, high)) > now:
             scale /= 2
-        w = w - scale * step
-        if np.abs(scale * step).max() < 1e-9:
+        after = np.clip(w - scale * step, low, high)
+        moved, w = np.abs(after - w).max(), after
+        if moved < 1e-9:
             break
     return w
 
@@ -308,7 +330,7 @@ def _scores(reader: Grammar, texts: list, weights: np.ndarray) -> np.ndarray:
 def without_toxic(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING_ROWS) -> DataFrame:
     """The rows of docs, all columns, whose score is below 0.5.
 
-    Null and empty texts have the score of the bias alone, rows with a null doc_id are scored like any other, repeated rows
+    Null and empty texts have the score of no match, rows with a null doc_id are scored like any other, repeated rows
     alike, very long texts whole; an empty table gives an empty one, other columns are carried along, whatever their names.
     """
     lexicon, weights = learn(docs, labels, bound)
@@ -325,7 +347,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING_
 def score(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING_ROWS) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, held_out, score, predicted), a row for each row.
 
-    Null and empty texts have no clause and get the score of the bias alone. Only the text enters the score. Rows with a
+    Null and empty texts have no clause and get the score of no match. Only the text enters the score. Rows with a
     null doc_id are never learned from and count as held out. Repeated rows get repeated results, very long texts are read
     whole, an empty table gives an empty result, other columns are not read. The texts pass one narrow stage; labelled ones
     pass it once more for the fit.
