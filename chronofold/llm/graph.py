@@ -17,7 +17,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates the large-star and small-star operations: every node links its larger neighbours, then its smaller ones,
     to the smallest node it sees, until nothing changes. Each step is a minimum by key (combined before the shuffle) and a
-    join back, with the tables cut in the shared folder; no adjacency list is gathered. Loops and repeated edges are harmless.
+    join back, with the tables cut in the shared folder; no adjacency list is gathered. The minima are written before they are
+    joined: two written tables can be split where one node has very many links. Loops and repeated edges are harmless.
     """
     now = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
 
@@ -29,9 +30,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not mark[0]:
             break
         around = _both(now)
-        least = around.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = around.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        below = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(around.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "least")
+        large = written(around.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        below = written(large.groupBy("a").agg(F.min("b").alias("m")), "below")
         small = large.join(below, "a").select(F.explode(F.array(F.struct(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a != b").distinct()
         now = written(small, "edges")
         if (new := marks(now)) == mark:
