@@ -52,9 +52,9 @@ def rescaled(v: Column, in_bits: int, out_bits: int) -> Column:
 
 
 def expected_max(n: Column) -> Column:
-    """Expected maximum of n standard normal values (an empirical fit), to nine digits."""
+    """Expected maximum of n standard normal values (an empirical fit)."""
     small, large = F.pow(F.log(n), F.lit(0.91)) * 0.5 + 0.52, F.pow(F.log(n + 1), F.lit(0.84)) * 0.5 + 0.71
-    return F.round(F.when(n < 80, small).otherwise(large), 9)
+    return F.when(n < 80, small).otherwise(large)
 
 
 def gray(red: Column, green: Column, blue: Column) -> Column:

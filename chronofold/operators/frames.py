@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronofold.functions.names import private
+
 
 def skip_failed(frames: DataFrame, valid: Column) -> tuple[DataFrame, DataFrame]:
     """(good frames, errors(series, i, reason))."""
@@ -26,22 +28,31 @@ def _before_first(bad: Column) -> Column:
     return F.max(bad.cast("int")).over(so_far) == 0
 
 
+def _kept(frames: DataFrame, kept: Column) -> DataFrame:
+    """Frames for which kept, a window's value, is true."""
+    (name,) = private(frames, "kept")
+    return frames.withColumn(name, kept).where(F.col(name)).drop(name)
+
+
 def stop_on_failed(frames: DataFrame, valid: Column) -> DataFrame:
-    """Frames of each series before its first bad one."""
-    return frames.withColumn("__kept", _before_first(~valid)).where("__kept").drop("__kept")
+    """Frames of each series before its first bad one. For series that many tasks share, see series.stop_on_failed."""
+    return _kept(frames, _before_first(~valid))
+
+
+def _first(shape: Column) -> Column:
+    return F.first(shape).over(Window.partitionBy("series").orderBy("i"))
 
 
 def prefix_of_first_shape(frames: DataFrame, shape: Column) -> DataFrame:
-    """Frames of each series before the first whose shape is not that of the series' first frame."""
-    first = F.first(shape).over(Window.partitionBy("series").orderBy("i"))
-    marked = frames.withColumn("__bad", ~shape.eqNullSafe(first))
-    return marked.withColumn("__kept", _before_first(F.col("__bad"))).where("__kept").drop("__kept", "__bad")
+    """Frames of each series before the first whose shape is not that of the series' first frame. For series that many tasks
+    share, see series.prefix_of_first_shape."""
+    (bad,) = private(frames, "bad")
+    return _kept(frames.withColumn(bad, ~shape.eqNullSafe(_first(shape))), _before_first(F.col(bad))).drop(bad)
 
 
 def of_first_shape(frames: DataFrame, shape: Column) -> DataFrame:
     """Only the frames of another shape are dropped, not those after them."""
-    first = F.first(shape).over(Window.partitionBy("series").orderBy("i"))
-    return frames.withColumn("__kept", shape.eqNullSafe(first)).where("__kept").drop("__kept")
+    return _kept(frames, shape.eqNullSafe(_first(shape)))
 
 
 def merged_by_shape(parts: DataFrame, keys: tuple[str, ...]) -> DataFrame:

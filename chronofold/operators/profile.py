@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +32,11 @@ def value_counts(attrs: DataFrame) -> DataFrame:
 
 
 def mode(attrs: DataFrame) -> DataFrame:
-    return value_counts(attrs).where("rank = 1").select("attr", "value", "n")
+    """(attr, value, n): the most frequent value, ties to the smaller one. Counts are spread by value, and of an attribute's values
+    each task hands on the first of those it has: no task sees them all."""
+    counts = attrs.groupBy("attr", "value").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct((-F.col("n")).alias("less"), "value"))
+    return counts.groupBy("attr").agg(first.alias("first")).select("attr", "first.value", (-F.col("first.less")).alias("n"))
 
 
 def other_values(attrs: DataFrame) -> DataFrame:
@@ -71,10 +77,38 @@ def estimated_exposures(frames: DataFrame, exposure: Column) -> DataFrame:
     return first.select("series", (num * F.col("n")).alias("num"), den.alias("den"))
 
 
-def total_exposure(groups: DataFrame) -> Fraction:
-    """The exact sum; distinct exposures of a camera are few, and their sums by denominator are all that is fetched."""
-    by_den = groups.groupBy("den").agg(F.sum(F.col("num") * F.col("n")).alias("num"))
-    return sum((Fraction(r["num"], r["den"]) for r in by_den.toLocalIterator()), Fraction(0))
+def paired(numbers: list[Fraction]) -> Fraction:
+    """The sum, added pair by pair: large denominators meet as few others as can be."""
+    while len(numbers) > 1:
+        numbers = [sum(numbers[i : i + 2], Fraction(0)) for i in range(0, len(numbers), 2)]
+    return numbers[0] if numbers else Fraction(0)
+
+
+def total_exposure(groups: DataFrame, fan_in: int = 32) -> Fraction:
+    """The exact sum of groups(num, den, n). Numerators are added up by denominator, the fractions pair by pair in tasks, whose
+    sums meet ``fan_in`` at a time; the driver gets one fraction."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[Fraction] = []
+        for batch in batches:
+            pairs = zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True)
+            found.append(paired([Fraction(int.from_bytes(a, "big", signed=True), int.from_bytes(b, "big", signed=True)) for a, b in pairs]))
+        total = paired(found)
+        told = [pa.array([x.to_bytes(x.bit_length() // 8 + 1, "big", signed=True)]) for x in (total.numerator, total.denominator)]
+        yield pa.RecordBatch.from_arrays(told, names=["num", "den"])
+
+    def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [pa.array([(x := int(v)).to_bytes(x.bit_length() // 8 + 1, "big", signed=True) for v in batch.column(k).to_pylist()], pa.binary()) for k in range(2)]
+            yield pa.RecordBatch.from_arrays(told, names=["num", "den"])
+
+    by_den = groups.groupBy("den").agg(F.sum(F.col("num").cast("decimal(38,0)") * F.col("n").cast("decimal(19,0)")).cast("decimal(38,0)").alias("num"))
+    tasks = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = by_den.select("num", F.col("den").cast("decimal(38,0)").alias("den")).mapInArrow(wide, "num binary, den binary").mapInArrow(run, "num binary, den binary")
+    while tasks > 1:
+        tasks = -(-tasks // fan_in)
+        parts = parts.repartition(tasks).mapInArrow(run, "num binary, den binary")
+    return paired([Fraction(int.from_bytes(r["num"], "big", signed=True), int.from_bytes(r["den"], "big", signed=True)) for r in parts.collect()])  # one row
 
 
 def estimated_exposure(first: str, n_frames: int) -> Fraction:

@@ -13,23 +13,13 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronofold.functions.names import private
 from chronofold.operators.sigma import settled
 
 #: Ranges for each shuffle partition.
 RANGES = 4
 
 
-def private(df: DataFrame, *names: str) -> tuple[str, ...]:
-    """The names, each behind as many underscores as make it no column of df (whatever the case)."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name = f"_{name}"
-        taken.add(name.lower())
-        out.append(name)
-    return tuple(out)
-
-
 @dataclass(frozen=True)
 class Series:
     """Rows laid out in ranges: ``part`` and ``place`` name their range and their place in the order."""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold.functions.expressions import fade_weight, int_weight, rescaled, rounded_mean, variance
+from chronofold.operators.prefix import by_key
 from chronofold.spec import StackSpec, scale_between
 
 
@@ -113,23 +114,26 @@ def subtract_moments(full: DataFrame, part: DataFrame, keys: tuple[str, ...]) ->
 
 
 def merge_mean_variance(parts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """(n, mean, population variance) of parts, merged by second moments."""
-    n, mean, var = F.col("n"), F.col("mean"), F.col("var")
-    total = parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(n * mean).alias("s"), F.sum(n * (var + mean * mean)).alias("q"))
-    return total.select(*keys, "n", (F.col("s") / F.col("n")).alias("mean"), (F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), F.lit(2))).alias("var"))
+    """(n, mean, population variance) of parts, merged around their common mean: variances small beside the mean keep their
+    digits. Parts meet twice, frames never."""
+    n, mean, var, of_all = F.col("n"), F.col("mean"), F.col("var"), F.col("mean of all")
+    means = parts.groupBy(*keys).agg((F.sum(n * mean) / F.sum("n")).alias("mean of all"))
+    around = by_key(parts, means, keys)
+    total = around.groupBy(*keys).agg(F.sum("n").alias("n"), F.first("mean of all").alias("centre"), F.sum(n * (mean - of_all)).alias("off"), F.sum(n * (var + (mean - of_all) * (mean - of_all))).alias("spread"))
+    off = F.col("off") / F.col("n")  # what rounding has left of the centre
+    return total.select(*keys, "n", (F.col("centre") + off).alias("mean"), (F.col("spread") / F.col("n") - off * off).alias("var"))
 
 
 def subtract_mean_variance(full: DataFrame, part: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """(n, mean, population variance) of the frames that are in ``full`` but not in ``part``, by second moments; keys that
-    would have none left keep none: n 0, nulls."""
+    """(n, mean, population variance) of the frames that are in ``full`` but not in ``part``, by the distance of the means; keys
+    that would have none left keep none: n 0, nulls."""
     other = part.select(*keys, *(F.col(c).alias(f"{c}2") for c in ("n", "mean", "var")))
-    n2, mean2, var2 = (F.coalesce(F.col(c), F.lit(0)) for c in ("n2", "mean2", "var2"))
-    left = F.col("n") - n2
-    s = F.col("n") * F.col("mean") - n2 * mean2
-    q = F.col("n") * (F.col("var") + F.col("mean") * F.col("mean")) - n2 * (var2 + mean2 * mean2)
-    rest = full.join(other, list(keys), "left").select(*keys, left.alias("n"), s.alias("s"), q.alias("q"))
-    some = F.nullif(F.col("n"), F.lit(0).cast("bigint"))
-    return rest.select(*keys, "n", (F.col("s") / some).alias("mean"), (F.col("q") / some - F.pow(F.col("s") / some, F.lit(2))).alias("var"))
+    n, mean, var = F.col("n"), F.col("mean"), F.col("var")
+    n2, mean2, var2 = F.coalesce(F.col("n2"), F.lit(0)), F.coalesce(F.col("mean2"), mean), F.coalesce(F.col("var2"), F.lit(0.0))
+    some = F.nullif(n - n2, F.lit(0).cast("bigint"))
+    apart = mean - mean2
+    spread = n * var - n2 * var2 - apart * apart * (n * n2 / some)
+    return by_key(full, other, keys, "left").select(*keys, (n - n2).alias("n"), F.when(some.isNotNull(), mean + apart * (n2 / some)).alias("mean"), F.when(some.isNotNull(), F.greatest(F.lit(0.0), spread / some)).alias("var"))
 
 
 def ordered_cube(px: DataFrame, keys: tuple[str, ...]) -> DataFrame:

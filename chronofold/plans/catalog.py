@@ -16,6 +16,7 @@ from chronofold.operators import mix, profile, series, sigma, stack
 from chronofold.operators.sigma import _folder
 from chronofold.plans.stacking import mask_places, reduce_tiles
 from chronofold.sources import formats, images, tables
+from chronofold.sources.frame_source import FrameSource
 from chronofold.spec import StackSpec
 from chronofold.streaming import stacks, upserts
 
@@ -245,7 +246,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 @query("max_expmean", f"WITH {FR}, c AS (SELECT k, i + 1 AS n FROM ev) SELECT k, n, {MEXP} AS r FROM c")
 def _(s: SparkSession, d: str) -> DataFrame:
     """What a maximum over a series' first n frames has to be expected to be, for every n."""
-    return tables.events_frames(s, d).select("k", (F.col("i") + 1).alias("n")).withColumn("r", E.expected_max(F.col("n")))
+    return tables.events_frames(s, d).select("k", (F.col("i") + 1).alias("n")).withColumn("r", F.round(E.expected_max(F.col("n")), 9))
 
 
 @query("mask_gray", f"WITH {EV} SELECT k, v, CAST(round_even((v % 256) * 0.299e0 + ((v // 256) % 256) * 0.587e0 + (k % 256) * 0.114e0, 0) AS BIGINT) AS g FROM ev")
@@ -688,6 +689,28 @@ def _image_passes() -> str:
 _PLACE = "k // 24 AS y, k // 3 % 8 AS x, k % 3 AS c"
 
 
+@query(
+    "image_partitions",
+    f"WITH {EM}, f AS (SELECT *, dense_rank() OVER (ORDER BY 'f' || vec_id || '.png') - 1 AS i FROM em) "
+    "SELECT CAST(i // 16 AS INTEGER) AS part, CAST(min(i) AS BIGINT) AS first, CAST(max(i) AS BIGINT) AS last, count(DISTINCT i) AS frames, max(v) AS most FROM f GROUP BY i // 16",
+)
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Files written by tasks, read as a sequence of partitions of 16 neighbouring frames; what each partition has."""
+    folder = f"{_folder(s.range(1))}/frames/{uuid.uuid4().hex}"
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                images.write_file(f"{folder}/f{row.vec_id}.png", row.content)
+            yield batch[["vec_id"]]
+
+    _drawn(s, d).select("vec_id", "content").mapInPandas(put, "vec_id bigint").write.format("noop").mode("overwrite").save()
+    s.dataSource.register(FrameSource)
+    read = s.read.format("frames").option("partitionFrames", 16).load(folder)
+    found = images.pixels(read, "i", "part").groupBy("part")
+    return found.agg(F.min("i").alias("first"), F.max("i").alias("last"), F.countDistinct("i").alias("frames"), F.max("v").alias("most"))
+
+
 @query("image_clip_tiles", _image_passes() + f" SELECT {_PLACE}, n, {MU} AS mu, {VAR} AS var FROM s5")
 def _(s: SparkSession, d: str) -> DataFrame:
     """Sigma clipping over decoded images, without a row for each pixel of each frame."""

@@ -44,9 +44,8 @@ class ImageStack:
     report: DataFrame | None = None
 
 
-def combined_info(files: DataFrame) -> Info:
+def combined_info(about: DataFrame) -> Info:
     """What the first file says, its exposure replaced by the exact sum over all files that tell theirs."""
-    about = images.infos(files)
     first = about.orderBy("path").select("exif", "profile").first()
     found = Info(dict(first["exif"] or {}), bytes(first["profile"] or b"")) if first else Info()
     if "ExposureTime" in found.exif:
@@ -132,7 +131,8 @@ def stack_images(spark: SparkSession, folder: str, spec: StackSpec, output: str
         raise ValueError("a mask mix needs a mask")
     decoded = decoded or decode_images(spark, folder, resize, recursive)
     files, cut = decoded.files, decoded.tiles
-    report = profile_report(file_attributes(images.headers(files))) if check else None
+    told = images.told(files, cut)
+    report = profile_report(file_attributes(told)) if check else None
     found = images.files_of(cut).withColumn("series", F.lit("sequence"))
     place = images.order(files)
     errors = found.where("NOT valid").join(place, "path").select("series", "i", "path", "reason")
@@ -156,6 +156,6 @@ def stack_images(spark: SparkSession, folder: str, spec: StackSpec, output: str
     about = None
     if output is not None:
         image = result if "v" in result.columns else result.withColumn("v", F.col("mu"))
-        about = combined_info(files)
+        about = combined_info(told)
         images.write_image(image, output, bits or 8, level, about, quality)
     return ImageStack(True, warning or "", result, errors, counts, bits, about, report)

@@ -111,25 +111,31 @@ def decode_png(content: bytes) -> np.ndarray:
     return pixels
 
 
-def encode_png(pixels: np.ndarray, level: int = 6, info: Info | None = None) -> bytes:
-    pixels = pixels[:, :, None] if pixels.ndim == 2 else pixels
-    if pixels.dtype not in (np.uint8, np.uint16):
+def png_chunk(name: bytes, body: bytes) -> bytes:
+    return struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+
+
+def png_lines(pixels: np.ndarray) -> bytes:
+    """Lines of (height, width, channels) pixels as they are compressed: each behind the number of its prediction, none."""
+    rows = np.ascontiguousarray(pixels.astype(">u2" if pixels.dtype.itemsize == 2 else "u1")).view(np.uint8).reshape(len(pixels), -1)
+    return np.concatenate([np.zeros((len(rows), 1), np.uint8), rows], axis=1).tobytes()
+
+
+def png_head(height: int, width: int, channels: int, bits: int, info: Info | None = None) -> bytes:
+    """What stands before the pixels."""
+    if bits not in (8, 16):
         raise ValueError("PNG holds 8 or 16 bits")
-    height, width, channels = pixels.shape
     kind = {n: k for k, n in _CHANNELS.items() if k != 3}[channels]
-    rows = np.ascontiguousarray(pixels.astype(">u2" if pixels.dtype == np.uint16 else "u1")).view(np.uint8).reshape(height, -1)
-    raw = np.concatenate([np.zeros((height, 1), np.uint8), rows], axis=1).tobytes()
+    notes = png_chunk(b"iCCP", b"profile\0\0" + zlib.compress(info.profile)) if info and info.profile else b""
+    for key, value in (info.exif if info else {}).items():
+        notes += png_chunk(b"tEXt", key.encode("latin-1", "replace") + b"\0" + value.encode("latin-1", "replace"))
+    return PNG_MAGIC + png_chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, bits, kind, 0, 0, 0)) + notes
 
-    def chunk(name: bytes, body: bytes) -> bytes:
-        return struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
 
-    notes = b""
-    if info and info.profile:
-        notes += chunk(b"iCCP", b"profile\0\0" + zlib.compress(info.profile))
-    for key, value in (info.exif if info else {}).items():
-        notes += chunk(b"tEXt", key.encode("latin-1", "replace") + b"\0" + value.encode("latin-1", "replace"))
-    head = struct.pack(">IIBBBBB", width, height, 8 * pixels.dtype.itemsize, kind, 0, 0, 0)
-    return PNG_MAGIC + chunk(b"IHDR", head) + notes + chunk(b"IDAT", zlib.compress(raw, level)) + chunk(b"IEND", b"")
+def encode_png(pixels: np.ndarray, level: int = 6, info: Info | None = None) -> bytes:
+    pixels = pixels[:, :, None] if pixels.ndim == 2 else pixels
+    head = png_head(*pixels.shape, 8 * pixels.dtype.itemsize, info)
+    return head + png_chunk(b"IDAT", zlib.compress(png_lines(pixels), level)) + png_chunk(b"IEND", b"")
 
 
 def _png_info(content: bytes) -> Info:
@@ -199,18 +205,19 @@ def decode_tiff(content: bytes) -> np.ndarray:
     return np.cumsum(pixels, axis=1, dtype=pixels.dtype) if differences == 2 else pixels
 
 
-def encode_tiff(pixels: np.ndarray, info: Info | None = None) -> bytes:
-    pixels = pixels[:, :, None] if pixels.ndim == 2 else pixels
-    height, width, channels = pixels.shape
-    data = np.ascontiguousarray(pixels.astype(pixels.dtype.newbyteorder("<"))).tobytes()
-    tags: list[tuple[int, int, list | bytes]] = [(256, 4, [width]), (257, 4, [height]), (258, 3, [8 * pixels.dtype.itemsize] * channels), (259, 3, [1]), (262, 3, [2 if channels >= 3 else 1]), (273, 4, [8]), (277, 3, [channels]), (278, 4, [height]), (279, 4, [len(data)]), (284, 3, [1])]
+def tiff_ends(height: int, width: int, channels: int, bits: int, info: Info | None = None) -> tuple[bytes, bytes]:
+    """What stands before and behind the pixels, lowest bytes first, of an image in one strip."""
+    size = height * width * channels * bits // 8
+    if size >= 1 << 32:
+        raise ValueError("TIFF files hold less than 4 GB")
+    tags: list[tuple[int, int, list | bytes]] = [(256, 4, [width]), (257, 4, [height]), (258, 3, [bits] * channels), (259, 3, [1]), (262, 3, [2 if channels >= 3 else 1]), (273, 4, [8]), (277, 3, [channels]), (278, 4, [height]), (279, 4, [size]), (284, 3, [1])]
     for tag, name in _TIFF_TEXT.items():
         if info and name in info.exif:
             tags.append((tag, 2, info.exif[name].encode("latin-1", "replace") + b"\0"))
     if info and info.profile:
         tags.append((34675, 7, info.profile))
     tags.sort()
-    at = 8 + len(data) + len(data) % 2
+    at = 8 + size + size % 2
     extra, more, entries = at + 2 + 12 * len(tags) + 4, b"", b""
     for tag, kind, value in tags:
         body = value if isinstance(value, bytes) else struct.pack(f"<{len(value)}{'H' if kind == 3 else 'I'}", *value)
@@ -220,7 +227,13 @@ def encode_tiff(pixels: np.ndarray, info: Info | None = None) -> bytes:
             more += body + b"\0" * (len(body) % 2)
         else:
             entries += struct.pack("<HHI", tag, kind, n) + body.ljust(4, b"\0")
-    return b"II*\0" + struct.pack("<I", at) + data + b"\0" * (len(data) % 2) + struct.pack("<H", len(tags)) + entries + b"\0\0\0\0" + more
+    return b"II*\0" + struct.pack("<I", at), b"\0" * (size % 2) + struct.pack("<H", len(tags)) + entries + b"\0\0\0\0" + more
+
+
+def encode_tiff(pixels: np.ndarray, info: Info | None = None) -> bytes:
+    pixels = pixels[:, :, None] if pixels.ndim == 2 else pixels
+    head, tail = tiff_ends(*pixels.shape, 8 * pixels.dtype.itemsize, info)
+    return head + np.ascontiguousarray(pixels.astype(pixels.dtype.newbyteorder("<"))).tobytes() + tail
 
 
 def _tiff_info(content: bytes) -> Info:

@@ -15,14 +15,17 @@ from pyspark.sql import functions as F
 from chronofold.functions.expressions import supported, suffix_of
 from chronofold.operators.series import numbered
 from chronofold.operators.sigma import settled
-from chronofold.sources import formats
+from chronofold.sources import formats, sink
 from chronofold.sources.formats import Info
 from chronofold.spec import resize_plan
 
 #: Edge of a tile in pixels. A decoded file is a row for each tile, its pixels in as few bytes as they need.
 TILE = 256
-TILES = "path string, reason string, height int, width int, channels int, bits int, y0 int, x0 int, data binary"
-_NAMES = [c.split()[0] for c in TILES.split(", ")]
+#: A file's first row, or its only one where it can't be decoded, also says what the file says about itself.
+ABOUT = "struct<width: int, height: int, bits: int, exif: map<string, string>, profile: binary>"
+TILES = f"path string, reason string, height int, width int, channels int, bits int, y0 int, x0 int, data binary, about {ABOUT}"
+_ABOUT = pa.struct([("width", pa.int32()), ("height", pa.int32()), ("bits", pa.int32()), ("exif", pa.map_(pa.string(), pa.string())), ("profile", pa.binary())])
+_KINDS = {"path": pa.string(), "reason": pa.string()} | dict.fromkeys(("height", "width", "channels", "bits", "y0", "x0"), pa.int32()) | {"data": pa.binary(), "about": _ABOUT}
 
 
 #: Files that Spark's image source decodes: JPEG and GIF, by suffix.
@@ -42,25 +45,32 @@ def scan(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame
 
 def folder_tiles(spark: SparkSession, folder: str, recursive: bool = False, resize: str | None = None) -> DataFrame:
     """TILES of a folder's supported files: JPEG and GIF files by Spark's image source, the others by formats."""
-    library = suffix_of(F.col("path")).isin("jpg", "jpeg", "gif")
-    own = scan(spark, folder, recursive).where(~library)
+    own = scan(spark, folder, recursive).where(~of_library(F.col("path")))
     drawn = _load(spark, "image", folder, recursive).select(F.expr(_PATH).alias("path"), "image.*")
     return tiles(own, resize).union(library_tiles(drawn, resize))
 
 
-def _cut(path: str, pixels: np.ndarray | None, reason: str | None, resize: str | None, edge: int) -> Iterator[pa.RecordBatch]:
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS.values(), strict=True)], names=list(_KINDS))
+
+
+def about_of(content: bytes) -> dict:
+    """What a file says about itself, from its head; nulls and nothing where it can't be read."""
+    found, (width, height, bits) = formats.info(content), formats.header(content) or (None, None, None)
+    return {"width": width, "height": height, "bits": bits, "exif": list(found.exif.items()), "profile": found.profile}
+
+
+def _cut(path: str, pixels: np.ndarray | None, reason: str | None, resize: str | None, edge: int, about: dict | None = None) -> Iterator[pa.RecordBatch]:
     """One file's rows, a few tiles at a time."""
-    kinds = [pa.string(), pa.string(), *[pa.int32()] * 6, pa.binary()]
-    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=_NAMES)
     if pixels is None:
-        yield batch([(path, reason, *[None] * 7)])
+        yield _batch([(path, reason, *[None] * 7, about)])
         return
     if size := resize_plan(resize, *pixels.shape[:2]):
         pixels = formats.resize(pixels, *size)
     pixels = pixels.astype(pixels.dtype.newbyteorder("<"))
     places = [(y, x) for y in range(0, pixels.shape[0], edge) for x in range(0, pixels.shape[1], edge)]
     for at in range(0, len(places), 64):
-        yield batch([(path, None, *pixels.shape, 8 * pixels.dtype.itemsize, y, x, pixels[y : y + edge, x : x + edge].tobytes()) for y, x in places[at : at + 64]])
+        yield _batch([(path, None, *pixels.shape, 8 * pixels.dtype.itemsize, y, x, pixels[y : y + edge, x : x + edge].tobytes(), None if y or x else about) for y, x in places[at : at + 64]])
 
 
 def tiles(files: DataFrame, resize: str | None = None, edge: int = TILE) -> DataFrame:
@@ -72,7 +82,8 @@ def tiles(files: DataFrame, resize: str | None = None, edge: int = TILE) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                yield from _cut(batch.column(0)[i].as_py(), *formats.read(batch.column(1)[i].as_py()), resize, edge)
+                content = batch.column(1)[i].as_py()
+                yield from _cut(batch.column(0)[i].as_py(), *formats.read(content), resize, edge, about_of(content))
 
     return files.select("path", "content").mapInArrow(run, TILES)
 
@@ -234,6 +245,24 @@ def reduced(cut: DataFrame, mode: str, weight: str | None = None, edge: int = TI
     return folded(cut, mode, weight, edge).mapInArrow(unrolled, result)
 
 
+def of_library(path: Column) -> Column:
+    return suffix_of(path).isin("jpg", "jpeg", "gif")
+
+
+def told(files: DataFrame, cut: DataFrame) -> DataFrame:
+    """(path, width, height, bits, exif, profile) of each file: from its tiles, and by reading JPEG and GIF files, of which the
+    image source tells pixels only."""
+    own = cut.where("about IS NOT NULL").select("path", "about.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([about_of(batch.column(1)[i].as_py())], _ABOUT)], names=["path", "about"])
+
+    others = files.where(of_library(F.col("path"))).select("path", "content").mapInArrow(run, f"path string, about {ABOUT}")
+    return own.unionByName(others.select("path", "about.*"))
+
+
 def headers(files: DataFrame) -> DataFrame:
     """(path, width, height, bits) from the files' headers; nulls where a header can't be read. Never fails a run."""
 
@@ -289,15 +318,18 @@ def encode_jpeg(spark: SparkSession, pixels: np.ndarray, quality: int = 95, abou
 
 
 def write_image(result: DataFrame, path: str, bits: int = 8, level: int = 6, about: Info | None = None, quality: int = 95) -> None:
-    """Writes one image (y, x, c, v) as PNG, TIFF or JPEG: the only place where pixels come to the driver, as many as it has."""
-    found = result.select(F.col("y").cast("int"), F.col("x").cast("int"), F.col("c").cast("int"), "v").toArrow()
-    y, x, c, v = (found.column(i).to_numpy() for i in range(4))
-    image = np.zeros([int(k.max()) + 1 for k in (y, x, c)], f"u{bits // 8}")
-    image[y, x, c] = np.clip(v, 0, (1 << bits) - 1)
+    """Writes one image (y, x, c, v) as PNG, TIFF or JPEG into any store that Spark knows. PNG and TIFF files are made in strips by
+    the executors; only for JPEG do pixels come to the driver, as its encoder has to see them all."""
     suffix = path.rsplit(".", 1)[-1].lower()
-    content = encode_jpeg(result.sparkSession, image, quality, about) if suffix in ("jpg", "jpeg") else formats.encode(image, suffix, level, about)
-    with open(path, "wb") as out:
-        out.write(content)
+    found = settled(result.select(*(F.col(k).cast("int").alias(k) for k in "yxc"), F.col("v").cast("long").alias("v")), "image")
+    most = found.agg(*(F.max(k) for k in "yxc")).first()
+    shape = tuple(int(k) + 1 for k in most)
+    if suffix not in ("jpg", "jpeg"):
+        return sink.write_strips(found, path, shape, bits, suffix, level, about)
+    y, x, c, v = (k.to_numpy() for k in found.toArrow().columns)
+    image = np.zeros(shape, f"u{bits // 8}")
+    image[y, x, c] = np.clip(v, 0, (1 << bits) - 1)
+    return sink.write_content(result.sparkSession, path, encode_jpeg(result.sparkSession, image, quality, about))
 
 
 __all__ = ["TILES", "encode_jpeg", "files_of", "folder_tiles", "headers", "infos", "library_tiles", "order", "pixels", "reduced", "scan", "suffix_of", "tiles", "write_image"]

@@ -82,7 +82,7 @@ def test_no_task_takes_over_32_accumulators(spark):
 def test_one_tile_of_many_partitions(spark, monkeypatch, mode, tasks, fan_in, rounds):
     monkeypatch.setattr(images, "FAN_IN", fan_in)
     values = np.random.default_rng(2).integers(0, 256, (tasks, 4)).astype(np.uint8)
-    rows = [(f"f{i}", None, 2, 2, 1, 8, 0, 0, v.tobytes()) for i, v in enumerate(values)]
+    rows = [(f"f{i}", None, 2, 2, 1, 8, 0, 0, v.tobytes(), None) for i, v in enumerate(values)]
     cut = spark.createDataFrame(rows, images.TILES).repartition(tasks)
     found = images.folded(cut, mode)
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == rounds
