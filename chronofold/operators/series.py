@@ -22,12 +22,15 @@ RANGES = 4
 
 @dataclass(frozen=True)
 class Series:
-    """Rows laid out in ranges: ``part`` and ``place`` name their range and their place in the order."""
+    """Rows laid out in so many ranges: ``part`` and ``place`` name their range and their place in the order. Once ``dealt``, a
+    range is a partition."""
 
     rows: DataFrame
     keys: tuple[str, ...]
     part: str
     place: str
+    ranges: int
+    dealt: bool = False
 
     @property
     def plain(self) -> DataFrame:
@@ -62,7 +65,9 @@ class Series:
         same = F.col(self.part) == F.col(at)
         for c, x in zip(self.keys, k, strict=True):
             same = same & F.col(c).eqNullSafe(F.col(x))
-        found = rows.select("*", *local).join(F.broadcast(carried), same, "left")
+        # windows take this partitioning as it is, so ranges are never mixed by a hash
+        dealt = rows if self.dealt else rows.repartitionById(self.ranges, F.col(self.part))
+        found = dealt.select("*", *local).join(F.broadcast(carried), same, "left")
         told = []
         if number:
             told.append((F.col(number) - 1 + F.coalesce(F.col(count), F.lit(0))).alias(number))
@@ -70,7 +75,7 @@ class Series:
             told.append(F.coalesce(F.col(total), F.col(length)).alias(length))
         told += [F.greatest(F.col(name), F.col(x)).alias(name) for name, x in zip(most, m, strict=True)]
         told += [F.coalesce(F.col(x), F.col(name)).getField("value").alias(name) for name, x in zip(first, f, strict=True)]
-        return replace(self, rows=found.select(*rows.columns, *told))
+        return replace(self, rows=found.select(*rows.columns, *told), dealt=True)
 
 
 def laid_out(rows: DataFrame, keys: tuple[str, ...], order: list[str]) -> Series:
@@ -79,7 +84,7 @@ def laid_out(rows: DataFrame, keys: tuple[str, ...], order: list[str]) -> Series
     part, place = private(rows, "part", "place")
     ranges = RANGES * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(ranges, *keys, *order).sortWithinPartitions(*keys, *order)
-    return Series(settled(dealt.select("*", F.spark_partition_id().alias(part), F.monotonically_increasing_id().alias(place)), "series"), tuple(keys), part, place)
+    return Series(settled(dealt.select("*", F.spark_partition_id().alias(part), F.monotonically_increasing_id().alias(place)), "series"), tuple(keys), part, place, ranges)
 
 
 def numbered(rows: DataFrame, keys: tuple[str, ...], order: list[str], number: str = "i", length: str | None = None) -> DataFrame:

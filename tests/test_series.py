@@ -50,3 +50,14 @@ def test_a_hot_series_is_spread_over_the_ranges(rows):
     assert len(by_part) >= 12 and max(by_part) <= 2 * sorted(by_part)[len(by_part) // 2]
     hot = found.rows.where("series = 'hot'").select(found.part).distinct().count()
     assert hot >= len(by_part) // 2 - 1
+
+
+def test_tasks_of_a_scan_are_even(rows):
+    """One exchange, by range: the fullest partition has at most twice the median, though a series holds half of all rows."""
+    found = series.running_max(rows, ("series",), ["id"])
+    sizes = sorted(r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect())
+    assert len(sizes) >= 12 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("shufflepartitionidpassthrough") == 1 and "hashpartitioning(id" not in plan
+    cut = series.prefix_of_first_shape(rows, F.lit("x"), ("series",), ("id",))
+    assert cut.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 2 * sizes[len(sizes) // 2]
