@@ -71,11 +71,17 @@ def _running(values: Column, zero: Column, join: Callable[[Column, Column], Colu
     return _let(blocks, lambda sums: _let(_running(sums, zero, join, levels - 1, block), lambda starts: F.transform(values, lambda _, i: join(F.get(starts, F.floor(i / block).cast("int")), fold(F.slice(values, i - i % block + 1, i % block))))))
 
 
-def _matches(text: Column, kind: int, pattern: str, strict: bool) -> Column:
-    """array<struct<kind, s, e, m, strict, before, after>> of a pattern's leftmost matches: s and e in code points, e
-    exclusive; the CONTEXT_CHARS characters before and the one after. The text is cut at its matches once, and what a match
-    needs is read from the pieces around it, so the work is linear in the text and in its matches."""
-    pieces = F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK)
+def _pieces(text: Column, kind: int, pattern: str, strict: bool, needed: Column | None = None) -> Column:
+    """struct<kind, strict, p>: the text cut at a pattern's leftmost matches, which are every second piece; no pieces where the text
+    lacks what a match needs."""
+    cut = F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK)
+    return F.struct(F.lit(kind).alias("kind"), F.lit(strict).alias("strict"), (cut if needed is None else F.when(needed, cut).otherwise(F.array().cast("array<string>"))).alias("p"))
+
+
+def _located(parts: Column) -> Column:
+    """array<struct<kind, s, e, m, strict, before, after>> of the matches of _pieces: s and e in code points, e exclusive; the
+    CONTEXT_CHARS characters before and the one after. What a match needs is read from the pieces around it, so the work is
+    linear in the text and in its matches."""
     # every second piece is a match of at least one character, so twice as many pieces hold the context
     most = 2 * CONTEXT_CHARS
 
@@ -86,7 +92,7 @@ def _matches(text: Column, kind: int, pattern: str, strict: bool) -> Column:
             before = F.concat_ws("", F.slice(tails, first + 1, i - first))
             after = F.concat(F.substring(F.get(p, i + 1), 1, 1), F.substring(F.coalesce(F.get(p, i + 2), F.lit("")), 1, 1))
             return F.struct(
-                F.lit(kind).alias("kind"), F.get(at, i).alias("s"), (F.get(at, i) + F.get(sizes, i)).alias("e"), F.get(p, i).alias("m"), F.lit(strict).alias("strict"),
+                parts["kind"].alias("kind"), F.get(at, i).alias("s"), (F.get(at, i) + F.get(sizes, i)).alias("e"), F.get(p, i).alias("m"), parts["strict"].alias("strict"),
                 F.substring(before, -CONTEXT_CHARS, CONTEXT_CHARS).alias("before"), F.substring(after, 1, 1).alias("after"),
             )
 
@@ -96,7 +102,7 @@ def _matches(text: Column, kind: int, pattern: str, strict: bool) -> Column:
         sizes, tails = F.transform(p, F.length), F.transform(p, lambda x: F.substring(x, -CONTEXT_CHARS, CONTEXT_CHARS))
         return _let(sizes, lambda n: _let(_running(n, F.lit(0), lambda x, y: x + y), lambda at: _let(tails, lambda t: located(p, n, at, t))))
 
-    return _let(pieces, lambda p: F.when(F.size(p) > 2, cut(p)).otherwise(F.array().cast(_SPANS)))
+    return F.when(F.size(parts["p"]) > 2, cut(parts["p"])).otherwise(F.array().cast(_SPANS))
 
 
 def _digits(match: Column) -> Column:
@@ -142,15 +148,11 @@ def candidates(text: Column) -> Column:
     """All candidate spans of a text with their votes; a null text has none."""
 
     def found(plain: Column) -> Column:
-        none = F.array().cast(_SPANS)
-        out = []
-        for kind in range(4):
-            own = _matches(plain, kind, STRICT[kind], True)
-            out.append(F.when(F.contains(plain, F.lit(NEEDED[kind])), own).otherwise(none) if NEEDED[kind] else own)
-        out.append(F.when(F.lower(plain).rlike(r"[(\[]at[)\]]"), _matches(plain, 0, LOOSE[0], False)).otherwise(none))
-        out.append(F.when(F.contains(plain, F.lit(":")), _matches(plain, 1, LOOSE[1], False)).otherwise(none))
-        out += [_matches(plain, kind, LOOSE[kind], False) for kind in (2, 3)]
-        return F.concat(*out)
+        out = [_pieces(plain, kind, STRICT[kind], True, F.contains(plain, F.lit(NEEDED[kind])) if NEEDED[kind] else None) for kind in range(4)]
+        needed = {0: F.lower(plain).rlike(r"[(\[]at[)\]]"), 1: F.contains(plain, F.lit(":"))}
+        out += [_pieces(plain, kind, LOOSE[kind], False, needed.get(kind)) for kind in range(4)]
+        # one function over the patterns, not one for each: the plan stays small
+        return F.flatten(F.transform(F.array(*out), _located))
 
     spans = _let(F.translate(F.coalesce(text, F.lit("")), _MARK, _STAND_IN), found)
     checked = F.transform(spans, lambda c: c.withField("ok", _valid(c["kind"], c["m"])))
