@@ -266,7 +266,8 @@ def _stretches(docs: DataFrame, ends: DataFrame, length: int) -> DataFrame:
     w = window_of(length)
     columns = "class binary, core_bytes int, copies boolean, key long, check long, origin long, low int, left binary, right binary"
     by_doc = ends.groupBy("key", "check").agg(F.collect_list(F.struct("at", "low", "high", "core", "copies", "large")).alias("found"))
-    texts = _texts(docs)
+    # rows repeated in id and text are one before they are shuffled
+    texts = _texts(docs).groupBy("key", "check").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
