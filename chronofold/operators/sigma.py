@@ -34,10 +34,10 @@ def _folder(df: DataFrame) -> str:
     return found.rstrip("/")
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
+def settled(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df, written to the shared folder and read again: lineage ends here, and any executor can read it."""
     path = f"{_folder(df)}/stack/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

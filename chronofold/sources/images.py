@@ -141,18 +141,34 @@ def pixels(cut: DataFrame, *kept: str, edge: int = TILE) -> DataFrame:
 
 #: Bytes of accumulators that a task holds before it hands them on.
 HELD = 192 << 20
-#: What is kept for each pixel of a tile, by reduction: names and kinds of arrays, how a tile enters, how two are joined.
+#: What is kept for each pixel of a tile, by reduction: names of arrays, how a tile enters, how two are joined. A count is one
+#: number for all of a tile's pixels.
 _REDUCED = {
     "max": (("most",), lambda v, w: (v if w is None else v * w,), lambda a, b: (np.maximum(a[0], b[0]),)),
     "min": (("least",), lambda v, w: (v if w is None else v * w,), lambda a, b: (np.minimum(a[0], b[0]),)),
-    "mean": (("n", "s", "q"), lambda v, w: (np.ones(v.shape, np.int64), v.astype(np.int64), v.astype(np.int64) ** 2), lambda a, b: tuple(x + y for x, y in zip(a, b, strict=True))),
+    "mean": (("n", "s", "q"), lambda v, w: (np.ones(1, np.int64), v.astype(np.int64), v.astype(np.int64) ** 2), lambda a, b: tuple(x + y for x, y in zip(a, b, strict=True))),
 }
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """The same numbers in as few bytes as they need."""
+    x = x.reshape(-1)
+    if x.dtype.kind == "f" or x.dtype.itemsize < 8:
+        return x
+    kind = np.result_type(np.min_scalar_type(int(x.min())), np.min_scalar_type(int(x.max())))
+    return x.astype(kind if kind.kind in "iu" else np.int64)
+
+
 #: Accumulators of a place that a task takes in at most.
 FAN_IN = 32
 
 
+def _widened(row: dict, names: tuple[str, ...]) -> tuple[np.ndarray, ...]:
+    """A row's arrays; sums in 64 bits again."""
+    found = (np.frombuffer(row[n], k) for n, k in zip(names, row["kind"].split(","), strict=True))
+    return tuple(x.astype(np.int64) if len(names) > 1 else x for x in found)
+
+
 def gathered(parts: DataFrame, place: Column, places: int, slots: int) -> tuple[DataFrame, int]:
     """parts, whose ``task`` numbers a place's accumulators below ``slots``, with a partition for each place (a number) and FAN_IN
     neighbouring numbers; task is the group's number then. And how many groups a place has."""
@@ -174,7 +190,8 @@ def folded(cut: DataFrame, mode: str, weight: str | None = None, edge: int = TIL
     told = [c.split()[0] for c in schema.split(", ")]
 
     def record(at: tuple, held: tuple) -> pa.RecordBatch:
-        arrays = [*(pa.array([x], pa.int32()) for x in at), *(pa.array([x.tobytes()], pa.binary()) for x in held), pa.array([held[0].dtype.str])]
+        held = [_narrow(x) for x in held]
+        arrays = [*(pa.array([x], pa.int32()) for x in at), *(pa.array([x.tobytes()], pa.binary()) for x in held), pa.array([",".join(x.dtype.str for x in held)])]
         return pa.RecordBatch.from_arrays(arrays, names=told)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +218,7 @@ def folded(cut: DataFrame, mode: str, weight: str | None = None, edge: int = TIL
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                at, new = tuple(row[n] for n in told[:7]), tuple(np.frombuffer(row[n], row["kind"]) for n in names)
+                at, new = tuple(row[n] for n in told[:7]), _widened(row, names)
                 if at == now:
                     held = join(held, new)
                     continue
@@ -212,7 +229,7 @@ def folded(cut: DataFrame, mode: str, weight: str | None = None, edge: int = TIL
             yield record(now, held)
 
     needed = ["height", "width", "channels", "bits", "y0", "x0", "data", *([weight] if weight else [])]
-    parts = settled(cut.where("data IS NOT NULL").select(*needed).mapInArrow(partial, schema), "accumulators")
+    parts = settled(cut.where("data IS NOT NULL").select(*needed).mapInArrow(partial, schema), "accumulators", **{"parquet.enable.dictionary": "false"})
     size = parts.agg(*(F.max(n).alias(n) for n in ("height", "width", "task", "turn"))).first()
     if size["height"] is None:
         return parts.drop("task", "turn")
@@ -239,7 +256,8 @@ def reduced(cut: DataFrame, mode: str, weight: str | None = None, edge: int = TI
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 shape = (min(edge, row["height"] - row["y0"]), min(edge, row["width"] - row["x0"]), row["channels"])
-                values = [pa.array(np.frombuffer(row[n], row["kind"]).astype(np.float64 if weight else np.int64)) for n in names]
+                size = shape[0] * shape[1] * shape[2]
+                values = [pa.array(np.broadcast_to(x, size).astype(np.float64 if weight else np.int64)) for x in _widened(row, names)]
                 yield pa.RecordBatch.from_arrays([*_places(row, shape), *values], names=["y", "x", "c", *names])
 
     return folded(cut, mode, weight, edge).mapInArrow(unrolled, result)
