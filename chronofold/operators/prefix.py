@@ -4,8 +4,9 @@ Counted values (keys, v, copies) are dealt by key and sorted by value. Over a ke
 values and of squares; what lies within two bounds is then a difference of two running sums, and a pass is two binary
 searches. A task goes through its sorted rows once, a run of keys at a time, all of a run's keys together.
 
-A key with more distinct values than a task should hold is cut into ranges of neighbouring values instead, each with its
-totals. A pass adds the totals of the ranges that lie within the bounds and looks into the two at most that the bounds cut.
+A key with more distinct values than a task should hold is only named by that stage, and cut into ranges of neighbouring values
+instead, each with its totals. A pass adds the totals of the ranges that lie within the bounds and looks into the two at most
+that the bounds cut.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
 from chronofold.spec import StackSpec
 
@@ -86,52 +87,66 @@ def _same(column: pa.Array) -> np.ndarray:
 
 
 def by_prefix(counts: DataFrame, spec: StackSpec) -> DataFrame:
-    """counts(keys, v, copies) -> (keys, n, s, q, fn, fs, fq, most, passes array<long>): clipped sums, full sums, the greatest value,
-    the count after each pass. Every key's distinct values have to fit a task."""
+    """counts(keys, v, copies) -> (keys, n, s, q, fn, fs, fq, most, passes array<long>, large): clipped sums, full sums, the greatest
+    value, the count after each pass. A key of over HELD_VALUES distinct values is large, and nothing else is said of it."""
     keys = list(spec.keys)
-    fields = [counts.schema[k] for k in keys]
+    plain = [f"k{i}" for i in range(len(keys))]
     sums = ["n", "s", "q", "fn", "fs", "fq", "most"]
-    schema = StructType([StructField(f"k{i}", f.dataType) for i, f in enumerate(fields)] + [StructField(x, LongType()) for x in sums]).simpleString()[7:-1].replace(":", " ")
+    schema = StructType([StructField(k, counts.schema[name].dataType) for k, name in zip(plain, keys, strict=True)] + [StructField(x, LongType()) for x in sums])
+    schema = schema.add("passes", ArrayType(LongType())).add("large", BooleanType())
+    limit, run_rows = HELD_VALUES, RUN
+
+    def same_key(rows: pa.RecordBatch) -> np.ndarray:
+        return np.logical_and.reduce([_same(rows.column(i)) for i in range(len(keys))]) if keys else np.ones(rows.num_rows - 1, bool)
+
+    def end_of_first(rows: pa.RecordBatch) -> int:
+        ends = np.flatnonzero(~same_key(rows))
+        return int(ends[0]) + 1 if len(ends) else rows.num_rows
+
+    def told(rows: pa.RecordBatch) -> pa.RecordBatch:
+        n = rows.num_rows
+        start = np.concatenate([[0], np.flatnonzero(~same_key(rows)) + 1]).astype(np.int64)
+        v, copies = (rows.column(len(keys) + j).to_numpy() for j in range(2))
+        now, full, passes = clipped(v, copies, start, spec)
+        most = v[np.append(start[1:], n) - 1]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, passes.size + 1, passes.shape[1]), pa.int32()), pa.array(passes.reshape(-1)))
+        named = [rows.column(i).take(pa.array(start)) for i in range(len(keys))]
+        return pa.RecordBatch.from_arrays([*named, *map(pa.array, (*now, *full, most)), lists, pa.array(np.zeros(len(start), bool))], names=schema.names)
+
+    def large(row: pa.RecordBatch) -> pa.RecordBatch:
+        nothing = [*(pa.nulls(1, pa.int64()) for _ in sums), pa.nulls(1, pa.list_(pa.int64())), pa.array([True])]
+        return pa.RecordBatch.from_arrays([*(row.column(i) for i in range(len(keys))), *nothing], names=schema.names)
+
+    def whole(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told(rows: pa.Table) -> pa.RecordBatch:
-            rows = rows.combine_chunks().to_batches()[0] if rows.num_rows else None
-            same = np.logical_and.reduce([_same(rows.column(i)) for i in range(len(keys))]) if keys and rows.num_rows > 1 else np.ones(max(0, rows.num_rows - 1), bool)
-            start = np.concatenate([[0], np.flatnonzero(~same) + 1]).astype(np.int64)
-            v, copies = (rows.column(len(keys) + j).to_numpy() for j in range(2))
-            now, full, passes = clipped(v, copies, start, spec)
-            most = v[np.append(start[1:], len(v)) - 1]
-            at = pa.array(start)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, passes.size + 1, passes.shape[1]), pa.int32()), pa.array(passes.reshape(-1)))
-            return pa.RecordBatch.from_arrays([*(rows.column(i).take(at) for i in range(len(keys))), *map(pa.array, (*now, *full, most)), lists], names=[*(f"k{i}" for i in range(len(keys))), *sums, "passes"])
-
-        held, size = [], 0
+        held, size, gone = [], 0, None  # gone: a row of the large key whose rows go by
         for batch in batches:
+            if gone is not None and batch.num_rows:
+                batch = batch.slice(end_of_first(whole([gone, batch])) - 1)
+                gone = None if batch.num_rows else gone
             if not batch.num_rows:
                 continue
             held.append(batch)
             size += batch.num_rows
-            if size < RUN:
+            if size < run_rows:
                 continue
-            rows = pa.Table.from_batches(held).combine_chunks()
-            whole = rows.to_batches()[0]
-            same = np.logical_and.reduce([_same(whole.column(i)) for i in range(len(keys))]) if keys else np.ones(size - 1, bool)
-            cuts = np.flatnonzero(~same)
-            if not len(cuts):
-                held = [whole]
-                continue  # one key so far: wait for its end
-            cut = int(cuts[-1]) + 1  # the last key may go on
-            yield told(rows.slice(0, cut))
-            held = [whole.slice(cut)]
-            size -= cut
+            rows = whole(held)
+            cuts = np.flatnonzero(~same_key(rows))
+            if len(cuts):
+                yield told(rows.slice(0, int(cuts[-1]) + 1))
+                rows = rows.slice(int(cuts[-1]) + 1)  # the last key may go on
+            if rows.num_rows > limit:
+                yield large(rows.slice(0, 1))
+                gone, rows = rows.slice(0, 1), rows.slice(0, 0)
+            held, size = ([rows] if rows.num_rows else []), rows.num_rows
         if size:
-            yield told(pa.Table.from_batches(held))
+            yield told(whole(held))
 
-    rows = counts.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col("v").cast("long").alias("v"), F.col("copies").cast("long").alias("copies"))
-    plain = [f"k{i}" for i in range(len(keys))]
+    rows = counts.select(*(F.col(k).alias(x) for k, x in zip(keys, plain, strict=True)), F.col("v").cast("long").alias("v"), F.col("copies").cast("long").alias("copies"))
     dealt = rows.repartition(*plain) if plain else rows.repartition(1)
-    found = dealt.sortWithinPartitions(*plain, "v").mapInArrow(run, f"{schema}, passes array<bigint>")
-    return found.toDF(*keys, *sums, "passes")
+    return dealt.sortWithinPartitions(*plain, "v").mapInArrow(run, schema).toDF(*keys, *schema.names[len(keys) :])
 
 
 def ranges(counts: DataFrame, spec: StackSpec, cut) -> DataFrame:

@@ -3,8 +3,9 @@
 Frames are first counted by (key, value) - combined before the shuffle, so a key that holds a third of all rows is spread
 over its values - and every pass goes over these counts, not the frames. A pass sums what lies within the bounds from the pass
 before, for all values anew; a key that would lose everything keeps its full sums. Where a key's distinct values fit a task,
-all passes run in one stage over its running sums (see prefix); larger keys go pass by pass over ranges of values with their
-totals, and sums beyond 64 bits over the counts themselves, each pass's few columns cut in the shared folder.
+all passes run in one stage over its running sums (see prefix), straight from the frames; larger keys go pass by pass over
+ranges of values with their totals, and sums beyond 64 bits over the counts themselves, each pass's few columns cut in the
+shared folder.
 """
 
 from __future__ import annotations
@@ -90,32 +91,29 @@ def _by_passes(full: DataFrame, spec: StackSpec, one_pass) -> DataFrame:
     return by_key(now, told, keys)
 
 
-def clip_counts(counts: DataFrame, spec: StackSpec) -> DataFrame:
-    """counts(keys, v, copies), written -> (keys, n, s, q, fn, fs, fq, most, passes): clipped sums, full sums, the greatest value, and
-    the count after each pass. How a key is clipped depends on the number of its distinct values, what comes out does not."""
+def clip(px: DataFrame, spec: StackSpec) -> DataFrame:
+    """(keys, n, s, q, fn, fs, fq, most, passes): clipped sums, full sums, the greatest value, and the count after each pass. How a key
+    is clipped depends on the number of its distinct values, what comes out does not. Frames are read once, and once more
+    for keys of very many distinct values."""
     keys = list(spec.keys)
     if spec.wide:
+        counts = settled(counted(px, spec), "counts")
         full = settled(sums(counts, spec), "full")
         found = _by_passes(full, spec, lambda now: clip_once(counts, full, now, spec))
         found = by_key(found, full.select(*keys, *(F.col(x).alias(f"f{x}") for x in "nsq")), keys)
         return by_key(found, counts.groupBy(*keys).agg(F.max("v").alias("most")), keys)
-    sizes = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
-    if (sizes.agg(F.max("size")).first()[0] or 0) <= prefix.HELD_VALUES:
-        return prefix.by_prefix(counts, spec)
-    large = settled(sizes.where(F.col("size") > prefix.HELD_VALUES).select(*keys), "large")
-    small = prefix.by_prefix(by_key(counts, large, keys, "left_anti"), spec)
-    parts = prefix.ranges(by_key(counts, large, keys), spec, settled)
+    small = settled(prefix.by_prefix(counted(px, spec), spec), "clipped")
+    large = small.where("large").select(*keys)
+    small = small.where("NOT large").drop("large")
+    if large.isEmpty():
+        return small
+    parts = prefix.ranges(by_key(counted(px, spec), large, keys), spec, settled)
     full = settled(parts.groupBy(*keys).agg(*(F.sum(x).alias(x) for x in "nsq"), F.max("most").alias("most")), "full")
     found = _by_passes(full.drop("most"), spec, lambda now: _kept(prefix.within(parts, bounds(now, spec), spec), full, spec))
     found = by_key(found, full.select(*keys, *(F.col(x).alias(f"f{x}") for x in "nsq"), "most"), keys)
     return small.unionByName(found.select(*small.columns))
 
 
-def clip(px: DataFrame, spec: StackSpec, counts: DataFrame | None = None) -> DataFrame:
-    """clip_counts of px; ``counts``: px counted and written already."""
-    return clip_counts(settled(counted(px, spec), "counts") if counts is None else counts, spec)
-
-
 def sigma_stack(px: DataFrame, spec: StackSpec) -> DataFrame:
     return scaled_mean(finished(clip(px, spec).select(*spec.keys, *"nsq"), spec.keys, spec.precise), spec)
 
