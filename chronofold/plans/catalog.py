@@ -655,8 +655,8 @@ def _drawn(s: SparkSession, d: str, kind: str = "gray8") -> DataFrame:
     return rows.select("vec_id", F.concat_ws("/", F.col("label").cast("string"), F.col("vec_id").cast("string")).alias("path"), draw("data").alias("content"))
 
 
-def _good(files: DataFrame, resize: str | None = None) -> DataFrame:
-    return images.tiles(files, resize).where("data IS NOT NULL")
+def _good(files: DataFrame) -> DataFrame:
+    return images.tiles(files).where("data IS NOT NULL")
 
 
 _IMAGE = StackSpec("max", ("y", "x", "c"))
@@ -665,8 +665,8 @@ _YX = "CAST(pos // 8 AS BIGINT) AS y, CAST(pos % 8 AS BIGINT) AS x"
 
 @query("image_stack", f"WITH {EM} SELECT label, pos, max(v) AS v FROM em GROUP BY label, pos")
 def _(s: SparkSession, d: str) -> DataFrame:
-    good = _good(_drawn(s, d)).withColumn("label", F.split("path", "/")[0].cast("int"))
-    places = images.pixels(good, "label").select("label", (F.col("y") * 8 + F.col("x")).cast("int").alias("pos"), "v")
+    files = _drawn(s, d).withColumn("label", F.split("path", "/")[0].cast("int"))
+    places = images.file_pixels(files, "label").select("label", (F.col("y") * 8 + F.col("x")).cast("int").alias("pos"), "v")
     return stack.max_stack(places, StackSpec("max", ("label", "pos")))
 
 
@@ -750,8 +750,8 @@ def _(s: SparkSession, d: str) -> DataFrame:
 @query("image_resize", f"WITH {EM} SELECT vec_id, CAST(pos // 8 // 2 AS BIGINT) AS y, CAST(pos % 8 // 2 AS BIGINT) AS x, CAST(round_even(CAST(sum(v) AS DOUBLE) / count(v), 0) AS BIGINT) AS v FROM em GROUP BY ALL")
 def _(s: SparkSession, d: str) -> DataFrame:
     """Bilinear resizing to half the size, where every pixel is the mean of four."""
-    good = _good(_drawn(s, d), "4x4").withColumn("vec_id", F.split("path", "/")[1].cast("int"))
-    return images.pixels(good, "vec_id").select("vec_id", "y", "x", "v")
+    files = _drawn(s, d).withColumn("vec_id", F.split("path", "/")[1].cast("int"))
+    return images.file_pixels(files, "vec_id", resize="4x4").select("vec_id", "y", "x", "v")
 
 
 @query("image_errors", "SELECT vec_id, 'not decodable: ' || CASE vec_id % 4 WHEN 1 THEN 'empty file' WHEN 2 THEN 'no decoder for JPEG and GIF files in tables' ELSE 'unknown kind of file' END AS reason FROM embeddings WHERE vec_id % 4 > 0")

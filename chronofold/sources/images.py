@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -60,15 +60,23 @@ def about_of(content: bytes) -> dict:
     return {"width": width, "height": height, "bits": bits, "exif": list(found.exif.items()), "profile": found.profile}
 
 
+def _sized(pixels: np.ndarray, resize: str | None) -> np.ndarray:
+    if size := resize_plan(resize, *pixels.shape[:2]):
+        pixels = formats.resize(pixels, *size)
+    return pixels.astype(pixels.dtype.newbyteorder("<"))
+
+
+def _corners(pixels: np.ndarray, edge: int) -> list[tuple[int, int]]:
+    return [(y, x) for y in range(0, pixels.shape[0], edge) for x in range(0, pixels.shape[1], edge)]
+
+
 def _cut(path: str, pixels: np.ndarray | None, reason: str | None, resize: str | None, edge: int, about: dict | None = None) -> Iterator[pa.RecordBatch]:
     """One file's rows, a few tiles at a time."""
     if pixels is None:
         yield _batch([(path, reason, *[None] * 7, about)])
         return
-    if size := resize_plan(resize, *pixels.shape[:2]):
-        pixels = formats.resize(pixels, *size)
-    pixels = pixels.astype(pixels.dtype.newbyteorder("<"))
-    places = [(y, x) for y in range(0, pixels.shape[0], edge) for x in range(0, pixels.shape[1], edge)]
+    pixels = _sized(pixels, resize)
+    places = _corners(pixels, edge)
     for at in range(0, len(places), 64):
         yield _batch([(path, None, *pixels.shape, 8 * pixels.dtype.itemsize, y, x, pixels[y : y + edge, x : x + edge].tobytes(), None if y or x else about) for y, x in places[at : at + 64]])
 
@@ -119,26 +127,73 @@ def _places(row: dict, shape: tuple[int, int, int]) -> list[pa.Array]:
     return [pa.array((y + row["y0"]).astype(np.int64)), pa.array((x + row["x0"]).astype(np.int64)), pa.array(c.astype(np.int64))]
 
 
+#: Pixels from which those of several tiles or files leave a task together.
+MANY = 1 << 16
+
+
+def _listed(rows: DataFrame, kept: tuple[str, ...]) -> tuple[list[str], str]:
+    """Names of the kept columns, and the schema of pixels with them."""
+    more = [f for f in rows.schema if f.name in kept]
+    return [f.name for f in more], ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in more), "y bigint, x bigint, c bigint, v bigint"])
+
+
+def _unrolled(batch: pa.RecordBatch, names: list[str], pieces: Iterable[tuple[int, int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """(kept columns, y, x, c, v) of the pieces of a batch's rows: a row's number, y0, x0 and its values there."""
+
+    def record(held: list[tuple]) -> pa.RecordBatch:
+        again = pa.array(np.repeat([i for i, *_ in held], [found.size for *_, found in held]))
+        at = np.concatenate([np.indices(found.shape).reshape(3, -1) + [[y], [x], [0]] for _, y, x, found in held], axis=1)
+        v = np.concatenate([found.reshape(-1).astype(np.int64) for *_, found in held])
+        return pa.RecordBatch.from_arrays([*(batch.column(n).take(again) for n in names), *(pa.array(k) for k in at), pa.array(v)], names=[*names, "y", "x", "c", "v"])
+
+    held: list[tuple] = []
+    size = 0
+    for piece in pieces:
+        held.append(piece)
+        size += piece[3].size
+        if size >= MANY:
+            yield record(held)
+            held, size = [], 0
+    if held:
+        yield record(held)
+
+
 def pixels(cut: DataFrame, *kept: str, edge: int = TILE) -> DataFrame:
     """(kept columns, y, x, c, v) of tiles."""
-    more = [f for f in cut.schema if f.name in kept]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in more), "y bigint, x bigint, c bigint, v bigint"])
-    names = [*(f.name for f in more), "y", "x", "c", "v"]
-    needed = list(dict.fromkeys([*(f.name for f in more), "height", "width", "channels", "bits", "y0", "x0", "data"]))
+    names, schema = _listed(cut, kept)
+    needed = list(dict.fromkeys([*names, "height", "width", "channels", "bits", "y0", "x0", "data"]))
+
+    def pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            yield i, row["y0"], row["x0"], _pixels(row, edge)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                part = batch.slice(i, 1)
-                row = part.to_pylist()[0]
-                found = _pixels(row, edge)
-                again = pa.array(np.zeros(found.size, np.int64))
-                columns = [part.column(part.schema.get_field_index(f.name)).take(again) for f in more]
-                yield pa.RecordBatch.from_arrays([*columns, *_places(row, found.shape), pa.array(found.reshape(-1).astype(np.int64))], names=names)
+            yield from _unrolled(batch, names, pieces(batch))
 
     return cut.where("data IS NOT NULL").select(*needed).mapInArrow(run, schema)
 
 
+def file_pixels(files: DataFrame, *kept: str, resize: str | None = None, edge: int = TILE) -> DataFrame:
+    """The same for files(kept columns, content), without those that can't be decoded: a task decodes and unrolls in one Python
+    process, where pixels(tiles(files)) takes two."""
+    names, schema = _listed(files, kept)
+
+    def pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        for i in range(batch.num_rows):
+            found, _ = formats.read(batch.column("content")[i].as_py())
+            if found is not None:
+                found = _sized(found, resize)
+                yield from ((i, y, x, found[y : y + edge, x : x + edge]) for y, x in _corners(found, edge))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _unrolled(batch, names, pieces(batch))
+
+    return files.select(*dict.fromkeys([*names, "content"])).mapInArrow(run, schema)
+
+
 #: Bytes of accumulators that a task holds before it hands them on.
 HELD = 192 << 20
 #: What is kept for each pixel of a tile, by reduction: names of arrays, how a tile enters, how two are joined. A count is one
@@ -350,4 +405,4 @@ def write_image(result: DataFrame, path: str, bits: int = 8, level: int = 6, abo
     return sink.write_content(result.sparkSession, path, encode_jpeg(result.sparkSession, image, quality, about))
 
 
-__all__ = ["TILES", "encode_jpeg", "files_of", "folder_tiles", "headers", "infos", "library_tiles", "order", "pixels", "reduced", "scan", "suffix_of", "tiles", "write_image"]
+__all__ = ["TILES", "encode_jpeg", "file_pixels", "files_of", "folder_tiles", "headers", "infos", "library_tiles", "order", "pixels", "reduced", "scan", "suffix_of", "tiles", "write_image"]
